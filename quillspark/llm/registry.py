@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_secrets, op2_language, op3_decontaminate, op4_katz, op5_tokens, op6_quality, op7_pii, op10_bpe
+from . import op1_secrets, op2_language, op3_decontaminate, op4_katz, op5_tokens, op6_quality, op7_pii, op8_substrings, op10_bpe
 
 QUERIES = {
     "op1_secrets": op1_secrets.op1_secrets,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_tokens": op5_tokens.op5_tokens,
     "op6_quality": op6_quality.op6_quality,
     "op7_pii": op7_pii.op7_pii,
+    "op8_substrings": op8_substrings.op8_substrings,
     "op10_bpe": op10_bpe.op10_bpe,
 }
 ORACLES: dict[str, str] = {}
