@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_secrets, op2_language, op3_decontaminate, op4_katz, op5_tokens, op6_quality, op7_pii, op8_substrings, op10_bpe
+import corpus_pipeline
+
+from . import op1_secrets, op2_language, op3_decontaminate, op4_katz, op5_tokens, op6_quality, op7_pii, op8_substrings, op9_jaccard, op10_bpe
 
 QUERIES = {
     "op1_secrets": op1_secrets.op1_secrets,
@@ -13,9 +15,13 @@ QUERIES = {
     "op6_quality": op6_quality.op6_quality,
     "op7_pii": op7_pii.op7_pii,
     "op8_substrings": op8_substrings.op8_substrings,
+    "op9_jaccard": op9_jaccard.op9_jaccard,
     "op10_bpe": op10_bpe.op10_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def queries() -> dict:
