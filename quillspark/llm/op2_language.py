@@ -122,6 +122,7 @@ def fit(labels: list[str], grams: list[np.ndarray], target: float = 0.99, dim: i
     cut = len(y) // 5 if len(y) >= 10 else 0
     held, train = order[:cut], order[cut:]
     e, w, b = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)), rng.normal(0, 0.1, (dim, len(names))), np.zeros(len(names))
+    epochs = max(epochs, -(-400 * batch // max(len(train), 1)))  # few rows are seen more often
     steps = max(1, epochs * -(-len(train) // batch))
     done = 0
     for _ in range(epochs):
