@@ -28,41 +28,57 @@ MASKS = ("1101100110101", "1011010101011", "1110010011101")
 SPAN = 13
 
 
-def _seed(mask_no: int, mask: str, w: Column, at: Column) -> Column:
-    return F.xxhash64(F.lit(mask_no), *(F.get(w, at + k) for k, bit in enumerate(mask) if bit == "1"))
+def _hashed(text: Column) -> Column:
+    """Hashes of the lower-cased words."""
+    return F.transform(words(F.lower(text.cast("string"))), lambda w: F.xxhash64(w))
+
+
+def _seed(mask_no: int, mask: str, h: Column, at: Column) -> Column:
+    return F.xxhash64(F.lit(mask_no), *(F.get(h, at + k) for k, bit in enumerate(mask) if bit == "1"))
 
 
 def item_seeds(items: DataFrame, id_col: str, text_col: str, lengths: list[int]) -> DataFrame:
-    """(seed, item_id, window, width): distinct by seed, item and window."""
-    src = items.select(F.col(id_col).alias("item_id"), words(F.lower(F.col(text_col).cast("string"))).alias("w")).withColumn("n", F.size("w"))
-    full = src.filter(F.col("n") >= SPAN).select("item_id", "w", F.explode(F.sequence(F.lit(0), F.col("n") - SPAN)).alias("at"))
-    full = full.select("item_id", F.slice("w", F.col("at") + 1, SPAN).alias("window"), F.posexplode(F.array(*(_seed(i, m, F.col("w"), F.col("at")) for i, m in enumerate(MASKS)))).alias("mask", "seed"))
-    out = full.select("seed", "item_id", "window", F.lit(SPAN).alias("width"))
+    """(seed, item_id, window): distinct by seed, item and window; windows are word hashes."""
+    src = items.select(F.col(id_col).alias("item_id"), _hashed(F.col(text_col)).alias("h")).withColumn("n", F.size("h"))
+    full = src.filter(F.col("n") >= SPAN).select("item_id", "h", F.explode(F.sequence(F.lit(0), F.col("n") - SPAN)).alias("at"))
+    out = full.select(F.explode(F.array(*(_seed(i, m, F.col("h"), F.col("at")) for i, m in enumerate(MASKS)))).alias("seed"), "item_id", F.slice("h", F.col("at") + 1, SPAN).alias("window"))
     for n in lengths:
-        short = src.filter(F.col("n") == n).select(_seed(-n, "1" * n, F.col("w"), F.lit(0)).alias("seed"), "item_id", F.col("w").alias("window"), F.lit(n).alias("width"))
-        out = out.unionByName(short)
+        out = out.unionByName(src.filter(F.col("n") == n).select(_seed(-n, "1" * n, F.col("h"), F.lit(0)).alias("seed"), "item_id", F.col("h").alias("window")))
     return out.dropDuplicates(["seed", "item_id", "window"])
 
 
+def _hits(src: DataFrame, seeds: DataFrame, kinds: list[tuple[int, str]], agree: int, small: bool) -> DataFrame:
+    """(doc_id, item_id, matched, width) where windows of one width agree.
+
+    Words are hashed before, and windows are exploded as places.  With broadcast seeds, explode, seeds, lookup,
+    comparison and first aggregation are one generated loop over an array that is never copied; so the
+    comparison is spelt out place by place, since a lambda would end the loop.  For a shuffle each
+    seed carries its own window only.
+    """
+    width = len(kinds[0][1])
+    at = src.select("doc_id", "h", F.explode(F.when(F.size("h") >= width, F.sequence(F.lit(0), F.size("h") - width))).alias("at"))
+    seed = F.explode(F.array(*(_seed(i, m, F.col("h"), F.col("at")) for i, m in kinds))).alias("seed")
+    if small:
+        keyed, own = at.select("doc_id", "h", "at", seed), lambda k: F.get("h", F.col("at") + k)
+    else:
+        keyed = at.select("doc_id", F.slice("h", F.col("at") + 1, width).alias("own"), seed)
+        own = lambda k: F.get("own", F.lit(k))
+    equal = reduce(lambda a, b: a + b, (F.when(own(k) == F.get("window", F.lit(k)), 1).otherwise(0) for k in range(width)))
+    found = keyed.join(F.broadcast(seeds) if small else seeds, "seed")
+    found = found.filter((F.size("window") == width) & (equal >= min(agree, width) if width == SPAN else equal == width))
+    return found.select("doc_id", "item_id", equal.alias("matched"), F.lit(width).alias("width"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", agree: int = 11, least: int = 5, max_broadcast: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id, matched, width, n_windows): best agreement, and document windows that overlap."""
+    """(doc_id, item_id, matched, width, n_hits): best agreement and number of seeds that hit."""
     sizes = items.select(F.size(words(F.col(item_text).cast("string"))).alias("n")).filter(F.col("n").between(least, SPAN - 1)).distinct()
-    lengths = sorted(r["n"] for r in sizes.collect())  # at most 12 numbers
+    lengths = sorted(r["n"] for r in sizes.collect())  # at most 8 numbers
     seeds = item_seeds(items, item_col, item_text, lengths)
-    if seeds.count() <= max_broadcast:
-        seeds = F.broadcast(seeds)
-    src = docs.select(F.col(id_col).alias("doc_id"), words(F.lower(F.col(text_col).cast("string"))).alias("w")).withColumn("n", F.size("w"))
-    shortest = min([SPAN, *lengths])
-    # No filter on n: it would be pushed below the split and repeat it.
-    at = src.select("doc_id", "w", "n", F.explode(F.when(F.col("n") >= shortest, F.sequence(F.lit(0), F.col("n") - shortest))).alias("at"))
-    kinds = [(i, m) for i, m in enumerate(MASKS)] + [(-n, "1" * n) for n in lengths]
-    hashed = [F.when(F.col("at") + len(m) <= F.col("n"), _seed(i, m, F.col("w"), F.col("at"))) for i, m in kinds]
-    keyed = at.select("doc_id", "w", "at", F.explode(F.array(*hashed)).alias("seed")).filter(F.col("seed").isNotNull())
-    hits = keyed.join(seeds, "seed")
-    equal = reduce(lambda a, b: a + b, (F.when(F.get("w", F.col("at") + k) == F.get("window", F.lit(k)), 1).otherwise(0) for k in range(SPAN)))
-    hits = hits.select("doc_id", "item_id", "at", "width", equal.alias("matched"))
-    # A short item's window ends with the item, so only its own places can be equal.
-    hits = hits.filter(F.when(F.col("width") == SPAN, F.col("matched") >= agree).otherwise(F.col("matched") == F.col("width")))
+    small = seeds.count() <= max_broadcast
+    src = docs.select(F.col(id_col).alias("doc_id"), _hashed(F.col(text_col)).alias("h"))
+    hits = _hits(src, seeds, list(enumerate(MASKS)), agree, small)
+    for n in lengths:
+        hits = hits.unionByName(_hits(src, seeds, [(-n, "1" * n)], agree, small))
     return hits.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("width").alias("width"), F.count(F.lit(1)).alias("n_hits"))
 
 
