@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op1_secrets, op2_language, op3_decontaminate, op4_katz, op5_tokens, op6_quality, op7_pii, op8_substrings, op9_jaccard, op10_bpe
+from . import op1_secrets, op2_language, op3_decontaminate, op4_katz, op5_tokens, op6_quality, op7_pii, op8_substrings, op9_jaccard, op10_bpe, oracles
 
 QUERIES = {
     "op1_secrets": op1_secrets.op1_secrets,
@@ -19,7 +19,7 @@ QUERIES = {
     "op10_bpe": op10_bpe.op10_bpe,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_decontaminate": oracles.OP3, "op8_substrings": oracles.OP8, "op9_jaccard": oracles.OP9}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
