@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are taken at once.
-SLICE = 1 << 21
-_SEGMENT = 1 << 21
+SLICE = 1 << 20
+_SEGMENT = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INV = pow(_B, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)

@@ -4,7 +4,7 @@ A document's set is its distinct word shingles.  Documents with equal sets are o
 smallest id represents.  The join finds which classes are linked, as far as components need it:
 
 1. One pass makes each class's size, three smallest shingles (its group keys), and a row of the
-   matrix: its shingles counted in 64 columns.  For any two rows the overlap of the sets is at most
+   matrix: its shingles counted in 256 columns.  For any two rows the overlap of the sets is at most
    the sum of the columns' minima; for a group, the maxima of its members bound all of them.
 2. Similar documents share a group key.  Each member is compared with its group's first class only (a
    star, never all pairs), if the bound allows the overlap that the threshold needs; exact sets decide.
@@ -13,7 +13,9 @@ smallest id represents.  The join finds which classes are linked, as far as comp
    n - ceil(threshold * n) + 1 shingles in any fixed order.  Frequent shingles come last in the order
    (at most ``max_common`` of them are broadcast; they change the cost, never the result).  A shingle's
    postings that lie in one group open nothing; those of different groups are queries against
-   each other, and only pairs that size, position and matrix bound allow are opened.
+   each other, and only pairs that size, position and matrix bound allow are opened.  Up to ``max_rows``
+   classes (counted) have their rows of the matrix at hand there, 256 bytes each; beyond that the bound
+   is applied to the pairs afterwards.
 
 So copies cost their number, not its square, and no link between different groups is lost.  Postings
 are packed by hash bucket and merged per task.  Classes and shingles are told apart by 64-bit hashes.
@@ -37,10 +39,10 @@ from .common import arrow_batches, documents, parallelism, shared_dir, written
 from .components import components
 from .op8_substrings import _by_bucket
 
-COLUMNS = 64
+COLUMNS = 256
 KEYS = 3
-FLUSH = 1_000_000
-_FULL = 65535
+FLUSH = 500_000
+_FULL = 255
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -75,14 +77,19 @@ def needed(a, b, threshold: int):
 
 
 def matrix_row(x: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((x >> H.U64(58)).astype(np.int64), minlength=COLUMNS), _FULL).astype("<u2").tobytes()
+    return np.minimum(np.bincount((x >> H.U64(56)).astype(np.int64), minlength=COLUMNS), _FULL).astype(np.uint8).tobytes()
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Most that sets with these matrix rows can share; a full column bounds nothing."""
+    least = np.minimum(x, y)
+    return np.where((least == _FULL).any(axis=1), 1 << 60, least.sum(axis=1, dtype=np.int64))
 
 
 def bound_allows(rows_a: list[bytes], rows_b: list[bytes], a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether sets with these matrix rows can overlap enough; a full column bounds nothing."""
-    x, y = (np.frombuffer(b"".join(r), "<u2").reshape(-1, COLUMNS).astype(np.int64) for r in (rows_a, rows_b))
-    x, y = np.where(x == _FULL, 1 << 40, x), np.where(y == _FULL, 1 << 40, y)
-    return (np.minimum(x, y).sum(axis=1) >= needed(a, b, threshold)) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b))
+    """Whether sets with these matrix rows and sizes can be similar enough."""
+    x, y = (np.frombuffer(b"".join(r), np.uint8).reshape(-1, COLUMNS) for r in (rows_a, rows_b))
+    return (overlap_bound(x, y) >= needed(a, b, threshold)) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b))
 
 
 def _surveyed(src: DataFrame, k: int, threshold: int, buckets: int) -> str:
@@ -141,10 +148,13 @@ def _common_shingles(counts: DataFrame, common: int, most: int) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, groups: dict[int, int], buckets: int) -> DataFrame:
-    """Distinct pairs (a, b) of classes in different groups that share a prefix shingle and may overlap enough."""
+def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, groups: dict[int, int], matrix: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes in different groups that share a prefix shingle and may overlap enough.
+
+    ``matrix`` has the classes' numbers, sorted, and their rows; without rows the bound comes later.
+    """
     spark = src.sparkSession
-    shared = spark.sparkContext.broadcast((common, groups))
+    shared, rows_of = spark.sparkContext.broadcast((common, groups)), spark.sparkContext.broadcast(matrix)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group_of = shared.value
@@ -192,6 +202,8 @@ def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, grou
         keep = np.concatenate([[True], (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])])
         token, cid, group, n, place = token[keep], cid[keep], group[keep], n[keep], place[keep]
         edges = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
+        numbers, rows = rows_of.value
+        at = np.searchsorted(numbers, cid) if len(numbers) else None
         out = []
         for s, e in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
             if (group[s:e] == group[s]).all():
@@ -200,6 +212,8 @@ def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, grou
                 j = slice(i + 1, e)
                 may = (group[j] != group[i]) & (100 * np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))
                 may &= 1 + np.minimum(n[j] - place[j], n[i] - place[i]) - 1 >= needed(n[j], n[i], threshold)
+                if may.any() and at is not None:
+                    may[may] = overlap_bound(rows[at[i]][None, :], rows[at[j][may]]) >= needed(n[j][may], n[i], threshold)
                 if may.any():
                     out.append(np.stack([np.full(int(may.sum()), cid[i]), cid[j][may]]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
@@ -255,7 +269,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, k: int, thre
     return written(full.mapInArrow(decide, "a long, b long"), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: int = 85, common: int = 64, max_common: int = 500_000, max_groups: int = 5_000_000, max_broadcast: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: int = 85, common: int = 32, max_common: int = 500_000, max_groups: int = 5_000_000, max_rows: int = 400_000, max_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) for each row.
 
     Two documents link where 100 * intersection >= threshold * union.  n_links counts the verified links of
@@ -284,8 +298,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         t = grouped.toArrow()
         groups = dict(zip(t.column("node").to_pylist(), t.column("root").to_pylist()))
 
+    matrix = (np.zeros(0, np.int64), np.zeros((0, COLUMNS), np.uint8))
+    if classes.count() <= max_rows:
+        t = classes.select("cid", "row").toArrow().combine_chunks()
+        order = np.argsort(t.column("cid").to_numpy())
+        packed = np.frombuffer(b"".join(t.column("row").to_pylist()), np.uint8).reshape(-1, COLUMNS)
+        matrix = (t.column("cid").to_numpy()[order], packed[order])
+        del t, packed
     last = _common_shingles(survey.filter("kind = 1").select("bucket", "data"), common, max_common)
-    pairs = _candidates(named, k, threshold, last, groups, buckets)
+    pairs = _candidates(named, k, threshold, last, groups, matrix, buckets)
     links = links.unionByName(_verified(pairs, classes, named, k, threshold, max_broadcast))
     links = written(links, "jaccard-links")
     roots = components(links).join(classes.select(F.col("cid").alias("node"), "rep"), "node")

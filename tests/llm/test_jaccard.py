@@ -58,7 +58,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,kw", [(1, {}), (2, {"common": 3}), (3, {"max_groups": 0, "max_broadcast": 0, "common": 2}), (4, {"threshold": 60})])
+@pytest.mark.parametrize("seed,kw", [(1, {}), (2, {"common": 3}), (3, {"max_groups": 0, "max_broadcast": 0, "max_rows": 0, "common": 2}), (4, {"threshold": 60})])
 def test_equals_brute_force(spark, monkeypatch, seed, kw):
     monkeypatch.setattr(op9, "FLUSH", 300)
     rows = corpus(seed)
