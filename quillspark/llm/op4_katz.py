@@ -3,8 +3,9 @@
 Training counts every token and every pair of a history and a token: each task merges its counts and
 ships them as packed columns by hash bucket, and the buckets' sums become a table in the shared folder,
 partitioned by order and slice.  A history is spread over up to ``spread`` buckets, so that a very
-frequent word fills no task.  Pairs seen less than ``min_pair`` times are counted, but take no row in
-the model (their mass goes to the backoff), as is usual.
+frequent word fills no task.  The query's model holds every counted pair, those seen once with their
+own discount; with a ``min_pair`` above one, pairs seen less often take no row in the model (their mass
+goes to the backoff).
 
 Good-Turing discounts (Katz, k = 5) come from the counts of counts.  The backoff weight of each
 history is (1 - sum of its pairs' probabilities) / (1 - sum of the same tokens' unigram
@@ -370,4 +371,4 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir), crc_remainder(F.col("doc_id"), 7) != 2)
+    return score(documents(spark, sf_dir), crc_remainder(F.col("doc_id"), 7) != 2, min_pair=1)

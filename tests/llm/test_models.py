@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -97,6 +98,18 @@ def test_katz_equals_brute_force(spark, monkeypatch, limit):
     assert np.allclose([r[3:] for r in have], [r[3:] for r in want], rtol=1e-6)
 
 
+def test_katz_query_keeps_pairs_seen_once(spark, tmp_path):
+    rng = random.Random(5)
+    vocab = [f"w{int(rng.paretovariate(0.8))}" for _ in range(300)]
+    rows = [(i, zlib.crc32(str(i).encode()) % 7 == 2, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in op4_katz.op4_katz(spark, str(tmp_path)).collect())
+    want, cut = brute(rows, min_pair=1)[0], brute(rows)[0]
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-6)
+    assert not np.allclose([r[4] for r in got], [r[4] for r in cut], rtol=1e-3)
+
+
 def test_katz_without_training(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = score(df, F.lit(False)).first()
