@@ -1,14 +1,14 @@
-"""Operator 9: n-gram Jaccard join with a token-group matrix.
+"""Operator 9: n-gram Jaccard join with a prefix filter and a matrix of token counts.
 
 A document's set is its distinct word shingles.  Documents with equal sets are one class, which its
-smallest id represents.  The join finds which classes are linked, as far as components need it:
+smallest id represents.  The join finds which classes are linked:
 
 1. One pass makes each class's size, three smallest shingles (its group keys), and a row of the
    matrix: its shingles counted in 256 columns.  For any two rows the overlap of the sets is at most
-   the sum of the columns' minima; for a group, the maxima of its members bound all of them.
+   the sum of the columns' minima.
 2. Similar documents share a group key.  Each member is compared with its group's first class only (a
    star, never all pairs), if the bound allows the overlap that the threshold needs; exact sets decide.
-   The components of these links are the groups of the matrix.
+   The components of these links are the groups.
 3. Exact completion by the prefix filter: two sets of the wanted similarity share one of their first
    n - ceil(threshold * n) + 1 shingles in any fixed order.  Frequent shingles come last in the order
    (at most ``max_common`` of them are broadcast; they change the cost, never the result).  A shingle's
@@ -17,8 +17,12 @@ smallest id represents.  The join finds which classes are linked, as far as comp
    classes (counted) have their rows of the matrix at hand there, 256 bytes each; beyond that the bound
    is applied to the pairs afterwards.
 
-So copies cost their number, not its square, and no link between different groups is lost.  Postings
-are packed by hash bucket and merged per task.  Classes and shingles are told apart by 64-bit hashes.
+4. Links inside a group are counted from the exact sets of all its pairs, as products of 0/1 matrices of
+   ``BLOCK`` classes each; a large group's pairs of blocks are spread over the tasks.
+
+No link is lost.  Exact copies cost their number; classes of one group are counted pair by pair, but no
+row is made for a pair.  Postings are packed by hash bucket and merged per task.  Classes and shingles are
+told apart by 64-bit hashes.  There is no bound for a whole group: see the README.
 
 Defined results: null and empty texts have an empty set and no link; rows with a null id have no
 component; rows with one id and different texts are separate; repeated rows stay.
@@ -42,6 +46,8 @@ from .op8_substrings import _by_bucket
 COLUMNS = 256
 KEYS = 3
 FLUSH = 500_000
+#: Classes of a group that are compared at once, and shingles of a matrix.
+BLOCK, WIDTH = 256, 8192
 _FULL = 255
 
 
@@ -223,8 +229,8 @@ def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, grou
     return shipped.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, k: int, threshold: int, max_broadcast: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets are linked: matrix bound first, then the exact sets."""
+def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, k: int, threshold: int, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes whose sets are linked, and the sets (cid, items) that were opened: matrix bound first, then the exact sets."""
     info = classes.select("cid", "n", "row", "rep")
     side = lambda s: info.select(F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("row").alias(f"row{s}"), F.col("rep").alias(f"rep{s}"))
 
@@ -266,14 +272,62 @@ def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, k: int, thre
     sets = written(sets, "jaccard-sets")
     full = left.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")).hint("shuffle_merge"), "a")
     full = full.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")).hint("shuffle_merge"), "b").select("a", "b", "x", "y")
-    return written(full.mapInArrow(decide, "a long, b long"), "jaccard-links")
+    return written(full.mapInArrow(decide, "a long, b long"), "jaccard-links"), sets
+
+
+def link_counts(sets: list[np.ndarray], first: int, threshold: int) -> np.ndarray:
+    """Links of each set with the others; ``first`` > 0: only of the first ones with the rest."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    who = np.repeat(np.arange(len(sets)), sizes)
+    uniq, at, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    met = np.cumsum(found > 1) - 1  # a shingle of one set is in no overlap
+    who, at = who[found[at] > 1], met[at[found[at] > 1]]
+    order = np.argsort(at, kind="stable")
+    who, at = who[order], at[order]
+    a = first or len(sets)
+    same = np.zeros((a, len(sets) - first), np.int64)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, WIDTH):
+        s, e = np.searchsorted(at, (lo, lo + WIDTH))
+        x = np.zeros((len(sets), WIDTH), np.float32)
+        x[who[s:e], at[s:e] - lo] = 1
+        same += (x[:a] @ x[first:].T).astype(np.int64)
+    linked = 100 * same >= threshold * (sizes[:a, None] + sizes[None, first:] - same)
+    if first:
+        return np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+    np.fill_diagonal(linked, False)
+    return linked.sum(axis=1)
+
+
+def _group_links(grouped: DataFrame, sets: DataFrame, threshold: int, buckets: int) -> DataFrame:
+    """(cid, links): links of each class with classes of its own group, from all pairs of the group."""
+    members = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    each = grouped.join(members, "root").withColumn("blocks", blocks).withColumn("block", mine)
+    # A class goes to each pair of blocks that its own is part of.
+    each = each.select(F.col("node").alias("cid"), "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("cid", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("root", "i", "j"), F.lit(buckets)).cast("int"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, i, j), rows in pdf.groupby(["root", "i", "j"], sort=False):
+            rows = rows.sort_values("block", kind="stable")
+            first = int((rows["block"] == i).sum()) if i != j else 0
+            if len(rows) > max(first, 1) and (i == j or first):
+                links = link_counts([np.frombuffer(x, np.uint64) for x in rows["items"]], first, threshold)
+                out.append(pd.DataFrame({"cid": rows["cid"].to_numpy(), "links": links}))
+        return pd.concat(out) if out else pd.DataFrame({"cid": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
+
+    wide = each.join(sets.hint("shuffle_merge"), "cid")
+    return wide.groupBy("bucket").applyInPandas(count, "cid long, links long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: int = 85, common: int = 32, max_common: int = 500_000, max_groups: int = 5_000_000, max_rows: int = 400_000, max_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) for each row.
 
-    Two documents link where 100 * intersection >= threshold * union.  n_links counts the verified links of
-    the document's class, of those that the components needed.
+    Two documents link where 100 * intersection >= threshold * union.  n_links counts the other classes
+    (different sets) that the document's class is linked with.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -291,7 +345,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = classes.select("cid", "rep", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min(F.struct("rep", "cid")).alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("head.cid").alias("a"))
     stars = keyed.join(heads, "key").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct()
-    links = _verified(stars, classes, named, k, threshold, max_broadcast)
+    links, sets = _verified(stars, classes, named, k, threshold, max_broadcast)
     grouped = written(components(links), "jaccard-groups")
     groups = {}
     if grouped.count() <= max_groups:  # else each class is its own group, which costs time only
@@ -307,12 +361,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         del t, packed
     last = _common_shingles(survey.filter("kind = 1").select("bucket", "data"), common, max_common)
     pairs = _candidates(named, k, threshold, last, groups, matrix, buckets)
-    links = links.unionByName(_verified(pairs, classes, named, k, threshold, max_broadcast))
-    links = written(links, "jaccard-links")
+    across, _ = _verified(pairs, classes, named, k, threshold, max_broadcast)
+    # Without groups the candidates hold all pairs, those of the stars as well.
+    counted = across.select(F.explode(F.array("a", "b")).alias("cid"), F.lit(1).cast("long").alias("links"))
+    if groups:
+        counted = counted.unionByName(_group_links(grouped, sets, threshold, buckets))
+    links = written(links.unionByName(across), "jaccard-links")
     roots = components(links).join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     roots = roots.select("node", F.col("root"), "rep")
     names = roots.groupBy("root").agg(F.min("rep").alias("name"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = written(counted.groupBy("cid").agg(F.sum("links").alias("n_links")), "jaccard-degree")
     found = roots.join(names, "root").select(F.col("node").alias("cid"), "name").join(degree, "cid", "left")
     merged = classes.select("cid", "rep").join(found, "cid", "left")
     merged = merged.select("cid", F.coalesce("name", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -67,6 +67,24 @@ def test_equals_brute_force(spark, monkeypatch, seed, kw):
     assert sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in got) == brute(rows, threshold=kw.get("threshold", 85))
 
 
+@pytest.mark.parametrize("kw", [{}, {"threshold": 60, "common": 2}, {"max_groups": 0, "max_rows": 0}])
+@pytest.mark.parametrize("block", [3, 256])
+def test_link_counts_equal_brute_force(spark, monkeypatch, kw, block):
+    monkeypatch.setattr(op9, "BLOCK", block)
+    monkeypatch.setattr(op9, "WIDTH", 16)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(60)}" for _ in range(60)]
+    rows = corpus(6) + [(1000 + i, " ".join([*base, f"own{i}"])) for i in range(20)] + [(1030, " ".join([*base, "own3"]))]
+    threshold = kw.get("threshold", 85)
+    sets = [frozenset(shingles(t, 4)) for _, t in rows]
+    classes = {s for s, (d, _) in zip(sets, rows) if d is not None and s}
+    want = {s: sum(s != o and 100 * len(s & o) >= threshold * len(s | o) for o in classes) for s in classes}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.n_links) for r in jaccard_components(df, **kw).collect() if r.doc_id is not None)
+    assert got == sorted((d, len(s), want.get(s, 0)) for s, (d, _) in zip(sets, rows) if d is not None)
+    assert all(n == 19 for d, _, n in got if d >= 1000 or d == 1030) or threshold == 60
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
