@@ -13,8 +13,8 @@ the distance's logarithm, merged before the shuffle: a group of any size costs a
 and no result depends on the order of rows.  Groups of under ``least`` documents are pooled by
 language, and then all together; with fewer than ``least`` in the end nothing is rejected by the method.
 
-Every variance has a floor, since statistics that are zero in most documents would otherwise
-make any other value an outlier.
+A variance below its floor is raised to it, so that a statistic that is the same in nearly all documents
+leaves no singular covariance; above the floor the estimates of the group decide alone.
 
 Defined results: null and empty texts have no words and fail the base rule; null languages and sources
 are groups of their own; null ids and repeated rows stay.
@@ -33,7 +33,7 @@ UNIT = 10_000
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 P = len(FEATURES)
 #: Least standard deviation of each: log words, log word length, and roots of three shares.
-FLOORS = (0.6, 0.12, 0.12, 0.25, 0.25)
+FLOORS = (0.05, 0.05, 0.05, 0.05, 0.05)
 SHARE = 0.75
 #: Bins of the logarithm of the squared distance.
 BINS = 64
@@ -127,7 +127,9 @@ def _estimate(sums: DataFrame, factor: float) -> DataFrame:
         for j in range(i + 1):
             # n * sum(xy) - sum(x) * sum(y) in exact decimals, then one division
             top = (F.col("n") * F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}")).cast("double")
-            cov[f"c{i}{j}"] = factor * top / (n * n) / UNIT / UNIT + (FLOORS[i] ** 2 if i == j else 0.0)
+            cov[f"c{i}{j}"] = factor * top / (n * n) / UNIT / UNIT
+            if i == j:
+                cov[f"c{i}{j}"] = F.greatest(cov[f"c{i}{j}"], F.lit(FLOORS[i] ** 2))
     return sums.select("model", *(c.alias(k) for k, c in {**mean, **cov}.items()))
 
 
@@ -139,7 +141,7 @@ def robust_fit(scored: DataFrame, steps: int = 4, share: float = SHARE) -> DataF
     spread = pool.join(F.broadcast(centre), "model").groupBy("model", *(f"m{j}" for j in range(P)))
     spread = spread.agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{j}")), 0.5, 10_000).alias(f"d{j}") for j, x in enumerate(FEATURES)))
     zero = {f"c{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)}
-    start = spread.select("model", *((F.col(f"m{j}") / UNIT).alias(f"m{j}") for j in range(P)), *((F.pow(1.4826 * F.col(f"d{j}") / UNIT, F.lit(2.0)) + FLOORS[j] ** 2).alias(f"c{j}{j}") for j in range(P)), *(c.alias(k) for k, c in zero.items()))
+    start = spread.select("model", *((F.col(f"m{j}") / UNIT).alias(f"m{j}") for j in range(P)), *(F.greatest(F.pow(1.4826 * F.col(f"d{j}") / UNIT, F.lit(2.0)), F.lit(FLOORS[j] ** 2)).alias(f"c{j}{j}") for j in range(P)), *(c.alias(k) for k, c in zero.items()))
     state = written(_factor(start, ["model"]), "mcd-state")
     q = chi2_quantile(share, P)
     factor = share / chi2_cdf(q, P + 2)

@@ -116,6 +116,20 @@ def test_quality(spark):
     assert judge(df.limit(0)).count() == 0
 
 
+def test_quality_rejects_what_stands_out_in_one_statistic(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = [(i, "\n".join(" ".join(word() for _ in range(6)) for _ in range(rng.randint(15, 25))), "en", "a") for i in range(300)]
+    # Two lines of three words by turns: no window of eight words is the same line for line, but most lines are.
+    lines = lambda: [x for _ in range(18) for x in (f"{word()} {word()} {word()} {word()} {word()} {word()}", "same line")]
+    rows += [(1000 + i, "\n".join(lines()), "en", "a") for i in range(3)]
+    rows += [(2000 + i, " ".join(word() if rng.random() < 0.8 else "#####" for _ in range(120)), "en", "a") for i in range(3)]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(got[i].kept for i in range(300)) >= 295
+    assert not any(got[i].kept for i in got if i >= 1000)
+
+
 def test_chi_squared():
     assert abs(chi2_quantile(0.999, 5) - 20.515) < 1e-2 and abs(chi2_cdf(6.6257, 5) - 0.75) < 1e-4
 
