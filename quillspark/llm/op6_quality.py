@@ -12,6 +12,8 @@ Everything a step gathers is sums of integers (statistics in units of 1/10,000)
 the distance's logarithm, merged before the shuffle: a group of any size costs a few rows per task,
 and no result depends on the order of rows.  Groups of under ``least`` documents are pooled by
 language, and then all together; with fewer than ``least`` in the end nothing is rejected by the method.
+Every larger group keeps its own model, however many there are: above ``max_models`` the tables of groups and
+models are joined by a shuffle, salted against large groups, instead of a broadcast.
 
 A variance below its floor is raised to it, so that a statistic that is the same in nearly all documents
 leaves no singular covariance; above the floor the estimates of the group decide alone.
@@ -35,6 +37,8 @@ P = len(FEATURES)
 #: Least standard deviation of each: log words, log word length, and roots of three shares.
 FLOORS = (0.05, 0.05, 0.05, 0.05, 0.05)
 SHARE = 0.75
+#: Parts of a group where its model is joined by a shuffle.
+SALTS = 16
 #: Bins of the logarithm of the squared distance.
 BINS = 64
 
@@ -133,12 +137,26 @@ def _estimate(sums: DataFrame, factor: float) -> DataFrame:
     return sums.select("model", *(c.alias(k) for k, c in {**mean, **cov}.items()))
 
 
-def robust_fit(scored: DataFrame, steps: int = 4, share: float = SHARE) -> DataFrame:
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each of the keys; null equals null."""
+    if small:
+        table = F.broadcast(table)
+    else:
+        rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        keys = [*keys, "__salt"]
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
+    return rows.alias("r").join(table.alias("t"), same, how).select("r.*", *(f"t.{c}" for c in table.columns if c not in keys)).drop("__salt")
+
+
+def robust_fit(scored: DataFrame, steps: int = 4, share: float = SHARE, small: bool = True) -> DataFrame:
     """(model, m*, l**, logdet) per model, from rows (model, x*)."""
     pool = scored.select("model", *FEATURES)
     mid = [F.percentile_approx(x, 0.5, 10_000).alias(f"m{j}") for j, x in enumerate(FEATURES)]
     centre = written(pool.groupBy("model").agg(*mid), "mcd-centre")
-    spread = pool.join(F.broadcast(centre), "model").groupBy("model", *(f"m{j}" for j in range(P)))
+    spread = _joined(pool, centre, ["model"], small).groupBy("model", *(f"m{j}" for j in range(P)))
     spread = spread.agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{j}")), 0.5, 10_000).alias(f"d{j}") for j, x in enumerate(FEATURES)))
     zero = {f"c{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)}
     start = spread.select("model", *((F.col(f"m{j}") / UNIT).alias(f"m{j}") for j in range(P)), *(F.greatest(F.pow(1.4826 * F.col(f"d{j}") / UNIT, F.lit(2.0)), F.lit(FLOORS[j] ** 2)).alias(f"c{j}{j}") for j in range(P)), *(c.alias(k) for k, c in zero.items()))
@@ -149,12 +167,12 @@ def robust_fit(scored: DataFrame, steps: int = 4, share: float = SHARE) -> DataF
     total = [F.count(F.lit(1)).cast("decimal(18,0)").alias("n"), *(F.sum(dec(F.col(x))).cast("decimal(18,0)").alias(f"s{j}") for j, x in enumerate(FEATURES))]
     total += [F.sum(dec(F.col(FEATURES[i]) * F.col(FEATURES[j]))).cast("decimal(20,0)").alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]
     for _ in range(steps):
-        binned = _distance(pool.join(F.broadcast(state), "model")).select("model", *FEATURES, F.floor(F.log(F.col("d2") + 1e-9) * BINS).alias("bin"))
+        binned = _distance(_joined(pool, state, ["model"], small)).select("model", *FEATURES, F.floor(F.log(F.col("d2") + 1e-9) * BINS).alias("bin"))
         counts = binned.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("k"))
         w = Window.partitionBy("model")
         run = counts.withColumn("upto", F.sum("k").over(w.orderBy("bin"))).withColumn("all", F.sum("k").over(w))
         edge = run.filter(F.col("upto") >= share * F.col("all")).groupBy("model").agg(F.min("bin").alias("edge"))
-        inner = binned.join(F.broadcast(written(edge, "mcd-edge")), "model").filter("bin <= edge")
+        inner = _joined(binned, written(edge, "mcd-edge"), ["model"], small).filter("bin <= edge")
         state = written(_factor(_estimate(inner.groupBy("model").agg(*total), factor), ["model"]), "mcd-state")
     return state
 
@@ -171,15 +189,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     model = F.when(F.col("n") >= least, F.concat_ws("\x01", tag("__lang"), tag("__source"))).when(F.col("small") >= least, tag("__lang")).otherwise(F.lit("*"))
     groups = written(groups.select("__lang", "__source", model.alias("model")), "quality-groups")
-    if groups.count() > max_models:  # many tiny sources: one model a language
-        groups = groups.select("__lang", "__source", tag("__lang").alias("model"))
-    both = F.col("s.__lang").eqNullSafe(F.col("g.__lang")) & F.col("s.__source").eqNullSafe(F.col("g.__source"))
-    small = groups.count() <= max_models
-    scored = stats.alias("s").join((F.broadcast(groups) if small else groups).alias("g"), both, "left").select("s.*", "g.model")
+    scored = _joined(stats, groups, ["__lang", "__source"], groups.count() <= max_models, "left")
     good = scored.filter(~F.col("base_failed"))
-    counts = good.groupBy("model").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("model")
-    fitted = robust_fit(good.join(F.broadcast(written(counts, "quality-models")), "model"))
-    out = _distance(scored.join(F.broadcast(fitted), "model", "left"))
+    counts = written(good.groupBy("model").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("model"), "quality-models")
+    small = counts.count() <= max_models
+    fitted = robust_fit(_joined(good, counts, ["model"], small), small=small)
+    out = _distance(_joined(scored, fitted, ["model"], small, "left"))
     return out.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"), "d2", *also)
 
 

@@ -130,6 +130,17 @@ def test_quality_rejects_what_stands_out_in_one_statistic(spark):
     assert not any(got[i].kept for i in got if i >= 1000)
 
 
+def test_quality_keeps_a_model_a_group_at_any_number_of_groups(spark):
+    rng = random.Random(4)
+    prose = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(k)) for _ in range(rng.randint(60, 90)))
+    rows = [(i, prose(4 if i % 2 else 9), "en", "short" if i % 2 else "long") for i in range(160)]
+    rows += [(1000, prose(9), "en", "short"), (1001, prose(5), None, "tiny"), (1002, prose(5), "en", None), (None, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    few, many = (sorted(judge(df, max_models=m).select("doc_id", "kept", "d2").collect(), key=lambda r: r.doc_id or -1) for m in (20_000, 1))
+    assert few == many and len(many) == len(rows)
+    assert not next(r.kept for r in many if r.doc_id == 1000)
+
+
 def test_chi_squared():
     assert abs(chi2_quantile(0.999, 5) - 20.515) < 1e-2 and abs(chi2_cdf(6.6257, 5) - 0.75) < 1e-4
 
