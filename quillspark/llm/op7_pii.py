@@ -8,8 +8,8 @@ are of that kind, an instance's is that of its patterns combined.  Patterns of h
 enough distinct seeds then mark unseen instances as identifiers of their kind.
 
 The texts are read twice and never shuffled: once for the graph's edges (few, and merged before the
-shuffle), once to mark spans with the accepted patterns, at most ``max_patterns`` of the most
-confident, which bounds the broadcast.
+shuffle), once to mark spans with the accepted patterns.  All of them are collected and broadcast,
+however many there are: the driver's memory grows with their number.
 
 Defined results: null and empty texts have no spans; ids may be null; repeated rows stay; copies of
 a text count once, since pattern and instance make one edge however often they meet.
@@ -143,7 +143,7 @@ def edges(docs: DataFrame, text_col: str) -> DataFrame:
     return found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
 
 
-def bootstrap(docs: DataFrame, text_col: str = "text", turns: int = 2, confidence: float = 0.9, seeds: float = 5.0, max_patterns: int = 50_000) -> dict[str, int]:
+def bootstrap(docs: DataFrame, text_col: str = "text", turns: int = 2, confidence: float = 0.9, seeds: float = 5.0) -> dict[str, int]:
     """Accepted patterns and their kinds."""
     arrow_batches(docs.sparkSession)
     graph = written(edges(docs, text_col), "pii-edges")
@@ -158,7 +158,7 @@ def bootstrap(docs: DataFrame, text_col: str = "text", turns: int = 2, confidenc
         new = graph.filter("kind is null").select("pattern", "instance").join(accepted, "pattern").groupBy("instance", "kind")
         new = new.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
         scores = known.unionByName(new.join(known.select("instance"), "instance", "left_anti"))
-    top = accepted.orderBy(F.desc("confidence"), F.desc("hits"), "pattern", "kind").limit(max_patterns).collect()
+    top = accepted.orderBy(F.desc("confidence"), F.desc("hits"), "pattern", "kind").collect()
     return {r["pattern"]: r["kind"] for r in reversed(top)}
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import op7_pii
 from quillspark.llm.op1_secrets import scan_secrets
@@ -184,3 +185,9 @@ def test_personal_data_is_bootstrapped(spark):
     texts = {r.doc_id: r.text for r in redact(df, patterns).collect()}
     assert texts[101] == "note: Reach me on [PHONE] today ok" and texts[None] == "mail [EMAIL]" and texts[300] is None and texts[200] == rows[63][1]
     assert find(df.limit(0), bootstrap(df.limit(0))).count() == 0
+
+
+def test_all_accepted_patterns_are_kept(spark):
+    name = F.translate(F.floor(F.col("id") / 5).cast("string"), "0123456789", "abcdefghij")
+    text = F.concat(name, F.lit(" id u"), F.col("id") % 5, F.lit("@x.org"))
+    assert len(bootstrap(spark.range(5 * 50_010).select(text.alias("text")))) == 50_010
