@@ -6,6 +6,9 @@ vectorizer and the fusion constant (60) are this library's choice.
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,26 +24,39 @@ def validate(query: str, top: int, skip: int) -> None:
         raise ValueError("a query, a top of 1 to 100 and a skip of 0 or more are needed")
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once, so that ``body`` may use it repeatedly without recomputing it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def term_counts(chunks: DataFrame, terms: list[str], key: str, text_col: str, **more: Column) -> DataFrame:
+    """(key, *more, n, tf): length in tokens and the count of each term, of every chunk."""
+    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    spelt = chunks.select(key, *(c.alias(k) for k, c in more.items()), tokens(F.col(text_col)).alias("__t"))
+    counts = _let(F.filter("__t", lambda x: F.array_contains(wanted, x)), lambda hits: F.transform(wanted, lambda w: F.size(F.filter(hits, lambda x: x == w))))
+    return spelt.select(key, *more, F.size("__t").alias("n"), counts.alias("tf"))
+
+
+def _bm25(counted: DataFrame, terms: list[str], key: str, k1: float, b: float) -> DataFrame:
+    """(key, score) from (key, n, tf); the statistics are one row."""
+    tf = lambda i: F.element_at("tf", i + 1)
+    stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("n").alias("avg_n"), *(F.count_if(tf(i) > 0).alias(f"df{i}") for i in range(len(terms)))).first()
+    score, found = F.lit(0.0), F.lit(False)
+    for i in range(len(terms)):
+        idf = math.log1p((stats["N"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
+        score = score + F.lit(idf) * tf(i) * (k1 + 1) / (tf(i) + k1 * (1 - b + b * F.col("n") / F.lit(float(stats["avg_n"] or 1.0))))
+        found = found | (tf(i) > 0)
+    return counted.filter(found).select(key, score.alias("score"))
+
+
 def bm25(chunks: DataFrame, query: str, key: str, text_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the chunks with a query term.
 
-    Only occurrences of the query's few terms are exploded: they are known before the scan, so each
-    chunk yields at most one row per term and no full inverted index is shuffled.
+    The query's few terms are known before the scan, so a chunk becomes one narrow row of counts and no
+    inverted index is shuffled.
     """
     terms = sorted(set(_terms(query)))
-    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    spelt = chunks.select(F.col(key), tokens(F.col(text_col)).alias("__t")).select(key, F.size("__t").alias("n"), F.filter("__t", lambda x: F.array_contains(wanted, x)).alias("hits"))
-    stats = spelt.agg(F.count(F.lit(1)).alias("N"), F.avg("n").alias("avg_n"), *(F.count_if(F.array_contains("hits", t)).alias(f"df{i}") for i, t in enumerate(terms))).first()
-    score = F.lit(0.0)
-    for i, t in enumerate(terms):
-        tf = F.size(F.filter("hits", _equals(t)))
-        idf = F.lit(float(stats["N"] - stats[f"df{i}"]) + 0.5) / F.lit(stats[f"df{i}"] + 0.5)
-        score = score + F.log(1 + idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.lit(float(stats["avg_n"] or 1.0))))
-    return spelt.filter(F.size("hits") > 0).select(key, score.alias("score"))
-
-
-def _equals(term: str):
-    return lambda x: x == F.lit(term)
+    return _bm25(term_counts(chunks, terms, key, text_col), terms, key, k1, b)
 
 
 def _terms(query: str) -> list[str]:
@@ -49,16 +65,47 @@ def _terms(query: str) -> list[str]:
     return [t for t in regex.split(r"[^\p{L}\p{N}]+", query.lower()) if t]
 
 
+def _slots(c: Column, dims: int) -> Column:
+    """Slot of each token: the first 16 bits of its MD5, modulo ``dims``."""
+    return F.transform(tokens(c), lambda x: F.pmod(F.conv(F.substring(F.md5(x), 1, 4), 16, 10).cast("int"), F.lit(dims)))
+
+
 def hashed_vector(c: Column, dims: int = 64) -> Column:
-    """Deterministic hashed term frequencies, L2-normalised: a stand-in where no embedding model is at hand."""
-    slots = F.transform(tokens(c), lambda x: F.pmod(F.xxhash64(x), F.lit(dims)).cast("int"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return F.transform(raw, lambda x: x / F.greatest(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12)))
+    """Deterministic hashed term frequencies, L2-normalised: a stand-in where no embedding model is at hand.
+
+    Tokens are hashed once a row.
+    """
+    counts = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+    norm = lambda raw: F.greatest(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12))
+    return _let(_slots(c, dims), lambda s: _let(counts(s), lambda raw: _let(norm(raw), lambda n: F.transform(raw, lambda x: x / n))))
+
+
+def hashed_cosine(c: Column, query_vector: list[float]) -> Column:
+    """Cosine of a text's hashed vector with a unit vector, without building the text's: linear in its tokens.
+
+    The dot product adds the query's weight of each token; the norm adds 2 * run + 1 for each further token
+    of a run in slot order, which gives the sum of the squared counts.
+    """
+    weights = F.array(*(F.lit(float(x)) for x in query_vector))
+
+    def of(slots: Column) -> Column:
+        dot = F.aggregate(slots, F.lit(0.0), lambda a, x: a + F.element_at(weights, x + 1))
+        start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("sum"))
+
+        def step(a: Column, x: Column) -> Column:
+            run = F.when(a["last"] == x, a["run"]).otherwise(0)
+            return F.struct(x.alias("last"), (run + 1).alias("run"), (a["sum"] + 2 * run + 1).alias("sum"))
+
+        squares = F.aggregate(F.array_sort(slots), start, step, lambda a: a["sum"].cast("double"))
+        return F.coalesce(F.try_divide(dot, F.sqrt(squares)), F.lit(0.0))
+
+    return _let(_slots(c, len(query_vector)), of)
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Zero where either vector is."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
 def vector_search(vectors: DataFrame, query: list[float], key: str, vector_col: str, k: int) -> DataFrame:
@@ -68,8 +115,8 @@ def vector_search(vectors: DataFrame, query: list[float], key: str, vector_col:
 
 
 def ranked(scored: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, rank) of the best k.  The window runs over k rows."""
-    best = scored.orderBy(F.desc("score"), key).limit(k)
+    """(key, rank) of the best k; scores are equal to nine places.  The window runs over k rows."""
+    best = scored.select(key, F.round("score", 9).alias("score")).orderBy(F.desc("score"), key).limit(k)
     return best.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"))
 
 
@@ -81,17 +128,22 @@ def fuse(a: DataFrame, b: DataFrame, key: str, constant: int = 60) -> DataFrame:
 
 
 def hybrid_search(chunks: DataFrame, query: str, key: str, text_col: str, top: int, skip: int = 0, vector_col: str | None = None, query_vector: list[float] | None = None, depth: int = 100) -> DataFrame:
-    """(key, score): the page of the fused list."""
+    """(key, score): the page of the fused list.
+
+    One pass over the texts makes a narrow row of each chunk (length, counts of the query's terms, cosine),
+    which is kept for both rankings.
+    """
     validate(query, top, skip)
     depth = max(depth, top + skip)
-    text = ranked(bm25(chunks, query, key, text_col), key, depth)
+    terms = sorted(set(_terms(query)))
     if vector_col is None:
-        spark = chunks.sparkSession
-        query_vector = spark.range(1).select(hashed_vector(F.lit(query)).alias("v")).first()["v"]
-        chunks = chunks.withColumn("__v", hashed_vector(F.col(text_col)))
-        vector_col = "__v"
-    near = ranked(vector_search(chunks, query_vector, key, vector_col, depth), key, depth)
-    return fuse(text, near, key).orderBy(F.desc("score"), key).offset(skip).limit(top)
+        query_vector = chunks.sparkSession.range(1).select(hashed_vector(F.lit(query)).alias("v")).first()["v"]
+        near = hashed_cosine(F.col(text_col), query_vector)
+    else:
+        near = cosine(F.col(vector_col), F.array(*(F.lit(float(x)) for x in query_vector)))
+    counted = term_counts(chunks, terms, key, text_col, near=near).persist(StorageLevel.DISK_ONLY)
+    text = ranked(_bm25(counted, terms, key, 1.2, 0.75), key, depth)
+    return fuse(text, ranked(counted.select(key, F.col("near").alias("score")), key, depth), key).orderBy(F.desc("score"), key).offset(skip).limit(top)
 
 
 def distinct_citations(hits: DataFrame) -> DataFrame:

@@ -134,3 +134,15 @@ EDGES = """edges AS (
     CASE WHEN l_orderkey % 37 = 0 THEN 'Retracted' ELSE 'Active' END AS status,
     'd' || CAST(l_orderkey % 20 AS VARCHAR) AS document_id, 'r1' AS document_version
   FROM lineitem, (SELECT max(p_partkey) + 1 AS m FROM part) WHERE l_orderkey % 5 = 0)"""
+
+
+def chunks_sql(source: str, size: int, overlap: int) -> str:
+    """CTEs that end in chunks (doc_id, chunk_number, content) of ``source`` (doc_id, text), for texts without surrogate pairs."""
+    return f"""ck_w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\s\\x0b\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '') AS ws FROM {source}),
+ck_u AS (SELECT doc_id, i, ws[i] AS w, sum(length(ws[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM ck_w, unnest(range(1, len(ws) + 1)) t(i)),
+ck_p AS (SELECT doc_id, list(w ORDER BY i) AS ws, list(upto - length(w) - 1 ORDER BY i) AS s, list(upto - 1 ORDER BY i) AS e FROM ck_u GROUP BY 1),
+ck_r(doc_id, k, first, last) AS (SELECT doc_id, 0, 1, greatest(1, len(list_filter(e, lambda x: x <= s[1] + {size}))) FROM ck_p
+  UNION ALL SELECT doc_id, k + 1, f, greatest(f, len(list_filter(e, lambda x: x <= s[f] + {size}))) FROM (
+    SELECT r.doc_id, k, s, e, CAST(least(last + 1, 1 + len(list_filter(s, lambda x: x < greatest(s[first] + 1, e[last] - {overlap})))) AS INTEGER) AS f
+    FROM ck_r r JOIN ck_p p ON p.doc_id = r.doc_id WHERE last < len(ws)) n),
+chunks AS (SELECT r.doc_id, k AS chunk_number, array_to_string(ws[first:last], ' ') AS content FROM ck_r r JOIN ck_p p ON p.doc_id = r.doc_id)"""
