@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Rows that go to a Python worker at once; texts are a few KB, so a batch is a few MB.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,17 +29,35 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so a worker's memory follows the texts and not the partition."""
+    """Bound the rows and bytes of an Arrow batch, so a worker's memory follows the texts and not the partition.
+
+    The session keeps the setting: plans read it when they run, which is later than the operator's call.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """A fresh folder below spark.checkpoint.dir, which is removed when the application ends.
+
+    Where that is unset, a local session sets its own; a cluster must name one, since its machines share no local folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-checkpoints")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-quillspark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = _folder(spark, path)
+    folder[0].deleteOnExit(folder[1])
+    return path
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop's file API."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +65,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillspark_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of :func:`written`, which no later plan may read."""
+    fs, at = _folder(df.sparkSession, df._quillspark_path)
+    fs.delete(at, True)
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` (cheap to read repeatedly) with ``table``, which has one row for each key.
+
+    Keys with over a fourth of a partition's share of the rows are fewer than four times the partitions: their rows of the
+    table are broadcast, and only the others are shuffled, so no key fills a task.
+    """
+    per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__k"))
+    hot = rows.count() // (4 * parallelism(rows.sparkSession))
+    hot = F.broadcast(written(per_key.filter((F.col("__k") > hot) & F.col(key).isNotNull()).select(key), "hot-keys"))
+    often = rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key, "left")
+    return rows.join(hot, key, "left_anti").join(table, key, "left").unionByName(often)
+
+
+def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each bucket that has any."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(n + 1))
+    for b in np.flatnonzero(np.diff(edges)):
+        yield int(b), order[edges[b] : edges[b + 1]]
 
 
 def let(value: Column, body) -> Column:

@@ -6,29 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are taken at once.
 SLICE = 1 << 20
-_SEGMENT = 1 << 20
-_B = 0x9E3779B97F4A7C15 | 1
-_B_INV = pow(_B, -1, 1 << 64)
+#: Words of up to so many times eight bytes are hashed in columns, longer ones one by one.
+_CHUNKS = 16
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: tuple[np.ndarray, np.ndarray] | None = None
 U64 = np.uint64
 
 
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None:
-        up, down = np.full(_SEGMENT + 1, _B, U64), np.full(_SEGMENT + 1, _B_INV, U64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64 bits."""
     x = x ^ (x >> U64(30))
@@ -91,29 +82,30 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def word_hashes(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row and the end): equal words have equal hashes.
 
-    A polynomial of the bytes modulo 2**64 by differences of running sums, then mixed.
+    Eight bytes at a time are mixed into a state that begins with the length, so words of up to eight bytes
+    and one length never share a hash; words of over ``_CHUNKS`` * 8 bytes are hashed by xxh64.
     """
     data, offsets = text_bytes(column)
     if lower:
         data = _LOWER[data]
     starts, ends, per_row = word_bounds(data, offsets)
-    up, down = powers()
-    at_start, at_end, inverse = (np.zeros(len(starts), U64) for _ in range(3))
-    carry, base, base_inv = 0, 1, 1
-    mask = (1 << 64) - 1
-    for lo in range(0, len(data), _SEGMENT):
-        part = data[lo : lo + _SEGMENT]
-        run = np.zeros(len(part) + 1, U64)
-        np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=run[1:])
-        run = run * U64(base) + U64(carry)
-        a, b = np.searchsorted(starts, [lo, lo + len(part)])
-        at_start[a:b] = run[starts[a:b] - lo]
-        inverse[a:b] = down[starts[a:b] - lo] * U64(base_inv)
-        a, b = np.searchsorted(ends, [lo, lo + len(part)], "right")
-        at_end[a:b] = run[ends[a:b] - lo]
-        carry = int(run[-1])
-        base, base_inv = base * int(up[len(part)]) & mask, base_inv * int(down[len(part)]) & mask
-    return mix((at_end - at_start) * inverse + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F)), per_row
+    size = ends - starts
+    out = mix(size.astype(U64) * U64(0xA0761D6478BD642F) + U64(0x5851F42D4C957F2D))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    # The eight bytes from any place as one number: strides of one byte over the same memory.
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    short = size <= 8 * _CHUNKS
+    rows = np.flatnonzero(short) if not short.all() else np.arange(len(size))
+    at, left = starts[rows], size[rows]
+    while len(rows):
+        part = eight[at] & _MASKS[np.minimum(left, 8)]
+        out[rows] = mix((out[rows] ^ part) * U64(0xD6E8FEB86659FD93))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=1)
+    return out, per_row
 
 
 def planes(x: np.ndarray) -> bytes:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from . import winnow
-from .common import arrow_batches, documents, parallelism, written
+from .common import arrow_batches, by_bucket, documents, parallelism, written
 
 WINDOW, GRAM = 13, 5
 FLUSH = 1_000_000
@@ -97,13 +97,6 @@ class SuffixAutomaton:
         return out
 
 
-def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), order[edges[b] : edges[b + 1]]
-
-
 def _groups(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (anchor, content, id), and where anchors and passages begin in it."""
     order = np.lexsort((ids, content, anchor))
@@ -130,10 +123,10 @@ def passages(src: DataFrame, buckets: int, hot: int) -> DataFrame:
             # A smaller id in this very task decides at once; one row of each passage is shipped.
             owner = ids[np.maximum.accumulate(np.where(new_c, np.arange(len(ids)), 0))] if len(ids) else ids
             done = ids > owner
-            for b, rows in _by_bucket((content[done] % H.U64(buckets)).astype(np.int64), buckets):
+            for b, rows in by_bucket((content[done] % H.U64(buckets)).astype(np.int64), buckets):
                 kinds.append(1), at.append(b), data.append(H.pack(ids[done][rows], content[done][rows]))
             anchor, content, ids = anchor[new_c], content[new_c], ids[new_c]
-            for b, rows in _by_bucket(((anchor >> H.U64(17)) % H.U64(buckets)).astype(np.int64), buckets):
+            for b, rows in by_bucket(((anchor >> H.U64(17)) % H.U64(buckets)).astype(np.int64), buckets):
                 kinds.append(0), at.append(b), data.append(H.pack(anchor[rows], content[rows], ids[rows]))
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["kind", "bucket", "data"])
 

@@ -1,31 +1,29 @@
-"""Operator 9: n-gram Jaccard join with a prefix filter and a matrix of token counts.
+"""Operator 9: n-gram Jaccard join by a token-group matrix.
 
 A document's set is its distinct word shingles.  Documents with equal sets are one class, which its
 smallest id represents.  The join finds which classes are linked:
 
-1. One pass makes each class's size, three smallest shingles (its group keys), and a row of the
-   matrix: its shingles counted in 256 columns.  For any two rows the overlap of the sets is at most
-   the sum of the columns' minima.
-2. Similar documents share a group key.  Each member is compared with its group's first class only (a
-   star, never all pairs), if the bound allows the overlap that the threshold needs; exact sets decide.
-   The components of these links are the groups.
-3. Exact completion by the prefix filter: two sets of the wanted similarity share one of their first
-   n - ceil(threshold * n) + 1 shingles in any fixed order.  Frequent shingles come last in the order
-   (at most ``max_common`` of them are broadcast; they change the cost, never the result).  A shingle's
-   postings that lie in one group open nothing; those of different groups are queries against
-   each other, and only pairs that size, position and matrix bound allow are opened.  Up to ``max_rows``
-   classes (counted) have their rows of the matrix at hand there, 256 bytes each; beyond that the bound
-   is applied to the pairs afterwards.
-
-4. Links inside a group are counted from the exact sets of all its pairs, as products of 0/1 matrices of
-   ``BLOCK`` classes each; a large group's pairs of blocks are spread over the tasks.
-
-No link is lost.  Exact copies cost their number; classes of one group are counted pair by pair, but no
-row is made for a pair.  Postings are packed by hash bucket and merged per task.  Classes and shingles are
-told apart by 64-bit hashes.  There is no bound for a whole group: see the README.
+1. Groups.  Classes with one least shingle are a group (similar sets mostly share it); groups of over ``block``
+   classes or ``block_items`` shingles are cut.  Any partition gives the same result; a good one is cheaper.
+2. Matrix.  Each group's token union and its range of sizes is a row of a table.
+3. Candidates.  Two sets of the wanted similarity share one of their first n - ceil(threshold * n) + 1 shingles
+   in any fixed order, so only groups whose members share such a shingle can hold a link; frequent shingles
+   come last in the order (at most ``max_common`` are broadcast; they change the cost, never the result).
+   What meets are groups and shingles: copies and near copies of a text are one posting.
+4. Bound.  Of two such groups the members of the smaller one are queries; how many shingles of a query the
+   other group's union holds bounds its overlap with any member.  Queries that the bound rules out are done.
+5. Only qualifying groups are opened: the exact sets of query and members decide.  A group's own classes
+   are compared with each other in the same place.  Links become counts, and edges to one member of each
+   connected part, so that no row is made for a pair; components of the edges name the classes.
+
+Bound and opening run over rows sorted by group, the group's row first, so that a task holds one group at a time; a
+group with many queries is dealt to several tasks.  No link is lost.  Postings are packed by hash bucket and merged per
+task.  Classes and shingles are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have an empty set and no link; rows with a null id have no
-component; rows with one id and different texts are separate; repeated rows stay.
+component; rows with one id and different texts are separate; repeated rows stay, and count as one class;
+ties (sets of equal size and order) change nothing; an empty table gives no row; very long texts are one
+set each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,16 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import arrow_batches, documents, parallelism, shared_dir, written
+from .common import arrow_batches, by_bucket, documents, joined, parallelism, shared_dir, written
 from .components import components
-from .op8_substrings import _by_bucket
 
-COLUMNS = 256
-KEYS = 3
 FLUSH = 500_000
-#: Classes of a group that are compared at once, and shingles of a matrix.
-BLOCK, WIDTH = 256, 8192
-_FULL = 255
+#: Shingles of a 0/1 matrix.
+WIDTH = 8192
+#: Queries of a group in one task.
+QUERIES = 2048
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -77,65 +73,53 @@ def prefix_length(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
-def needed(a, b, threshold: int):
-    """Least overlap of two sets of these sizes."""
-    return -(-threshold * (a + b) // (100 + threshold))
+def _sets_of(batches: Iterator[pa.RecordBatch], column: int, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in batches:
+        for a, b in H.slices(batch.column(column)):
+            part = batch.slice(a, b - a)
+            yield part, shingle_sets(part.column(column), k)
 
 
-def matrix_row(x: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((x >> H.U64(56)).astype(np.int64), minlength=COLUMNS), _FULL).astype(np.uint8).tobytes()
-
-
-def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Most that sets with these matrix rows can share; a full column bounds nothing."""
-    least = np.minimum(x, y)
-    return np.where((least == _FULL).any(axis=1), 1 << 60, least.sum(axis=1, dtype=np.int64))
-
-
-def bound_allows(rows_a: list[bytes], rows_b: list[bytes], a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether sets with these matrix rows and sizes can be similar enough."""
-    x, y = (np.frombuffer(b"".join(r), np.uint8).reshape(-1, COLUMNS) for r in (rows_a, rows_b))
-    return (overlap_bound(x, y) >= needed(a, b, threshold)) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b))
+def _packed_buckets(columns: list[np.ndarray], token: np.ndarray, buckets: int) -> tuple[list, list]:
+    at, data = [], []
+    for b, rows in by_bucket(((token >> H.U64(13)) % H.U64(buckets)).astype(np.int64), buckets):
+        at.append(b), data.append(H.pack(*(c[rows] for c in columns)))
+    return at, data
 
 
 def _surveyed(src: DataFrame, k: int, threshold: int, buckets: int) -> str:
     """Path of (kind, ...): kind 0 has a row a document, kind 1 packed counts of prefix shingles."""
-    schema = "kind int, doc_id long, cid long, n long, keys array<long>, row binary, bucket int, data binary"
-    names = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
+    types = {"kind": pa.int32(), "doc_id": pa.int64(), "cid": pa.int64(), "n": pa.int64(), "key": pa.int64(), "bucket": pa.int32(), "data": pa.binary()}
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, size = [], set(), 0
 
+        def rows(m: int, **known) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(known[c], t) if c in known else pa.nulls(m, t) for c, t in types.items()], list(types))
+
         def flush() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear(), seen.clear()
-            at, data = [], []
-            for b, rows in _by_bucket(((tokens >> H.U64(13)) % H.U64(buckets)).astype(np.int64), buckets):
-                at.append(b), data.append(H.pack(tokens[rows], counts[rows].astype(np.int64)))
-            m = len(at)
-            return pa.RecordBatch.from_arrays([pa.array([1] * m, types[0]), *(pa.nulls(m, t) for t in types[1:6]), pa.array(at, types[6]), pa.array(data, types[7])], names)
+            at, data = _packed_buckets([tokens, counts.astype(np.int64)], tokens, buckets)
+            return rows(len(at), kind=[1] * len(at), bucket=at, data=data)
 
-        for batch in batches:
-            for a, b in H.slices(batch.column(1)):
-                cids, sizes, keys, rows = [], [], [], []
-                for x in shingle_sets(batch.column(1).slice(a, b - a), k):
-                    n, cid = len(x), class_of(x)
-                    cids.append(cid), sizes.append(n), keys.append(x[:KEYS].view(np.int64).tolist()), rows.append(matrix_row(x))
-                    if n and cid not in seen:
-                        seen.add(cid)
-                        held.append(x[: prefix_length(n, threshold)].copy())
-                        size += len(held[-1])
-                m = b - a
-                yield pa.RecordBatch.from_arrays([pa.array([0] * m, types[0]), batch.column(0).slice(a, m), *(pa.array(v, t) for v, t in zip((cids, sizes, keys, rows), types[2:6])), pa.nulls(m, types[6]), pa.nulls(m, types[7])], names)
-                if size >= FLUSH:
-                    yield flush()
-                    size = 0
+        for part, sets in _sets_of(batches, 1, k):
+            cids = [class_of(x) for x in sets]
+            for cid, x in zip(cids, sets):
+                if len(x) and cid not in seen:
+                    seen.add(cid)
+                    held.append(x[: prefix_length(len(x), threshold)].copy())
+                    size += len(held[-1])
+            keys = [x[:1].view(np.int64).tolist()[0] if len(x) else None for x in sets]
+            yield rows(len(part), kind=[0] * len(part), doc_id=part.column(0), cid=cids, n=[len(x) for x in sets], key=keys)
+            if size >= FLUSH:
+                yield flush()
+                size = 0
         if held:
             yield flush()
 
     path = shared_dir(src.sparkSession, "jaccard-survey")
-    src.mapInArrow(survey, schema).write.partitionBy("kind").parquet(path)
+    src.mapInArrow(survey, "kind int, doc_id long, cid long, n long, key long, bucket int, data binary").write.partitionBy("kind").parquet(path)
     return path
 
 
@@ -151,179 +135,254 @@ def _common_shingles(counts: DataFrame, common: int, most: int) -> np.ndarray:
         return pd.DataFrame({"token": tokens[c >= common].view(np.int64), "c": c[c >= common]})
 
     found = counts.groupBy("bucket").applyInPandas(total, "token long, c long").orderBy(F.desc("c"), "token").limit(most)
-    return np.sort(np.array([r["token"] for r in found.collect()], np.int64).view(np.uint64))
+    return np.sort(found.select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, groups: dict[int, int], matrix: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """Distinct pairs (a, b) of classes in different groups that share a prefix shingle and may overlap enough.
+def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, parts: dict[int, int], buckets: int) -> DataFrame:
+    """Distinct pairs (g, h), g < h, of groups whose members share a prefix shingle and may be of similar size.
 
-    ``matrix`` has the classes' numbers, sorted, and their rows; without rows the bound comes later.
+    ``parts`` says into how many groups the classes of a key are cut; see :func:`jaccard_components`.
     """
-    spark = src.sparkSession
-    shared, rows_of = spark.sparkContext.broadcast((common, groups)), spark.sparkContext.broadcast(matrix)
+    shared = src.sparkSession.sparkContext.broadcast((common, parts))
+
+    def collapsed(token, group, least, most):
+        order = np.lexsort((group, token))
+        token, group, least, most = token[order], group[order], least[order], most[order]
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])]))
+        return token[first], group[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, group_of = shared.value
+        last, cut = shared.value
         held, seen, size = [], set(), 0
 
         def flush() -> pa.RecordBatch:
-            token = np.concatenate([h[0] for h in held])
             sizes = [len(h[0]) for h in held]
-            cid, group, n = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (1, 2, 3))
-            place = np.concatenate([np.arange(s) for s in sizes])
+            group, n = (np.repeat(np.array([h[i] for h in held], t), sizes) for i, t in ((1, np.int64), (2, np.int32)))
+            token, group, least, most = collapsed(np.concatenate([h[0] for h in held]), group, n, n)
             held.clear(), seen.clear()
-            order = np.argsort(token, kind="stable")
-            token, cid, group, n, place = (x[order] for x in (token, cid, group, n, place))
-            at, data = [], []
-            for b, r in _by_bucket(((token >> H.U64(13)) % H.U64(buckets)).astype(np.int64), buckets):
-                at.append(b), data.append(H.pack(token[r], cid[r], group[r] ^ cid[r], n[r].astype(np.int32), place[r].astype(np.int32)))
+            at, data = _packed_buckets([token, group, least, most - least], token, buckets)
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
-        for batch in batches:
-            for a, b in H.slices(batch.column(1)):
-                for x in shingle_sets(batch.column(1).slice(a, b - a), k):
-                    n, cid = len(x), class_of(x)
-                    if not n or cid in seen:
-                        continue
-                    seen.add(cid)
-                    p = prefix_length(n, threshold)
-                    if len(last):
-                        rare = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] != x
-                        mine = x[rare][:p]
-                        x = mine if len(mine) == p else np.concatenate([mine, x[~rare][: p - len(mine)]])
-                    held.append((x[:p].copy(), cid, group_of.get(cid, cid), n))
-                    size += p
-                    if size >= FLUSH:
-                        yield flush()
-                        size = 0
+        for _, sets in _sets_of(batches, 1, k):
+            for x in sets:
+                n, cid = len(x), class_of(x)
+                if not n or cid in seen:
+                    continue
+                seen.add(cid)
+                key, p = int(x[:1].view(np.int64)[0]), prefix_length(n, threshold)
+                if len(last):
+                    rare = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] != x
+                    mine = x[rare][:p]
+                    x = mine if len(mine) == p else np.concatenate([mine, x[~rare][: p - len(mine)]])
+                held.append((x[:p].copy(), key ^ cid % cut[key] if key in cut else key, n))
+                size += p
+                if size >= FLUSH:
+                    yield flush()
+                    size = 0
         if held:
             yield flush()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [H.unpack(d, np.uint64, np.int64, np.int64, np.int32, np.int32) for d in pdf["data"]]
-        token, cid, group, n, place = (np.concatenate(x) for x in zip(*parts))
-        group = group ^ cid
-        order = np.lexsort((cid, token))
-        token, cid, group, n, place = token[order], cid[order], group[order], n[order].astype(np.int64), place[order].astype(np.int64)
-        keep = np.concatenate([[True], (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])])
-        token, cid, group, n, place = token[keep], cid[keep], group[keep], n[keep], place[keep]
+        token, group, least, extra = (np.concatenate(x) for x in zip(*(H.unpack(d, np.uint64, np.int64, np.int32, np.int32) for d in pdf["data"])))
+        token, group, least, most = collapsed(token, group, least.astype(np.int64), least.astype(np.int64) + extra)
         edges = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
-        numbers, rows = rows_of.value
-        at = np.searchsorted(numbers, cid) if len(numbers) else None
-        out = []
-        for s, e in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
-            if (group[s:e] == group[s]).all():
-                continue
-            for i in range(s, e - 1):  # each class against the later ones of its postings
-                j = slice(i + 1, e)
-                may = (group[j] != group[i]) & (100 * np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))
-                may &= 1 + np.minimum(n[j] - place[j], n[i] - place[i]) - 1 >= needed(n[j], n[i], threshold)
-                if may.any() and at is not None:
-                    may[may] = overlap_bound(rows[at[i]][None, :], rows[at[j][may]]) >= needed(n[j][may], n[i], threshold)
-                if may.any():
-                    out.append(np.stack([np.full(int(may.sum()), cid[i]), cid[j][may]]))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+        out = [np.zeros((2, 0), np.int64)]
+        may = lambda i, j: (100 * most[j] >= threshold * least[i]) & (100 * most[i] >= threshold * least[j])
+        size = np.diff(edges)
+        two = edges[:-1][size == 2]
+        two = two[may(two, two + 1)]
+        out.append(np.stack([group[two], group[two + 1]]))
+        for s, e in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist()):
+            for i in range(s, e - 1):  # each group against the later ones of its postings
+                j = np.arange(i + 1, e)
+                j = j[may(i, j)]
+                out.append(np.stack([np.full(len(j), group[i]), group[j]]))
+        pairs = np.concatenate(out, axis=1)
+        pairs = np.sort(pairs, axis=0)
+        order = np.lexsort((pairs[1], pairs[0]))
+        pairs = pairs[:, order]
+        fresh = np.ones(pairs.shape[1], bool)
+        fresh[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+        return pd.DataFrame({"g": pairs[0][fresh], "h": pairs[1][fresh]})
 
     shipped = src.mapInArrow(ship, "bucket int, data binary")
-    return shipped.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
-
+    found = written(shipped.groupBy("bucket").applyInPandas(meet, "g long, h long").distinct(), "jaccard-candidates")
+    shared.destroy()
+    return found
 
-def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, k: int, threshold: int, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of classes whose sets are linked, and the sets (cid, items) that were opened: matrix bound first, then the exact sets."""
-    info = classes.select("cid", "n", "row", "rep")
-    side = lambda s: info.select(F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("row").alias(f"row{s}"), F.col("rep").alias(f"rep{s}"))
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                na, nb = x.column(2).to_numpy(), x.column(3).to_numpy()
-                ok = pa.array(bound_allows(x.column(4).to_pylist(), x.column(5).to_pylist(), na, nb, threshold))
-                yield pa.RecordBatch.from_arrays([x.column(i).filter(ok) for i in (0, 1, 6, 7)], ["a", "b", "repa", "repb"])
-
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "rowa", "rowb", "repa", "repb")
-    left = written(wide.mapInArrow(bounded, "a long, b long, repa long, repb long"), "jaccard-open")
-    wanted = left.select(F.col("a").alias("cid"), F.col("repa").alias("doc_id")).unionByName(left.select(F.col("b").alias("cid"), F.col("repb").alias("doc_id"))).distinct()
-    wanted = written(wanted, "jaccard-wanted")
+def _spelt(src: DataFrame, wanted: DataFrame, k: int, max_broadcast: int) -> DataFrame:
+    """Sets (gid, cid, n, items) of the wanted classes (doc_id, cid, gid)."""
     if wanted.count() <= max_broadcast:
         wanted = F.broadcast(wanted)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _sets_of(batches, 2, k):
+            # Of rows with one id, the class tells which text is meant.
+            ok = [class_of(x) == c for x, c in zip(sets, part.column(1).to_pylist())]
+            own, keep = [x for x, o in zip(sets, ok) if o], pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["gid", "cid", "n", "items"])
+
+    spelt = src.join(wanted, "doc_id").select("gid", "cid", "text").mapInArrow(spell, "gid long, cid long, n long, items binary")
+    return written(spelt, "jaccard-sets")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _unions(sets: DataFrame) -> DataFrame:
+    """The matrix: (gid, least, most, items) with the token union of each group."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(gid: int, sizes: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+            union = np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((gid, pa.int64()), (min(sizes), pa.int64()), (max(sizes), pa.int64()), (union.tobytes(), pa.binary()))], ["gid", "least", "most", "items"])
+
+        at, sizes, held = None, [], []
+        for gid, n, items in _rows(batches):
+            if gid != at and held:
+                yield row(at, sizes, held)
+                sizes, held = [], []
+            at = gid
+            sizes.append(n), held.append(np.frombuffer(items, np.uint64))
+        if held:
+            yield row(at, sizes, held)
+
+    placed = sets.select("gid", "n", "items").repartition("gid").sortWithinPartitions("gid")
+    return written(placed.mapInArrow(unite, "gid long, least long, most long, items binary"), "jaccard-unions")
+
+
+def _dealt(pairs: DataFrame, weight: str) -> DataFrame:
+    """(h, salts): into how many parts a group's queries are dealt."""
+    return pairs.groupBy("h").agg(F.ceil(F.sum(weight) / QUERIES).cast("int").alias("salts"))
+
+
+def _by_group(table: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of groups (tag 0) and of queries (tag 1) with one layout, sorted so that a group's own come first."""
+    both = table.withColumn("tag", F.lit(0)).unionByName(queries.withColumn("tag", F.lit(1)), allowMissingColumns=True)
+    return both.repartition("h", "salt").sortWithinPartitions("h", "salt", "tag").select("h", "salt", "tag", *columns)
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, unions: DataFrame, threshold: int) -> DataFrame:
+    """(g, cid, h): queries whose overlap with the union of h may be enough."""
+    salts = written(_dealt(pairs, "m"), "jaccard-salts")
+    queries = pairs.select("g", "h").join(salts, "h").withColumn("salt", F.pmod(F.xxhash64("g"), F.col("salts")).cast("int"))
+    queries = queries.join(sets.select(F.col("gid").alias("g"), "cid", "n", "items"), "g").select("h", "salt", "g", "cid", "n", "items")
+    table = unions.withColumnRenamed("gid", "h").join(salts, "h").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union = least = most = None
         for batch in batches:
-            for a, b in H.slices(batch.column(1)):
-                sets = shingle_sets(batch.column(1).slice(a, b - a), k)
-                ok = [class_of(x) == c for x, c in zip(sets, batch.column(0).slice(a, b - a).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(ok)), pa.array([x.tobytes() for x, o in zip(sets, ok) if o], pa.binary())], ["cid", "items"])
-
-    # Of rows with one id, the class tells which text is meant.
-    sets = src.join(wanted, "doc_id").select("cid", "text").mapInArrow(spell, "cid long, items binary").dropDuplicates(["cid"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            ok = []
-            for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist()):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= threshold * (len(p) + len(q) - same))
-            yield pa.RecordBatch.from_arrays([x.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
-
-    sets = written(sets, "jaccard-sets")
-    full = left.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")).hint("shuffle_merge"), "a")
-    full = full.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")).hint("shuffle_merge"), "b").select("a", "b", "x", "y")
-    return written(full.mapInArrow(decide, "a long, b long"), "jaccard-links"), sets
-
-
-def link_counts(sets: list[np.ndarray], first: int, threshold: int) -> np.ndarray:
-    """Links of each set with the others; ``first`` > 0: only of the first ones with the rest."""
+            out = []
+            for h, _, tag, g, cid, n, lo, hi, items in _rows([batch]):
+                x = np.frombuffer(items, np.uint64)
+                if tag == 0:
+                    union, least, most = x, lo, hi
+                    continue
+                # The smallest member that can be similar, and the overlap that it needs.
+                small = max(least, -(-threshold * n // 100))
+                if small > most or threshold * small > 100 * n:
+                    continue
+                same = int((union[np.minimum(np.searchsorted(union, x), len(union) - 1)] == x).sum())
+                if same * (100 + threshold) >= threshold * (n + small):
+                    out.append((g, cid, h))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["g", "cid", "h"])
+
+    return written(_by_group(table, queries, ["g", "cid", "n", "least", "most", "items"]).mapInArrow(bound, "g long, cid long, h long"), "jaccard-qualified")
+
+
+def linked(block: list[np.ndarray], queries: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Which queries (rows) are linked with which sets of the block (columns)."""
+    sets = block + queries
     sizes = np.array([len(x) for x in sets], np.int64)
     who = np.repeat(np.arange(len(sets)), sizes)
-    uniq, at, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, at, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     met = np.cumsum(found > 1) - 1  # a shingle of one set is in no overlap
     who, at = who[found[at] > 1], met[at[found[at] > 1]]
     order = np.argsort(at, kind="stable")
-    who, at = who[order], at[order]
-    a = first or len(sets)
-    same = np.zeros((a, len(sets) - first), np.int64)
+    who, at, m = who[order], at[order], len(block)
+    same = np.zeros((len(queries), m), np.int64)
     for lo in range(0, int(at[-1]) + 1 if len(at) else 0, WIDTH):
         s, e = np.searchsorted(at, (lo, lo + WIDTH))
-        x = np.zeros((len(sets), WIDTH), np.float32)
+        x = np.zeros((len(sets), int(min(WIDTH, at[-1] + 1 - lo))), np.float32)
         x[who[s:e], at[s:e] - lo] = 1
-        same += (x[:a] @ x[first:].T).astype(np.int64)
-    linked = 100 * same >= threshold * (sizes[:a, None] + sizes[None, first:] - same)
-    if first:
-        return np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
-    np.fill_diagonal(linked, False)
-    return linked.sum(axis=1)
-
-
-def _group_links(grouped: DataFrame, sets: DataFrame, threshold: int, buckets: int) -> DataFrame:
-    """(cid, links): links of each class with classes of its own group, from all pairs of the group."""
-    members = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    each = grouped.join(members, "root").withColumn("blocks", blocks).withColumn("block", mine)
-    # A class goes to each pair of blocks that its own is part of.
-    each = each.select(F.col("node").alias("cid"), "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    each = each.select("cid", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    each = each.withColumn("bucket", F.pmod(F.xxhash64("root", "i", "j"), F.lit(buckets)).cast("int"))
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (_, i, j), rows in pdf.groupby(["root", "i", "j"], sort=False):
-            rows = rows.sort_values("block", kind="stable")
-            first = int((rows["block"] == i).sum()) if i != j else 0
-            if len(rows) > max(first, 1) and (i == j or first):
-                links = link_counts([np.frombuffer(x, np.uint64) for x in rows["items"]], first, threshold)
-                out.append(pd.DataFrame({"cid": rows["cid"].to_numpy(), "links": links}))
-        return pd.concat(out) if out else pd.DataFrame({"cid": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
-
-    wide = each.join(sets.hint("shuffle_merge"), "cid")
-    return wide.groupBy("bucket").applyInPandas(count, "cid long, links long")
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: int = 85, common: int = 32, max_common: int = 500_000, max_groups: int = 5_000_000, max_rows: int = 400_000, max_broadcast: int = 2_000_000) -> DataFrame:
+        same += (x[m:] @ x[:m].T).astype(np.int64)
+    return 100 * same >= threshold * (sizes[m:, None] + sizes[None, :m] - same)
+
+
+def _opened(qualified: DataFrame, sets: DataFrame, several: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, links): edges between classes (links null), and links of a class (b null)."""
+    salts = _dealt(qualified.withColumn("m", F.lit(1)), "m").unionByName(several.select(F.col("gid").alias("h"), F.lit(1).alias("salts")))
+    salts = written(salts.groupBy("h").agg(F.max("salts").alias("salts")), "jaccard-salts")
+    queries = qualified.join(sets.select(F.col("gid").alias("g"), "cid", "items"), ["g", "cid"]).join(salts, "h")
+    queries = queries.select("h", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int").alias("salt"), "cid", "items")
+    table = sets.select(F.col("gid").alias("h"), "cid", "items").join(salts, "h").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of the block that are connected, by queries or inside, share the label of their first member."""
+        at, cids, block, held, label, links, out = None, [], [], [], None, None, []
+
+        def tie(members: np.ndarray) -> None:
+            label[np.isin(label, label[members])] = label[members].min()
+
+        def ask() -> None:
+            nonlocal links
+            if held and block:
+                ok = linked(block, [x for _, x in held], threshold)
+                links += ok.sum(axis=0)
+                for (cid, _), row in zip(held, ok):
+                    members = np.flatnonzero(row)
+                    if len(members):
+                        tie(members)
+                        out.append((cid, cids[members[0]], None))
+                        out.append((cid, None, len(members)))
+            held.clear()
+
+        def within() -> None:
+            nonlocal label, links
+            label, links = np.arange(len(block)), np.zeros(len(block), np.int64)
+            if at[1] == 0 and len(block) > 1:
+                ok = linked(block, block, threshold)
+                for i, row in enumerate(ok):
+                    tie(np.flatnonzero(row))
+                links += ok.sum(axis=1) - 1
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if label is None and block:
+                within()
+            ask()
+            out.extend((cids[i], cids[j], None) for i, j in enumerate(label.tolist() if block else []) if i != j)
+            out.extend((c, None, n) for c, n in zip(cids, links.tolist() if block else []) if n)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["a", "b", "links"])
+            out.clear(), cids.clear(), block.clear()
+
+        for h, salt, tag, cid, items in _rows(batches):
+            if (h, salt) != at:
+                if at is not None:
+                    yield from close()
+                at, label = (h, salt), None
+            x = np.frombuffer(items, np.uint64)
+            if tag == 0:
+                if cid not in cids[-1:]:  # rows are sorted by class; repeated rows of the input repeat theirs
+                    cids.append(cid), block.append(x)
+                continue
+            if label is None and block:
+                within()
+            if not held or held[-1][0] != cid:
+                held.append((cid, x))
+            if len(held) >= 256:
+                ask()
+        if at is not None:
+            yield from close()
+
+    both = table.withColumn("tag", F.lit(0)).unionByName(queries.withColumn("tag", F.lit(1)))
+    both = both.repartition("h", "salt").sortWithinPartitions("h", "salt", "tag", "cid").select("h", "salt", "tag", "cid", "items")
+    return written(both.mapInArrow(open_groups, "a long, b long, links long"), "jaccard-links")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: int = 85, common: int = 32, max_common: int = 500_000, block: int = 256, block_items: int = 1_000_000, max_cut: int = 100_000, max_broadcast: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) for each row.
 
     Two documents link where 100 * intersection >= threshold * union.  n_links counts the other classes
@@ -333,48 +392,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     arrow_batches(spark)
     buckets = 2 * parallelism(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    path = _surveyed(src, k, threshold, buckets)
-    survey = spark.read.schema("doc_id long, cid long, n long, keys array<long>, row binary, bucket int, data binary, kind int").parquet(path)
-    rows = survey.filter("kind = 0").select("doc_id", "cid", "n", "keys", "row")
+    survey = spark.read.schema("doc_id long, cid long, n long, key long, bucket int, data binary, kind int").parquet(_surveyed(src, k, threshold, buckets))
+    rows = survey.filter("kind = 0").select("doc_id", "cid", "n", "key")
     known = rows.filter("n > 0 and doc_id is not null")
-    least = known.groupBy("cid").agg(F.min(F.struct("doc_id", "n", "keys", "row")).alias("s"))
-    classes = written(least.select("cid", F.col("s.doc_id").alias("rep"), "s.n", "s.keys", "s.row"), "jaccard-classes")
     named = src.filter("doc_id is not null")
-
-    # Stars: every member of a group key against the key's first class.
-    keyed = classes.select("cid", "rep", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("rep", "cid")).alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("head.cid").alias("a"))
-    stars = keyed.join(heads, "key").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct()
-    links, sets = _verified(stars, classes, named, k, threshold, max_broadcast)
-    grouped = written(components(links), "jaccard-groups")
-    groups = {}
-    if grouped.count() <= max_groups:  # else each class is its own group, which costs time only
-        t = grouped.toArrow()
-        groups = dict(zip(t.column("node").to_pylist(), t.column("root").to_pylist()))
-
-    matrix = (np.zeros(0, np.int64), np.zeros((0, COLUMNS), np.uint8))
-    if classes.count() <= max_rows:
-        t = classes.select("cid", "row").toArrow().combine_chunks()
-        order = np.argsort(t.column("cid").to_numpy())
-        packed = np.frombuffer(b"".join(t.column("row").to_pylist()), np.uint8).reshape(-1, COLUMNS)
-        matrix = (t.column("cid").to_numpy()[order], packed[order])
-        del t, packed
-    last = _common_shingles(survey.filter("kind = 1").select("bucket", "data"), common, max_common)
-    pairs = _candidates(named, k, threshold, last, groups, matrix, buckets)
-    across, _ = _verified(pairs, classes, named, k, threshold, max_broadcast)
-    # Without groups the candidates hold all pairs, those of the stars as well.
-    counted = across.select(F.explode(F.array("a", "b")).alias("cid"), F.lit(1).cast("long").alias("links"))
-    if groups:
-        counted = counted.unionByName(_group_links(grouped, sets, threshold, buckets))
-    links = written(links.unionByName(across), "jaccard-links")
-    roots = components(links).join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    roots = roots.select("node", F.col("root"), "rep")
+    least = known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("key").alias("key"))
+
+    # Groups: the least shingle, xored with the number of the part where its classes are cut; the max_cut largest
+    # keys are cut at most, so what goes through the driver is bounded.
+    parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("items") / block_items)).cast("long")
+    least = written(least, "jaccard-classes")
+    large = least.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items")).withColumn("parts", parts).filter("parts > 1")
+    large = written(large.orderBy(F.desc("m"), "key").limit(max_cut).select("key", "parts"), "jaccard-cut")
+    cut = {r["key"]: r["parts"] for r in large.collect()}
+    gid = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.col("key").bitwiseXOR(F.pmod("cid", "parts")))
+    classes = least.join(F.broadcast(large), "key", "left").select("cid", "rep", "n", gid.alias("gid"))
+
+    common_shingles = _common_shingles(survey.filter("kind = 1").select("bucket", "data"), common, max_common)
+    pairs = _candidates(named, k, threshold, common_shingles, cut, buckets)
+    sizes = written(classes.groupBy("gid").agg(F.count(F.lit(1)).alias("m")), "jaccard-groups")
+    several = sizes.filter("m > 1").select("gid")
+    # The smaller group asks.
+    side = lambda c: sizes.select(F.col("gid").alias(c), F.col("m").alias(f"m_{c}"))
+    pairs = pairs.join(side("g"), "g").join(side("h"), "h")
+    swap = F.col("m_g") > F.col("m_h")
+    pairs = pairs.select(F.when(swap, F.col("h")).otherwise(F.col("g")).alias("g"), F.when(swap, F.col("g")).otherwise(F.col("h")).alias("h"), F.least("m_g", "m_h").alias("m"))
+    pairs = written(pairs, "jaccard-pairs")
+    active = pairs.select(F.explode(F.array("g", "h")).alias("gid")).unionByName(several).distinct()
+    wanted = written(classes.join(active, "gid", "left_semi").select(F.col("rep").alias("doc_id"), "cid", "gid"), "jaccard-wanted")
+    sets = _spelt(named, wanted, k, max_broadcast)
+    asked = _unions(sets.join(pairs.select(F.col("h").alias("gid")).distinct(), "gid", "left_semi"))
+    qualified = _bounded(pairs, sets, asked, threshold)
+    links = _opened(qualified, sets, several, threshold)
+
+    roots = components(links.filter("b is not null").select("a", "b"))
+    roots = written(roots.join(classes.select(F.col("cid").alias("node"), "rep"), "node"), "jaccard-roots")
     names = roots.groupBy("root").agg(F.min("rep").alias("name"))
-    degree = written(counted.groupBy("cid").agg(F.sum("links").alias("n_links")), "jaccard-degree")
-    found = roots.join(names, "root").select(F.col("node").alias("cid"), "name").join(degree, "cid", "left")
-    merged = classes.select("cid", "rep").join(found, "cid", "left")
-    merged = merged.select("cid", F.coalesce("name", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("doc_id", "n", "cid").join(merged, "cid", "left")
+    degree = links.filter("links is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("n_links"))
+    found = joined(roots, names, "root").select(F.col("node").alias("cid"), "name")
+    merged = classes.select("cid", "rep").join(found, "cid", "left").join(degree, "cid", "left")
+    merged = written(merged.select("cid", F.coalesce("name", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-merged")
+    out = joined(rows.select("doc_id", "n", "cid"), merged, "cid")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"), F.col("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

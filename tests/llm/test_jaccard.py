@@ -58,7 +58,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,kw", [(1, {}), (2, {"common": 3}), (3, {"max_groups": 0, "max_broadcast": 0, "max_rows": 0, "common": 2}), (4, {"threshold": 60})])
+@pytest.mark.parametrize("seed,kw", [(1, {}), (2, {"common": 3}), (3, {"block": 2, "max_broadcast": 0, "common": 2}), (4, {"threshold": 60})])
 def test_equals_brute_force(spark, monkeypatch, seed, kw):
     monkeypatch.setattr(op9, "FLUSH", 300)
     rows = corpus(seed)
@@ -67,11 +67,10 @@ def test_equals_brute_force(spark, monkeypatch, seed, kw):
     assert sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in got) == brute(rows, threshold=kw.get("threshold", 85))
 
 
-@pytest.mark.parametrize("kw", [{}, {"threshold": 60, "common": 2}, {"max_groups": 0, "max_rows": 0}])
-@pytest.mark.parametrize("block", [3, 256])
-def test_link_counts_equal_brute_force(spark, monkeypatch, kw, block):
-    monkeypatch.setattr(op9, "BLOCK", block)
+@pytest.mark.parametrize("kw", [{"block": 3}, {"threshold": 60, "common": 2}, {"block": 5, "max_cut": 0}, {"block_items": 100}])
+def test_link_counts_equal_brute_force(spark, monkeypatch, kw):
     monkeypatch.setattr(op9, "WIDTH", 16)
+    monkeypatch.setattr(op9, "QUERIES", 5)
     rng = random.Random(6)
     base = [f"w{rng.randrange(60)}" for _ in range(60)]
     rows = corpus(6) + [(1000 + i, " ".join([*base, f"own{i}"])) for i in range(20)] + [(1030, " ".join([*base, "own3"]))]
@@ -91,5 +90,17 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_empty(spark):
+def test_empty_long_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long, 5, "a"), (2, long + " end", 6, "b"), (3, "x" * 2_000_000, 7, "c"), (4, "x" * 2_000_000, 7, "c")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, n int, cid string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 199_997, 1), (2, 199_998, 1), (3, 1, 3), (4, 1, 3)]
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_words_are_told_apart(spark):
+    """Words that a polynomial modulo a power of two maps to one number."""
+    mark = lambda n, flip: "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+    rows = [(i, mark(n, f)) for i, (n, f) in enumerate((n, f) for n in (8, 16, 128, 136, 1024, 4096) for f in (0, 1))]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got)
