@@ -1,26 +1,25 @@
 """SQL for the operators that SQL can express, as DuckDB runs it."""
 
-from .op3_decontaminate import MASKS, SPAN
-
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_MASKS = ", ".join(f"({i}, [{', '.join(str(k + 1) for k, b in enumerate(m) if b == '1')}])" for i, m in enumerate(MASKS))
-
+#: Without seeds: 11 of 13 equal places hold four in a row (two substitutions leave three runs), so all
+#: diagonals with four equal words in a row are compared place by place.  Short items: one word or none of their
+#: places may differ, so one of their halves is whole; tiny ones equal the document.
 OP3 = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS ws FROM documents),
 b AS (SELECT item_id, {_WORDS.format('lower(text)')} AS ws FROM benchmark),
-m(mask, places) AS (VALUES {_MASKS}),
-bk AS (SELECT DISTINCT item_id, win, mask, list_transform(places, lambda p: win[p]) AS key
-  FROM (SELECT item_id, ws[i:i + {SPAN - 1}] AS win FROM b, unnest(range(1, len(ws) - {SPAN - 2})) t(i)), m),
-dk AS (SELECT doc_id, win, mask, list_transform(places, lambda p: win[p]) AS key
-  FROM (SELECT doc_id, ws[i:i + {SPAN - 1}] AS win FROM d, unnest(range(1, len(ws) - {SPAN - 2})) t(i)), m),
-hits AS (SELECT doc_id, item_id, list_sum(list_transform(range(1, {SPAN + 1}), lambda k: CAST(dk.win[k] = bk.win[k] AS INTEGER))) AS matched
-  FROM dk JOIN bk ON dk.mask = bk.mask AND dk.key = bk.key),
-short AS (SELECT doc_id, item_id, len(b.ws) AS n FROM b, d, unnest(range(1, len(d.ws) - len(b.ws) + 2)) t(i)
-  WHERE len(b.ws) BETWEEN 5 AND {SPAN - 1} AND d.ws[i:i + len(b.ws) - 1] = b.ws),
-al AS (SELECT doc_id, item_id, matched, {SPAN} AS width FROM hits WHERE matched >= 11 UNION ALL SELECT doc_id, item_id, n, n FROM short)
-SELECT doc_id, item_id, CAST(max(matched) AS INTEGER) AS matched, CAST(max(width) AS INTEGER) AS width, count(*) AS n_hits FROM al GROUP BY 1, 2"""
+dg AS (SELECT doc_id, p, ws[p:p + 3] AS g FROM d, unnest(range(1, len(ws) - 2)) t(p)),
+bg AS (SELECT item_id, q, ws[q:q + 3] AS g FROM b, unnest(range(1, len(ws) - 2)) t(q) WHERE len(ws) >= 13),
+dia AS (SELECT DISTINCT doc_id, item_id, p - q AS k FROM dg JOIN bg ON dg.g = bg.g),
+eq AS (SELECT doc_id, item_id, list_transform(range(1, len(b.ws) + 1), lambda i: CASE WHEN i + k BETWEEN 1 AND len(d.ws) THEN CAST(d.ws[i + k] = b.ws[i] AS INTEGER) ELSE -100 END) AS e
+  FROM dia JOIN d USING (doc_id) JOIN b USING (item_id)),
+al AS (SELECT doc_id, item_id, list_max(list_transform(range(1, len(e) - 11), lambda i: list_sum(e[i:i + 12]))) AS matched, 13 AS width FROM eq),
+short AS (SELECT doc_id, item_id, list_sum(list_transform(range(1, len(b.ws) + 1), lambda i: CAST(d.ws[k + i] = b.ws[i] AS INTEGER))) AS matched, len(b.ws) AS width
+  FROM b, d, unnest(range(0, len(d.ws) - len(b.ws) + 1)) t(k) WHERE len(b.ws) BETWEEN 5 AND 12),
+found AS (SELECT * FROM al WHERE matched >= 11 UNION ALL SELECT * FROM short WHERE matched >= width - (2 * width) // 13
+  UNION ALL SELECT doc_id, item_id, len(b.ws), len(b.ws) FROM b, d WHERE len(b.ws) BETWEEN 1 AND 4 AND b.ws = d.ws)
+SELECT doc_id, item_id, CAST(max(matched) AS INTEGER) AS matched, CAST(max(width) AS INTEGER) AS width FROM found GROUP BY 1, 2"""
 
 OP8 = f"""
 WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents),

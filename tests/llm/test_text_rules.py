@@ -54,32 +54,51 @@ def test_secret_parts_are_linked_only_together(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def overlap(doc, item):
+    """(agreeing words, width) of the best window, or None; plain comparison of all windows."""
+    d, w = ((t or "").lower().split() for t in (doc, item))
+    n = len(w)
+    if n < 5:
+        return (n, n) if n and d == w else None
+    width = min(n, 13)
+    least = width - 2 * width // 13
+    best = max((sum(d[i + k] == w[j + k] for k in range(width)) for i in range(len(d) - width + 1) for j in range(n - width + 1)), default=0)
+    return (best, width) if best >= least else None
+
+
 def test_contamination(spark):
     rng = random.Random(9)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
-    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([13, 20, 40, 7, 3])]
-    items += [(10, None), (11, ""), (12, items[2][1])]
-    noise = lambda n: " ".join(word() for _ in range(n))
-    rows, want = [], set()
-    for d in range(40):
-        i, text = items[d % 4]
-        rows.append((d, f"{noise(30)} {text.upper()}\n{noise(5)}"))
-        want |= {(d, i)} | ({(d, 12)} if i == 2 else set())
-    for d in range(40, 60):  # one substitution in each thirteen words
-        w = items[2][1].split()
-        for j in range(rng.randrange(13), 40, 13):
-            w[j] = "zzzz"
-        rows.append((d, noise(9) + " " + " ".join(w)))
-        want |= {(d, 2), (d, 12)}
-    rows += [(d, noise(200)) for d in range(60, 80)] + [(80, None), (81, ""), (82, items[4][1]), (83, " ".join(items[1][1].split()[:10])), (None, items[0][1]), (0, rows[0][1])]
-    want.add((None, 0))
-    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, seed int")
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    some = lambda n: [word() for _ in range(n)]
+    items = [(i, " ".join(some(n))) for i, n in enumerate([13, 14, 20, 40, 12, 7, 7, 6, 5, 3, 1])]
+    items += [(20, None), (21, ""), (22, items[2][1]), (None, " ".join(some(15)))]
+    rows = []
+    for d in range(300):  # up to four substitutions anywhere, between other words
+        _, text = items[d % 11]
+        w = text.split()
+        for j in rng.sample(range(len(w)), min(len(w), d % 5)):
+            w[j] = "zz"
+        rows.append((d, " ".join([*some(rng.randint(0, 9)), *w, *some(rng.randint(0, 9))]).upper()))
+    rows += [(400, None), (401, ""), (402, items[9][1]), (403, items[10][1]), (404, " ".join(items[2][1].split()[:10])), (None, items[0][1]), (0, rows[0][1]), (405, " ".join(some(30_000)))]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, seed int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i): o for d, t in rows for i, x in items if (o := overlap(t, x))}
+    assert any(m == 11 for m, _ in want.values()) and (402, 9) in want and (None, 0) in want
     for limit in (10**6, 0):
-        assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench, max_broadcast=limit).collect()} == want
+        assert {(r.doc_id, r.item_id): (r.matched, r.width) for r in contaminated(docs, bench, max_broadcast=limit).collect()} == want
     assert contaminated(docs.limit(0), bench).count() == contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [13, 16, 12])
+def test_any_allowed_substitutions_are_found(spark, n):
+    """Every place, or pair of places, the first and the last included."""
+    w = [f"w{i}" for i in range(n)]
+    pairs = [(i, j) for i in range(n) for j in range(i, n)] if n == 13 else [(i, i) for i in range(n)]
+    rows = [(k, " ".join("zz" if x in p else y for x, y in enumerate(w))) for k, p in enumerate(pairs)]
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(w))], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {k for k, _ in rows}
+
+
 def base_statistics(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
