@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import arrow_batches, by_bucket, documents, joined, parallelism, shared_dir, written
+from .common import arrow_batches, by_bucket, discard, documents, joined, parallelism, shared_dir, written
 from .components import components
 
 FLUSH = 500_000
@@ -139,17 +139,17 @@ def _common_shingles(counts: DataFrame, common: int, most: int) -> np.ndarray:
 
 
 def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, parts: dict[int, int], buckets: int) -> DataFrame:
-    """Distinct pairs (g, h), g < h, of groups whose members share a prefix shingle and may be of similar size.
+    """Distinct pairs (g, h), g < h, of groups whose members share a prefix shingle and may be similar by size and place.
 
     ``parts`` says into how many groups the classes of a key are cut; see :func:`jaccard_components`.
     """
     shared = src.sparkSession.sparkContext.broadcast((common, parts))
 
-    def collapsed(token, group, least, most):
+    def collapsed(token, group, least, most, left):
         order = np.lexsort((group, token))
-        token, group, least, most = token[order], group[order], least[order], most[order]
+        token, group, least, most, left = (x[order] for x in (token, group, least, most, left))
         first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])]))
-        return token[first], group[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
+        return token[first], group[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first), np.maximum.reduceat(left, first)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, cut = shared.value
@@ -158,9 +158,10 @@ def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, part
         def flush() -> pa.RecordBatch:
             sizes = [len(h[0]) for h in held]
             group, n = (np.repeat(np.array([h[i] for h in held], t), sizes) for i, t in ((1, np.int64), (2, np.int32)))
-            token, group, least, most = collapsed(np.concatenate([h[0] for h in held]), group, n, n)
+            left = n - np.concatenate([np.arange(m, dtype=np.int32) for m in sizes])
+            token, group, least, most, left = collapsed(np.concatenate([h[0] for h in held]), group, n, n, left)
             held.clear(), seen.clear()
-            at, data = _packed_buckets([token, group, least, most - least], token, buckets)
+            at, data = _packed_buckets([token, group, least, most - least, most - left], token, buckets)
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
         for _, sets in _sets_of(batches, 1, k):
@@ -183,11 +184,17 @@ def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, part
             yield flush()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        token, group, least, extra = (np.concatenate(x) for x in zip(*(H.unpack(d, np.uint64, np.int64, np.int32, np.int32) for d in pdf["data"])))
-        token, group, least, most = collapsed(token, group, least.astype(np.int64), least.astype(np.int64) + extra)
+        token, group, least, extra, before = (np.concatenate(x) for x in zip(*(H.unpack(d, np.uint64, np.int64, np.int32, np.int32, np.int32) for d in pdf["data"])))
+        most = least.astype(np.int64) + extra
+        token, group, least, most, left = collapsed(token, group, least.astype(np.int64), most, most - before)
         edges = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
         out = [np.zeros((2, 0), np.int64)]
-        may = lambda i, j: (100 * most[j] >= threshold * least[i]) & (100 * most[i] >= threshold * least[j])
+
+        def may(i, j):
+            """Whether sizes are near enough and, were this the first shingle that two members share, enough is left behind it."""
+            a, b = np.maximum(least[i], -(-threshold * least[j] // 100)), np.maximum(least[j], -(-threshold * least[i] // 100))
+            return (a <= most[i]) & (b <= most[j]) & (np.minimum(left[i], left[j]) * (100 + threshold) >= threshold * (a + b))
+
         size = np.diff(edges)
         two = edges[:-1][size == 2]
         two = two[may(two, two + 1)]
@@ -211,10 +218,14 @@ def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, part
     return found
 
 
+def _small(table: DataFrame, max_broadcast: int) -> DataFrame:
+    """To be broadcast if it has few rows; of a written table that is a look at file footers."""
+    return F.broadcast(table) if table.count() <= max_broadcast else table
+
+
 def _spelt(src: DataFrame, wanted: DataFrame, k: int, max_broadcast: int) -> DataFrame:
     """Sets (gid, cid, n, items) of the wanted classes (doc_id, cid, gid)."""
-    if wanted.count() <= max_broadcast:
-        wanted = F.broadcast(wanted)
+    wanted = _small(wanted, max_broadcast)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets_of(batches, 2, k):
@@ -232,13 +243,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def _unions(sets: DataFrame) -> DataFrame:
-    """The matrix: (gid, least, most, items) with the token union of each group."""
+def _marks(items: bytes) -> np.ndarray:
+    """The upper halves of a set's hashes: what two sets share is never more than their marks share."""
+    return (np.frombuffer(items, np.uint64) >> H.U64(32)).astype(np.uint32)
+
+
+def _matrix(sets: DataFrame, several: DataFrame) -> DataFrame:
+    """(gid, least, most, marks): the token union of each group, as marks, and its range of sizes."""
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(gid: int, sizes: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
             union = np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((gid, pa.int64()), (min(sizes), pa.int64()), (max(sizes), pa.int64()), (union.tobytes(), pa.binary()))], ["gid", "least", "most", "items"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((gid, pa.int64()), (min(sizes), pa.int64()), (max(sizes), pa.int64()), (union.tobytes(), pa.binary()))], ["gid", "least", "most", "marks"])
 
         at, sizes, held = None, [], []
         for gid, n, items in _rows(batches):
@@ -246,12 +262,12 @@ def _unions(sets: DataFrame) -> DataFrame:
                 yield row(at, sizes, held)
                 sizes, held = [], []
             at = gid
-            sizes.append(n), held.append(np.frombuffer(items, np.uint64))
+            sizes.append(n), held.append(_marks(items))
         if held:
             yield row(at, sizes, held)
 
-    placed = sets.select("gid", "n", "items").repartition("gid").sortWithinPartitions("gid")
-    return written(placed.mapInArrow(unite, "gid long, least long, most long, items binary"), "jaccard-unions")
+    placed = sets.join(several, "gid", "left_semi").select("gid", "n", "items").repartition("gid").sortWithinPartitions("gid")
+    return written(placed.mapInArrow(unite, "gid long, least long, most long, marks binary"), "jaccard-matrix")
 
 
 def _dealt(pairs: DataFrame, weight: str) -> DataFrame:
@@ -265,19 +281,29 @@ def _by_group(table: DataFrame, queries: DataFrame, columns: list[str]) -> DataF
     return both.repartition("h", "salt").sortWithinPartitions("h", "salt", "tag").select("h", "salt", "tag", *columns)
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, unions: DataFrame, threshold: int) -> DataFrame:
+def _bounded(pairs: DataFrame, sets: DataFrame, matrix: DataFrame, several: DataFrame, threshold: int, max_broadcast: int) -> DataFrame:
     """(g, cid, h): queries whose overlap with the union of h may be enough."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([_marks(x).tobytes() for x in b.column(3).to_pylist()], pa.binary())], ["gid", "cid", "n", "marks"])
+
+    few = lambda t: _small(t, max_broadcast)
+    sets = sets.mapInArrow(marked, "gid long, cid long, n long, marks binary")
     salts = written(_dealt(pairs, "m"), "jaccard-salts")
-    queries = pairs.select("g", "h").join(salts, "h").withColumn("salt", F.pmod(F.xxhash64("g"), F.col("salts")).cast("int"))
-    queries = queries.join(sets.select(F.col("gid").alias("g"), "cid", "n", "items"), "g").select("h", "salt", "g", "cid", "n", "items")
-    table = unions.withColumnRenamed("gid", "h").join(salts, "h").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    asking = written(pairs.select("g", "h").join(salts, "h").select("h", F.pmod(F.xxhash64("g"), F.col("salts")).cast("int").alias("salt"), F.col("g").alias("gid")), "jaccard-asking")
+    queries = sets.join(few(asking), "gid").select("h", "salt", F.col("gid").alias("g"), "cid", "n", "marks")
+    # A group of one class is its own union.
+    single = sets.join(few(several), "gid", "left_anti").select("gid", F.col("n").alias("least"), F.col("n").alias("most"), "marks")
+    table = matrix.unionByName(single).withColumnRenamed("gid", "h").join(few(salts), "h")
+    table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         union = least = most = None
         for batch in batches:
             out = []
-            for h, _, tag, g, cid, n, lo, hi, items in _rows([batch]):
-                x = np.frombuffer(items, np.uint64)
+            for h, _, tag, g, cid, n, lo, hi, marks in _rows([batch]):
+                x = np.frombuffer(marks, np.uint32)
                 if tag == 0:
                     union, least, most = x, lo, hi
                     continue
@@ -290,7 +316,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, unions: DataFrame, threshold: in
                     out.append((g, cid, h))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["g", "cid", "h"])
 
-    return written(_by_group(table, queries, ["g", "cid", "n", "least", "most", "items"]).mapInArrow(bound, "g long, cid long, h long"), "jaccard-qualified")
+    return written(_by_group(table, queries, ["g", "cid", "n", "least", "most", "marks"]).mapInArrow(bound, "g long, cid long, h long"), "jaccard-qualified")
 
 
 def linked(block: list[np.ndarray], queries: list[np.ndarray], threshold: int) -> np.ndarray:
@@ -312,13 +338,14 @@ def linked(block: list[np.ndarray], queries: list[np.ndarray], threshold: int) -
     return 100 * same >= threshold * (sizes[m:, None] + sizes[None, :m] - same)
 
 
-def _opened(qualified: DataFrame, sets: DataFrame, several: DataFrame, threshold: int) -> DataFrame:
+def _opened(qualified: DataFrame, sets: DataFrame, several: DataFrame, threshold: int, max_broadcast: int) -> DataFrame:
     """(a, b, links): edges between classes (links null), and links of a class (b null)."""
     salts = _dealt(qualified.withColumn("m", F.lit(1)), "m").unionByName(several.select(F.col("gid").alias("h"), F.lit(1).alias("salts")))
     salts = written(salts.groupBy("h").agg(F.max("salts").alias("salts")), "jaccard-salts")
-    queries = qualified.join(sets.select(F.col("gid").alias("g"), "cid", "items"), ["g", "cid"]).join(salts, "h")
-    queries = queries.select("h", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int").alias("salt"), "cid", "items")
-    table = sets.select(F.col("gid").alias("h"), "cid", "items").join(salts, "h").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    asking = qualified.join(salts, "h").select("h", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int").alias("salt"), "cid")
+    asking = _small(written(asking, "jaccard-asking"), max_broadcast)
+    queries = sets.select("cid", "items").join(asking, "cid").select("h", "salt", "cid", "items")
+    table = sets.select(F.col("gid").alias("h"), "cid", "items").join(_small(salts, max_broadcast), "h").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Parts of the block that are connected, by queries or inside, share the label of their first member."""
@@ -411,7 +438,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common_shingles = _common_shingles(survey.filter("kind = 1").select("bucket", "data"), common, max_common)
     pairs = _candidates(named, k, threshold, common_shingles, cut, buckets)
     sizes = written(classes.groupBy("gid").agg(F.count(F.lit(1)).alias("m")), "jaccard-groups")
-    several = sizes.filter("m > 1").select("gid")
+    several = written(sizes.filter("m > 1").select("gid"), "jaccard-several")
     # The smaller group asks.
     side = lambda c: sizes.select(F.col("gid").alias(c), F.col("m").alias(f"m_{c}"))
     pairs = pairs.join(side("g"), "g").join(side("h"), "h")
@@ -421,9 +448,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     active = pairs.select(F.explode(F.array("g", "h")).alias("gid")).unionByName(several).distinct()
     wanted = written(classes.join(active, "gid", "left_semi").select(F.col("rep").alias("doc_id"), "cid", "gid"), "jaccard-wanted")
     sets = _spelt(named, wanted, k, max_broadcast)
-    asked = _unions(sets.join(pairs.select(F.col("h").alias("gid")).distinct(), "gid", "left_semi"))
-    qualified = _bounded(pairs, sets, asked, threshold)
-    links = _opened(qualified, sets, several, threshold)
+    matrix = _matrix(sets, _small(written(pairs.select(F.col("h").alias("gid")).join(several, "gid", "left_semi").distinct(), "jaccard-asked"), max_broadcast))
+    qualified = _bounded(pairs, sets, matrix, several, threshold, max_broadcast)
+    links = _opened(qualified, sets, several, threshold, max_broadcast)
+    discard(sets)
+    discard(matrix)
 
     roots = components(links.filter("b is not null").select("a", "b"))
     roots = written(roots.join(classes.select(F.col("cid").alias("node"), "rep"), "node"), "jaccard-roots")
