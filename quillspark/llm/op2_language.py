@@ -11,7 +11,8 @@ Since the mean and the last layer are linear, embeddings times weights is one ta
 ``buckets`` x languages, which is what is broadcast: 4 bytes x 65,536 x languages.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected, as is
-everything if no row is labelled; null ids and repeated rows stay.
+everything if no row is labelled; null ids and repeated rows stay; of equally likely languages the first by name wins; very
+long texts are read whole, in slices; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -157,21 +158,28 @@ def fit(labels: list[str], grams: list[np.ndarray], target: float = 0.99, dim: i
 
 
 def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, sample_rows: int = 4000, draws: int = 512) -> Model:
-    """Fit on a bounded sample of the rows where ``learn`` holds."""
+    """Fit on a bounded sample of the rows where ``learn`` holds.
+
+    A row is drawn by the hash of its text, with an even share for each label; copies of a text are one row.
+    Of what is drawn, ``2 * sample_rows`` rows at most go to the driver, those with the least hashes.
+    """
     src = docs.filter(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in src.groupBy(F.col(label_col).cast("string")).count().collect()}
+    src = src.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
+    counts = {r[0]: r[1] for r in src.groupBy("label").count().collect()}
     if not counts:
         return fit([], [])
-    quota = max(1, sample_rows // len(counts))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, 1_000_000 * quota // n))))
-    picked = src.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.element_at(share, F.col(label_col).cast("string")))
+    quota = max(1.0, sample_rows / len(counts))
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, quota / n)))
+    hashed = src.withColumn("h", F.xxhash64("text"))
+    unit = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    picked = hashed.filter(unit < F.element_at(share, F.col("label"))).dropDuplicates(["label", "h"]).orderBy("h", "label").limit(2 * sample_rows)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [drawn(t, draws).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["label", "grams"])
 
-    rows = picked.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).mapInArrow(draw, "label string, grams binary").collect()
+    rows = picked.select("label", "text").mapInArrow(draw, "label string, grams binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["grams"])))
     return fit([r["label"] for r in rows], [np.frombuffer(r["grams"], np.int32) for r in rows])
 

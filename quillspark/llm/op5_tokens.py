@@ -5,7 +5,9 @@ Tier 1 is a compact table of frequent pre-tokens and their token counts, of at m
 cache in each worker, filled by encoding what tier 1 misses.  No pre-token is shuffled.  Both tiers
 only save time: what a count is never depends on them.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; null ids and repeated rows stay.
+Defined results: a null or empty text has 0 bytes and 0 tokens; null ids and repeated rows stay; of equally
+frequent pre-tokens the first by name is pinned; very long texts and pre-tokens are counted whole; an empty table gives no row;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def frequent_lengths(texts: DataFrame, tokenizer: str, sample_rows: int, frequen
         top = seen.most_common(frequent)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
-    picked = texts.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    picked = texts.filter(F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53) < share).select("text")
     top = picked.mapInArrow(tally, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(frequent)
     pieces = [r["piece"] for r in top.collect()]
     coder = bpe.loaded(tokenizer)

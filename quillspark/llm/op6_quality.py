@@ -2,9 +2,10 @@
 
 Base statistics come from each whole text.  Documents that pass the base rule are judged by their
 transformed statistics (five numbers) against a minimum-covariance-determinant estimate of their
-language and source: start at medians and scaled deviations, then repeat concentration steps, each of
-which re-estimates mean and covariance from the ``share`` of the group with the smallest Mahalanobis
-distances.  The determinant never grows, so a few steps settle.  A document is rejected if its squared
+language and source: two starts at the medians, with scaled deviations and with fixed units, repeat
+concentration steps, each of which re-estimates mean and covariance from the ``share`` of the group with the
+smallest Mahalanobis distances, until no determinant moves; the start with the least determinant is
+the estimate.  A document is rejected if its squared
 distance under the final, consistency-corrected estimate exceeds ``cutoff`` (20.5: the 0.999 quantile of
 chi-squared with five degrees of freedom).
 
@@ -19,7 +20,8 @@ A variance below its floor is raised to it, so that a statistic that is the same
 leaves no singular covariance; above the floor the estimates of the group decide alone.
 
 Defined results: null and empty texts have no words and fail the base rule; null languages and sources
-are groups of their own; null ids and repeated rows stay.
+are groups of their own; null ids and repeated rows stay; documents whose distances share a bin are concentrated on together;
+very long texts are read whole; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -122,7 +124,7 @@ def chi2_quantile(p: float, df: int) -> float:
     return lo
 
 
-def _estimate(sums: DataFrame, factor: float) -> DataFrame:
+def _estimate(sums: DataFrame, factor: float, keys: list[str]) -> DataFrame:
     """Mean and floored covariance from integer sums n, s*, q**; the covariance is scaled by ``factor``."""
     n = F.col("n").cast("double")
     mean = {f"m{j}": F.col(f"s{j}").cast("double") / n / UNIT for j in range(P)}
@@ -134,7 +136,7 @@ def _estimate(sums: DataFrame, factor: float) -> DataFrame:
             cov[f"c{i}{j}"] = factor * top / (n * n) / UNIT / UNIT
             if i == j:
                 cov[f"c{i}{j}"] = F.greatest(cov[f"c{i}{j}"], F.lit(FLOORS[i] ** 2))
-    return sums.select("model", *(c.alias(k) for k, c in {**mean, **cov}.items()))
+    return sums.select(*keys, *(c.alias(k) for k, c in {**mean, **cov}.items()))
 
 
 def _joined(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, how: str = "inner") -> DataFrame:
@@ -151,30 +153,50 @@ def _joined(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, how
     return rows.alias("r").join(table.alias("t"), same, how).select("r.*", *(f"t.{c}" for c in table.columns if c not in keys)).drop("__salt")
 
 
-def robust_fit(scored: DataFrame, steps: int = 4, share: float = SHARE, small: bool = True) -> DataFrame:
-    """(model, m*, l**, logdet) per model, from rows (model, x*)."""
+#: Starts of the concentration steps: scaled deviations, and the floors alone (distances from the medians in fixed units).
+STARTS = 2
+
+
+def robust_fit(scored: DataFrame, steps: int = 12, share: float = SHARE, small: bool = True) -> DataFrame:
+    """(model, m*, l**, logdet) per model, from rows (model, x*).
+
+    All starts run side by side, until no determinant falls any more (``steps`` at most); for each model
+    the start with the least determinant is its estimate.
+    """
     pool = scored.select("model", *FEATURES)
-    mid = [F.percentile_approx(x, 0.5, 10_000).alias(f"m{j}") for j, x in enumerate(FEATURES)]
+    # Values are integers of a bounded range, so an exact median needs few counters.
+    mid = [F.percentile(x, F.lit(0.5)).alias(f"m{j}") for j, x in enumerate(FEATURES)]
     centre = written(pool.groupBy("model").agg(*mid), "mcd-centre")
     spread = _joined(pool, centre, ["model"], small).groupBy("model", *(f"m{j}" for j in range(P)))
-    spread = spread.agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{j}")), 0.5, 10_000).alias(f"d{j}") for j, x in enumerate(FEATURES)))
-    zero = {f"c{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)}
-    start = spread.select("model", *((F.col(f"m{j}") / UNIT).alias(f"m{j}") for j in range(P)), *(F.greatest(F.pow(1.4826 * F.col(f"d{j}") / UNIT, F.lit(2.0)), F.lit(FLOORS[j] ** 2)).alias(f"c{j}{j}") for j in range(P)), *(c.alias(k) for k, c in zero.items()))
-    state = written(_factor(start, ["model"]), "mcd-state")
+    spread = spread.agg(*(F.percentile(F.abs(F.col(x) - F.col(f"m{j}")), F.lit(0.5)).alias(f"d{j}") for j, x in enumerate(FEATURES)))
+    floor = [F.lit(v**2) for v in FLOORS]
+    deviation = lambda j: F.pow(1.4826 * F.col(f"d{j}") / UNIT, F.lit(2.0))
+    both = spread.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    variance = [F.when(F.col("start") == 0, F.greatest(deviation(j), floor[j])).otherwise(floor[j]).alias(f"c{j}{j}") for j in range(P)]
+    zero = [F.lit(0.0).alias(f"c{i}{j}") for i in range(P) for j in range(i)]
+    keys = ["model", "start"]
+    state = written(_factor(both.select(*keys, *((F.col(f"m{j}") / UNIT).alias(f"m{j}") for j in range(P)), *variance, *zero), keys), "mcd-state")
     q = chi2_quantile(share, P)
     factor = share / chi2_cdf(q, P + 2)
     dec = lambda c: c.cast("decimal(20,0)")
     total = [F.count(F.lit(1)).cast("decimal(18,0)").alias("n"), *(F.sum(dec(F.col(x))).cast("decimal(18,0)").alias(f"s{j}") for j, x in enumerate(FEATURES))]
     total += [F.sum(dec(F.col(FEATURES[i]) * F.col(FEATURES[j]))).cast("decimal(20,0)").alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]
-    for _ in range(steps):
-        binned = _distance(_joined(pool, state, ["model"], small)).select("model", *FEATURES, F.floor(F.log(F.col("d2") + 1e-9) * BINS).alias("bin"))
-        counts = binned.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("k"))
-        w = Window.partitionBy("model")
+    pool = pool.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    for step in range(steps):
+        binned = _distance(_joined(pool, state, keys, small)).select(*keys, *FEATURES, F.floor(F.log(F.col("d2") + 1e-9) * BINS).alias("bin"))
+        counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"))
+        w = Window.partitionBy(*keys)
         run = counts.withColumn("upto", F.sum("k").over(w.orderBy("bin"))).withColumn("all", F.sum("k").over(w))
-        edge = run.filter(F.col("upto") >= share * F.col("all")).groupBy("model").agg(F.min("bin").alias("edge"))
-        inner = _joined(binned, written(edge, "mcd-edge"), ["model"], small).filter("bin <= edge")
-        state = written(_factor(_estimate(inner.groupBy("model").agg(*total), factor), ["model"]), "mcd-state")
-    return state
+        edge = run.filter(F.col("upto") >= share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("edge"))
+        inner = _joined(binned, written(edge, "mcd-edge"), keys, small).filter("bin <= edge")
+        fresh = written(_factor(_estimate(inner.groupBy(*keys).agg(*total), factor, keys), keys), "mcd-state")
+        before = state.select(*keys, F.col("logdet").alias("old"))
+        moved = fresh.join(before, keys).filter(F.abs(F.col("old") - F.col("logdet")) > 1e-3)
+        state = fresh
+        if step and moved.isEmpty():
+            break
+    best = F.min_by(F.struct(*(c for c in state.columns if c not in keys)), F.struct("logdet", "start")).alias("b")
+    return written(state.groupBy("model").agg(best).select("model", "b.*"), "mcd-model")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 50, cutoff: float = 20.5, max_models: int = 20_000, also: dict[str, Column] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillspark.llm import op4_katz
 from quillspark.llm.common import crc_remainder
-from quillspark.llm.op2_language import fit, identify, op2_language, train
+from quillspark.llm.op2_language import _MIX, BUCKETS, GRAMS, fit, identify, normalized, op2_language, train
 from quillspark.llm.op4_katz import discounts, score
 
 
@@ -39,6 +39,37 @@ def test_language_edges(spark):
     assert fit(["a"], [np.array([1, 2], np.int32)]).predict(["xy"])[0] == ["a"]
 
 
+def test_language_equals_plain_averages(spark):
+    """The served table against n-grams taken one by one."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(("the cat and dog", "der hund und katze", "le chat et chien")[i % 3].split()) for _ in range(12)), ("en", "de", "fr")[i % 3]) for i in range(90)]
+    df = spark.createDataFrame([*rows, (900, "x", "en"), (901, "É", None), (902, "the 1 hund!", None)], "doc_id long, text string, lang string")
+    model = train(df, F.lit(True), "doc_id", "text", "lang")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(df, model).collect()}
+    for d, text, _ in [*rows, (901, "É", None), (902, "the 1 hund!", None)]:
+        data, total, n = list(normalized(text)), np.zeros(len(model.labels)), 0
+        for size in GRAMS:
+            for i in range(len(data) - size + 1):
+                h = size
+                for k in range(size):
+                    h = (h + data[i + k]) * int(_MIX[k]) % 2**32
+                    h ^= h >> 15
+                total += model.table[h % BUCKETS]
+                n += 1
+        z = (total / n + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[d][0] == model.labels[int(p.argmax())] and abs(got[d][1] - p.max()) < 1e-6
+    assert sum(got[d][0] == lang for d, _, lang in rows) >= 88
+
+
+def test_language_sample_is_bounded_and_never_empty(spark):
+    """Copies of one text are one row of the sample, null ids are nothing special, and a huge label keeps its share."""
+    df = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words again").alias("text"), F.lit("en").alias("lang"))
+    more = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("und der hund "), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+    model = train(df.unionByName(more), F.lit(True), "doc_id", "text", "lang", sample_rows=40)
+    assert "de" in model.labels
+
+
 def tokens(t):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     return [*low.encode().split(), "END"]
