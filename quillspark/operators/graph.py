@@ -7,6 +7,7 @@ predicate, object_id, status, document_id, document_version, chunk_id, chunk_has
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -29,23 +30,35 @@ class Ontology:
     version: str
     types: tuple[str, ...]
     relations: tuple[Relation, ...]
+    attributes: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     @property
     def symmetric(self) -> list[str]:
         return [r.predicate for r in self.relations if r.symmetric]
 
     def errors(self) -> list[str]:
-        out = [f"duplicate type {t}" for t in {t for t in self.types if self.types.count(t) > 1}]
-        names = [r.predicate for r in self.relations]
-        out += [f"duplicate predicate {p}" for p in {p for p in names if names.count(p) > 1}]
-        for r in self.relations:
-            if not r.predicate.replace("_", "").isalpha() or r.predicate != r.predicate.upper():
-                out.append(f"bad predicate {r.predicate}")
-            out += [f"{r.predicate}: unknown type {t}" for t in (*r.subjects, *r.objects) if t not in self.types]
-            if r.symmetric and set(r.subjects) != set(r.objects):
-                out.append(f"{r.predicate}: a symmetric relation has the same types on both sides")
-            if r.symmetric and r.antisymmetric:
-                out.append(f"{r.predicate}: symmetric and antisymmetric")
+        """What is wrong with the definition, each with where."""
+        out = [] if re.fullmatch(r"[A-Za-z0-9._-]{1,64}", self.version) else ["version: 1 to 64 letters, digits, '.', '_' or '-'"]
+        out += [] if self.types else ["types: at least one is needed"]
+        for i, t in enumerate(self.types):
+            out += [] if re.fullmatch(r"[A-Z][A-Za-z0-9]{0,63}", t) else [f"types[{i}]: bad name {t}"]
+            out += [f"types[{i}]: duplicate type {t}"] if t in self.types[:i] else []
+        for t, names in self.attributes:
+            out += [] if t in self.types else [f"attributes: unknown type {t}"]
+            out += [f"attributes of {t}: bad key {n}" for n in names if not re.fullmatch(r"[a-z][A-Za-z0-9]{0,63}", n)]
+            out += [f"attributes of {t}: duplicate key {n}" for n in {n for n in names if names.count(n) > 1}]
+        seen = set()
+        for i, r in enumerate(self.relations):
+            at = f"relations[{i}]"
+            out += [] if re.fullmatch(r"[A-Z][A-Z0-9]*(_[A-Z0-9]+)*", r.predicate) and len(r.predicate) <= 64 else [f"{at}: bad predicate {r.predicate}"]
+            out += [f"{at}: duplicate predicate {r.predicate}"] if r.predicate in seen else []
+            seen.add(r.predicate)
+            for side in (r.subjects, r.objects):
+                out += [] if side else [f"{at}: a side without types"]
+                out += [f"{at}: unknown type {t}" for t in side if t not in self.types]
+            out += [f"{at}: a symmetric relation has the same types on both sides"] if r.symmetric and set(r.subjects) != set(r.objects) else []
+            out += [f"{at}: symmetric and antisymmetric"] if r.symmetric and r.antisymmetric else []
+            out += [f"{at}: one type on both ends, but no type is on both"] if r.same_type and not set(r.subjects) & set(r.objects) else []
         return out
 
     def allows(self, subject_type: Column, predicate: Column, object_type: Column) -> Column:
@@ -70,6 +83,7 @@ DEFAULT = Ontology(
         Relation("SUPERSEDES", _DOCUMENTS, _DOCUMENTS, antisymmetric=True, same_type=True),
         Relation("APPLIES_TO", _DOCUMENTS, ("System", "Project", "Team", "BusinessProcess")),
     ),
+    (("System", ("vendor",)), ("Project", ("projectCode",)), ("Policy", ("policyNumber",)), ("Requirement", ("requirementNumber",)), ("Contract", ("contractNumber",))),
 )
 
 
@@ -141,6 +155,13 @@ def adjacent(edges: DataFrame, frontier: DataFrame, direction: str, symmetric: l
     return first_by(out.unionByName(back), ["assertion_id"], ["__side", "from_id"]).drop("__side")
 
 
+def adjacency_page(edges: DataFrame, ids: DataFrame, direction: str, most: int, ontology: Ontology = DEFAULT) -> tuple[DataFrame, bool]:
+    """(the first ``most`` adjacent edges in order of their ids, whether there are more): one more is asked for than is returned."""
+    own = ids.select("id", F.col("id").alias("owner"))
+    page = adjacent(edges.filter("status <> 'Retracted'"), own, direction, ontology.symmetric).orderBy("assertion_id").limit(most + 1)
+    return page.orderBy("assertion_id").limit(most), page.count() > most
+
+
 @dataclass
 class Traversal:
     starts: list[str]
@@ -228,12 +249,6 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFr
     return edges.join(known, edges["from_id"] == known["id"], "left_semi").orderBy("depth", "assertion_id")
 
 
-def grounded(extracted: DataFrame, text_folded: str, mention_folded: str, quote_folded: str, least: int = 8, most: int = 600) -> DataFrame:
-    """Rows whose mention and quote occur in the chunk's folded text."""
-    q = F.length(quote_folded).between(least, most) & F.contains(F.col(text_folded), F.col(quote_folded))
-    return extracted.filter((F.length(mention_folded) > 0) & F.contains(F.col(text_folded), F.col(mention_folded)) & q)
-
-
 def apply_snapshot(edges: DataFrame, old_manifest: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with the fresh ones, superseded ids): what the old manifest has and the new one doesn't."""
     gone = old_manifest.select("assertion_id").join(fresh.select("assertion_id"), "assertion_id", "left_anti").distinct()

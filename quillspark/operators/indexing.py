@@ -61,7 +61,11 @@ def delete_items(chunks: DataFrame, gone: DataFrame, key: list[str]) -> DataFram
 
 
 def merge_metadata(chunks: DataFrame, patches: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(chunks with patched columns, whether every patch found its chunk): never inserts."""
+    """(chunks with patched columns, whether every patch found its chunk): never inserts.
+
+    Of several patches of a chunk the last to arrive counts (``arrival``, else the greatest values).
+    """
+    patches = _last(patches, [key], columns)
     p = patches.select(F.col(key).alias("__k"), F.struct(*columns).alias("__p"))
     joined = chunks.join(p, chunks[key] == p["__k"], "left")
     merged = joined.select(*(F.when(F.col("__k").isNotNull(), F.col(f"__p.{c}")).otherwise(chunks[c]).alias(c) if c in columns else chunks[c] for c in chunks.columns))
@@ -69,8 +73,14 @@ def merge_metadata(chunks: DataFrame, patches: DataFrame, key: str, columns: lis
     return merged, found
 
 
+def _last(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    order = [F.desc("arrival")] if "arrival" in rows.columns else []
+    return latest(rows, key, [*order, *(F.desc_nulls_last(c) for c in columns)])
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows replace those of their key."""
+    """Rows replace those of their key; of several the last to arrive counts (``arrival``, else the greatest values)."""
+    rows = _last(rows, key, [c for c in table.columns if c not in key]).select(*table.columns)
     return table.join(rows.select(*key), key, "left_anti").unionByName(rows)
 
 

@@ -1,10 +1,8 @@
-"""Write-once archives, versioned rows, aliases, catalogs and snapshot validation."""
+"""Write-once archives, versioned rows, aliases and catalogs."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
@@ -20,14 +18,18 @@ def archive_once(archive: DataFrame, fresh: DataFrame, key: list[str]) -> DataFr
 def conditional_write(table: DataFrame, writes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(table, conflicts): a write without a token creates, one with a token replaces the row that still has it.
 
-    Rows are (key, token, value); the token of a written row is its new version.
+    Rows are (key, token, value), writes may have an ``arrival``; the token of a written row is its new version.  Of several writes of
+    one key that may succeed, the first to arrive (else the least value) does, and the others are conflicts.
     """
     t = table.select(F.col(key).alias("__k"), F.col("token").alias("__t"))
     j = writes.join(t, writes[key] == t["__k"], "left")
     ok = F.when(F.col("token").isNull(), F.col("__k").isNull()).otherwise(F.col("__t").eqNullSafe(F.col("token")))
+    order = ([F.col("arrival")] if "arrival" in writes.columns else []) + [F.col("value")]
     j = j.withColumn("__ok", F.coalesce(ok, F.lit(False)))
-    done = j.filter("__ok").select(key, (F.coalesce(F.col("token"), F.lit(0)) + 1).cast("long").alias("token"), "value")
-    return table.join(done.select(key), key, "left_anti").unionByName(done), j.filter("NOT __ok").select(key)
+    j = j.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__ok").orderBy(*order)))
+    wins = F.col("__ok") & (F.col("__n") == 1)
+    done = j.filter(wins).select(key, (F.coalesce(F.col("token"), F.lit(0)) + 1).cast("long").alias("token"), "value")
+    return table.join(done.select(key), key, "left_anti").unionByName(done), j.filter(~wins).select(key)
 
 
 def alias_key(tenant: Column, kind: Column, alias: Column, entity: Column) -> Column:
@@ -107,43 +109,14 @@ def memoized(rows: DataFrame, key: list[str], score) -> DataFrame:
     return rows.join(score(rows.select(*key).distinct()), key, "left")
 
 
-def snapshot_errors(entities: DataFrame, edges: DataFrame, ontology: Ontology = DEFAULT, most: int = 100) -> DataFrame:
-    """(code, location) of what is wrong with a snapshot's entities (entity_id, entity_type, canonical_name) and edges.
-
-    Each rule is a filter or an anti join, and a clean snapshot gives no row.
-    """
-    e, a = entities, edges
-    at = lambda kind, c: F.concat(F.lit(f"$.{kind}["), F.coalesce(c, F.lit("null")), F.lit("]"))
-    error = lambda df, code, kind, c: df.select(F.lit(code).alias("code"), at(kind, F.col(c)).alias("location"))
-    known = {r.predicate for r in ontology.relations}
-    blank = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) == 0
-    out = [
-        error(e.filter(~keys.storage_safe(F.col("entity_id"))), "entityId", "entities", "entity_id"),
-        error(e.filter(~F.coalesce(F.col("entity_type").isin(*ontology.types), F.lit(False))), "entityType", "entities", "entity_id"),
-        error(e.filter(blank("canonical_name")), "entityName", "entities", "entity_id"),
-        error(e.groupBy("entity_id").count().filter("count > 1"), "duplicateEntity", "entities", "entity_id"),
-        error(a.filter(~keys.storage_safe(F.col("assertion_id"))), "assertionId", "assertions", "assertion_id"),
-        error(a.groupBy("assertion_id").count().filter("count > 1"), "duplicateAssertion", "assertions", "assertion_id"),
-        error(a.filter(~F.coalesce(F.col("predicate").isin(*known), F.lit(False))), "predicate", "assertions", "assertion_id"),
-        error(a.filter(F.col("subject_id") == F.col("object_id")), "selfRelation", "assertions", "assertion_id"),
-    ]
-    for side in ("subject", "object"):
-        out.append(error(a.join(e.select(F.col("entity_id").alias(f"{side}_id")), f"{side}_id", "left_anti"), f"unknown{side.title()}", "assertions", "assertion_id"))
-    types = e.select("entity_id", "entity_type").dropDuplicates(["entity_id"])
-    j = a.join(types.select(F.col("entity_id").alias("subject_id"), F.col("entity_type").alias("__s")), "subject_id").join(types.select(F.col("entity_id").alias("object_id"), F.col("entity_type").alias("__o")), "object_id")
-    out.append(error(j.filter(F.col("predicate").isin(*known) & ~ontology.allows(F.col("__s"), F.col("predicate"), F.col("__o"))), "triple", "assertions", "assertion_id"))
-    if ontology.symmetric:
-        out.append(error(a.filter(F.col("predicate").isin(*ontology.symmetric) & (F.col("subject_id") > F.col("object_id"))), "symmetricOrder", "assertions", "assertion_id"))
-    return reduce(lambda x, y: x.unionByName(y), out).orderBy("location", "code").limit(most)
-
-
-def merge_entities(entities: DataFrame, edges_target: tuple[str, str], actor: str) -> DataFrame:
-    """Source redirects to target; both must exist, be of one type and not be redirected; history is kept."""
+def merge_entities(entities: DataFrame, edges_target: tuple[str, str], actor: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, history row): source redirects to target; both must exist, be of one type and not be redirected."""
     source, target = edges_target
     rows = {r["entity_id"]: r for r in entities.filter(F.col("entity_id").isin(source, target)).select("entity_id", "entity_type", "redirect_to").collect()}
     if source == target or set(rows) != {source, target} or rows[source]["entity_type"] != rows[target]["entity_type"] or any(r["redirect_to"] for r in rows.values()):
         raise ValueError("two live entities of one type are needed")
-    return entities.withColumn("redirect_to", F.when(F.col("entity_id") == source, F.lit(target)).otherwise(F.col("redirect_to"))).withColumn("merged_by", F.when(F.col("entity_id") == source, F.lit(actor)))
+    moved = entities.withColumn("redirect_to", F.when(F.col("entity_id") == source, F.lit(target)).otherwise(F.col("redirect_to")))
+    return moved, entities.sparkSession.createDataFrame([(source, target, actor)], "source string, target string, actor string")
 
 
 def capped_history(history: Column, entry: Column, most: int = 20) -> Column:
@@ -198,7 +171,3 @@ def assemble(edges: DataFrame, chunks: DataFrame, baseline: DataFrame, most: int
     sized = new.join(chunks.select("chunk_id", F.length("content").alias("size")), "chunk_id")
     listed = sized.agg(F.array_sort(F.collect_list(F.struct("o", "chunk_id", "size"))).alias("c"))
     return listed.select(within_budget(F.transform("c", lambda x: x["chunk_id"]), F.transform("c", lambda x: x["size"]), most, budget).alias("chunk_ids"))
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -30,12 +30,17 @@ def _(s, d):
     return T.table(s, d, "embeddings").filter(ok).join(T.table(s, d, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select("vec_id")
 
 
-@query("s12_delta_state", "SELECT * FROM (VALUES ('a', 'l2', 's2', 's0'), ('b', '', 's1', NULL), ('c', 'l3', 's3', NULL)) t(drive_id, delta_link, scan_id, swept_scan_id)")
+@query("s12_delta_state", """
+WITH old AS (SELECT s_suppkey AS k, 'l1' AS link, 's1' AS scan, CASE WHEN s_suppkey % 2 = 0 THEN 's0' END AS swept FROM supplier),
+fresh AS (SELECT s_suppkey * 2 AS k FROM supplier)
+SELECT 'd' || coalesce(old.k, fresh.k) AS drive_id, CASE WHEN coalesce(old.k, fresh.k) IN (2, 3) THEN '' WHEN fresh.k IS NOT NULL THEN 'l2' ELSE link END AS delta_link,
+  CASE WHEN fresh.k IS NOT NULL THEN 's2' ELSE scan END AS scan_id, CASE WHEN coalesce(old.k, fresh.k) NOT IN (2, 3) THEN swept END AS swept_scan_id FROM old FULL JOIN fresh ON old.k = fresh.k""")
 def _(s, d):
-    cols = "drive_id string, delta_link string, scan_id string, swept_scan_id string"
-    old = s.createDataFrame([("a", "l1", "s1", "s0"), ("b", "l1", "s1", "s1")], cols)
-    fresh = s.createDataFrame([("a", "l2", "s2"), ("c", "l3", "s3")], "drive_id string, delta_link string, scan_id string")
-    return state.reset_delta_state(state.set_delta_state(old, fresh), ["b"])
+    k = F.col("s_suppkey")
+    name = lambda c: F.concat(F.lit("d"), c.cast("string")).alias("drive_id")
+    old = T.table(s, d, "supplier").select(name(k), F.lit("l1").alias("delta_link"), F.lit("s1").alias("scan_id"), F.when(k % 2 == 0, "s0").alias("swept_scan_id"))
+    fresh = T.table(s, d, "supplier").select(name(k * 2), F.lit("l2").alias("delta_link"), F.lit("s2").alias("scan_id"))
+    return state.reset_delta_state(state.set_delta_state(old, fresh), ["d2", "d3"])
 
 
 @query("s15_archive_once", "SELECT o_custkey AS k, CASE WHEN o_custkey % 2 = 0 THEN 'old' ELSE arg_min(o_orderpriority, o_orderkey) END AS v FROM orders GROUP BY 1")
@@ -65,7 +70,8 @@ def _(s, d):
 def _(s, d):
     t = T.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(1).cast("long").alias("token"), F.lit("old").alias("value"))
     w = t.filter("id % 3 = 0").withColumn("value", F.lit("new")).unionByName(t.filter("id % 3 = 1").select("id", F.lit(9).cast("long").alias("token"), F.lit("lost").alias("value")))
-    w = w.unionByName(s.createDataFrame([(-1, None, "new"), (2, None, "lost")], "id long, token long, value string"))
+    w = w.unionByName(s.createDataFrame([(-1, None, "new"), (-1, None, "second"), (2, None, "lost")], "id long, token long, value string"))
+    w = w.unionByName(t.filter("id % 3 = 0").withColumn("value", F.lit("second")))
     return state.conditional_write(t, w, "id")[0]
 
 
@@ -288,10 +294,11 @@ def _(s, d):
     return T.table(s, d, "documents").select("doc_id", keys.document_id(F.lit("drive"), n).alias("document_id"), keys.revision_id(F.concat(F.lit("c"), n), F.lit(None).cast("string"), F.lit("fp1")).alias("revision"))
 
 
-@query("c16_c17_grounded_quotes", "SELECT doc_id, length(lower(left(text, 30))) BETWEEN 8 AND 600 AS grounded FROM documents WHERE text = trim(text) AND NOT regexp_matches(text, '[^a-zA-Z .,]')")
+@query("c16_c17_grounded_quotes")
 def _(s, d):
-    docs = T.table(s, d, "documents").filter(~F.col("text").rlike("[^a-zA-Z .,]") & (F.col("text") == F.trim("text")))
-    folded = docs.select("doc_id", keys.fold_text(F.col("text")).alias("t"), keys.fold_text(F.left("text", F.lit(30))).alias("q"))
+    """Every whole text, with a quote from its middle; folding is Unicode's, which SQL lacks: tested against plain Python."""
+    docs = T.table(s, d, "documents").select("doc_id", F.col("text").alias("t"), F.substr("text", F.floor(F.length("text") / 2).cast("int"), F.lit(40)).alias("q"))
+    folded = docs.select("doc_id", keys.fold_text(F.col("t")).alias("t"), keys.fold_text(F.upper("q")).alias("q"))
     return folded.select("doc_id", text.grounded_quote(F.col("t"), F.col("q")).alias("grounded"))
 
 
@@ -354,12 +361,6 @@ def _(s, d):
     return T.table(s, d, "part").select("p_name").distinct().select(keys.normalize_name(F.col("p_name")).alias("alias")).distinct()
 
 
-@query("g16_snapshot_errors", f"WITH {T.EDGES} SELECT 'symmetricOrder' AS code, count(*) AS n FROM edges WHERE predicate = 'INTEGRATES_WITH' AND subject_id > object_id HAVING count(*) > 0 UNION ALL SELECT 'selfRelation', count(*) FROM edges WHERE subject_id = object_id HAVING count(*) > 0")
-def _(s, d):
-    errors = state.snapshot_errors(T.entities(s, d), T.edges(s, d), most=1_000_000)
-    return errors.filter("code in ('symmetricOrder', 'selfRelation')").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("g18_apply_snapshot", f"WITH {T.EDGES} SELECT assertion_id, CASE WHEN document_id = 'd0' AND predicate <> 'DEPENDS_ON' THEN 'Retracted' ELSE status END AS status FROM edges")
 def _(s, d):
     e = T.edges(s, d)
@@ -367,10 +368,11 @@ def _(s, d):
     return graph.apply_snapshot(e, mine, mine.filter("predicate = 'DEPENDS_ON'"))[0].select("assertion_id", "status")
 
 
-@query("g20_entity_merge", "SELECT p_brand AS entity_id, min(p_name) AS canonical_name FROM part GROUP BY 1")
+@query("g20_entity_merge", "SELECT p_brand AS entity_id, min(p_name) AS canonical_name, array_to_string(list_concat(list_sort(list(DISTINCT p_type)), list_filter(list_sort(list(DISTINCT p_name)), lambda x: true))[1:50], '|') AS aliases FROM part GROUP BY 1")
 def _(s, d):
     p = T.table(s, d, "part").groupBy(F.col("p_brand").alias("entity_id")).agg(F.min("p_name").alias("canonical_name"), F.array_sort(F.collect_set("p_type")).alias("aliases"))
-    return graph.merge_entity(p, p.withColumn("canonical_name", F.lit("other"))).select("entity_id", "canonical_name")
+    names = T.table(s, d, "part").groupBy(F.col("p_brand").alias("entity_id")).agg(F.lit("other").alias("canonical_name"), F.array_sort(F.collect_set("p_name")).alias("aliases"))
+    return graph.merge_entity(p, names).select("entity_id", "canonical_name", F.array_join("aliases", "|").alias("aliases"))
 
 
 @query("st02_scan_rounds", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'new' ELSE 's1' END AS scan_id FROM supplier")

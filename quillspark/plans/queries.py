@@ -102,7 +102,7 @@ SELECT CAST(member AS BIGINT) AS member, CAST(grp AS BIGINT) AS grp FROM r""")
 def _(s, d):
     m = T.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("member"), (100 + F.col("n_regionkey")).cast("long").alias("group"))
     m = m.unionByName(T.table(s, d, "region").select((100 + F.col("r_regionkey")).cast("long").alias("member"), (200 + F.col("r_regionkey") % 2).cast("long").alias("group")))
-    return access.transitive_groups(m, s).withColumnRenamed("group", "grp")
+    return access.transitive_groups(m).withColumnRenamed("group", "grp")
 
 
 @query("p03_change_classification", f"""
@@ -394,11 +394,11 @@ def _(s, d):
 
 
 @query("w02_section_end", """
-WITH h AS (SELECT doc_id, CAST(i AS INTEGER) AS line, CAST(1 + (doc_id * 7 + i * i) % 4 AS INTEGER) AS level FROM documents, range(1, 12) t(i) WHERE (doc_id + i) % 3 <> 0 AND doc_id % 10 = 0)
+WITH h AS (SELECT doc_id, CAST(i AS INTEGER) AS line, CAST(1 + (doc_id * 7 + i * i) % 4 AS INTEGER) AS level FROM documents, range(1, 12) t(i) WHERE (doc_id + i) % 3 <> 0)
 SELECT doc_id, line, level, CAST(coalesce((SELECT min(g.line) - 1 FROM h g WHERE g.doc_id = h.doc_id AND g.line > h.line AND g.level <= h.level), 20) AS INTEGER) AS end_line FROM h""")
 def _(s, d):
     i = F.col("line")
-    h = T.table(s, d, "documents").filter("doc_id % 10 = 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(11))).alias("line"))
+    h = T.table(s, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(11))).alias("line"))
     h = h.filter((F.col("doc_id") + i) % 3 != 0).withColumn("level", (1 + (F.col("doc_id") * 7 + i * i) % 4).cast("int"))
     totals = h.select("doc_id", F.lit(20).alias("total_lines")).distinct()
     return conversations.section_ends(h, totals)
@@ -578,11 +578,11 @@ def _(s, d):
 
 
 @query("g11_entity_resolution", """
-WITH k AS (SELECT p_type, p_name, count(DISTINCT p_brand) AS n, min(p_brand) AS e FROM part WHERE p_size % 10 = 0 GROUP BY 1, 2)
+WITH k AS (SELECT p_type, p_name, count(DISTINCT p_brand) AS n, min(p_brand) AS e FROM part GROUP BY 1, 2)
 SELECT p_partkey, CASE WHEN n IS NULL THEN 'new' WHEN n = 1 THEN 'alias' ELSE 'ambiguous' END AS decision, CASE WHEN n = 1 THEN e END AS entity_id FROM part LEFT JOIN k ON part.p_type = k.p_type AND part.p_name = k.p_name""")
 def _(s, d):
     p = T.table(s, d, "part")
-    aliases = p.filter("p_size % 10 = 0").select(F.col("p_type").alias("entity_type"), F.col("p_name").alias("alias"), F.col("p_brand").alias("entity_id"))
+    aliases = p.select(F.col("p_type").alias("entity_type"), F.col("p_name").alias("alias"), F.col("p_brand").alias("entity_id"))
     m = p.select(F.col("p_partkey").alias("mention_id"), F.col("p_type").alias("entity_type"), F.col("p_name").alias("alias"), F.lit(None).cast("string").alias("identifier_entity"))
     none = s.createDataFrame([], "entity_id string, redirect_to string")
     return graph.resolve(m, aliases, none).select(F.col("mention_id").alias("p_partkey"), "decision", "entity_id")

@@ -112,7 +112,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as assertions between parts."""
     n = F.col("l_orderkey")
     name = lambda c: F.concat(F.lit("e"), F.lpad(c.cast("string"), 7, "0"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").dropDuplicates(["l_orderkey", "l_linenumber"]).filter(n % 5 == 0)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").dropDuplicates(["l_orderkey", "l_linenumber"])
     parts = table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("m"))
     rows = rows.withColumn("m", F.lit(parts.first()["m"]) + 1)
     return rows.select(
@@ -133,7 +133,7 @@ EDGES = """edges AS (
     'e' || lpad(CAST((l_orderkey * 7 + l_linenumber * 31) % m AS VARCHAR), 7, '0') AS object_id,
     CASE WHEN l_orderkey % 37 = 0 THEN 'Retracted' ELSE 'Active' END AS status,
     'd' || CAST(l_orderkey % 20 AS VARCHAR) AS document_id, 'r1' AS document_version
-  FROM lineitem, (SELECT max(p_partkey) + 1 AS m FROM part) WHERE l_orderkey % 5 = 0)"""
+  FROM lineitem, (SELECT max(p_partkey) + 1 AS m FROM part))"""
 
 
 def chunks_sql(source: str, size: int, overlap: int) -> str:
