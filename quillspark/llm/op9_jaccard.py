@@ -3,8 +3,9 @@
 A document's set is its distinct word shingles.  Documents with equal sets are one class, which its
 smallest id represents.  The join finds which classes are linked:
 
-1. Groups.  Classes with one least shingle are a group (similar sets mostly share it); groups of over ``block``
-   classes or ``block_items`` shingles are cut.  Any partition gives the same result; a good one is cheaper.
+1. Groups.  A class goes to the group of that of its three least shingles which most classes have among theirs (similar sets
+   mostly share it); groups of over ``block`` classes or ``block_items`` shingles are cut.  Any partition gives the same
+   result; a good one is cheaper.
 2. Matrix.  Each group's token union and its range of sizes is a row of a table.
 3. Candidates.  Two sets of the wanted similarity share one of their first n - ceil(threshold * n) + 1 shingles
    in any fixed order, so only groups whose members share such a shingle can hold a link; frequent shingles
@@ -40,11 +41,13 @@ from . import hashing as H
 from .common import arrow_batches, by_bucket, discard, documents, joined, parallelism, shared_dir, written
 from .components import components
 
-FLUSH = 500_000
+FLUSH = 300_000
+#: Least shingles of a class that its group is chosen from.
+KEYS = 3
 #: Shingles of a 0/1 matrix.
 WIDTH = 8192
 #: Queries of a group in one task.
-QUERIES = 2048
+QUERIES = 512
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -89,7 +92,7 @@ def _packed_buckets(columns: list[np.ndarray], token: np.ndarray, buckets: int)
 
 def _surveyed(src: DataFrame, k: int, threshold: int, buckets: int) -> str:
     """Path of (kind, ...): kind 0 has a row a document, kind 1 packed counts of prefix shingles."""
-    types = {"kind": pa.int32(), "doc_id": pa.int64(), "cid": pa.int64(), "n": pa.int64(), "key": pa.int64(), "bucket": pa.int32(), "data": pa.binary()}
+    types = {"kind": pa.int32(), "doc_id": pa.int64(), "cid": pa.int64(), "n": pa.int64(), "keys": pa.list_(pa.int64()), "bucket": pa.int32(), "data": pa.binary()}
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, size = [], set(), 0
@@ -110,8 +113,8 @@ def _surveyed(src: DataFrame, k: int, threshold: int, buckets: int) -> str:
                     seen.add(cid)
                     held.append(x[: prefix_length(len(x), threshold)].copy())
                     size += len(held[-1])
-            keys = [x[:1].view(np.int64).tolist()[0] if len(x) else None for x in sets]
-            yield rows(len(part), kind=[0] * len(part), doc_id=part.column(0), cid=cids, n=[len(x) for x in sets], key=keys)
+            keys = [x[:KEYS].view(np.int64).tolist() for x in sets]
+            yield rows(len(part), kind=[0] * len(part), doc_id=part.column(0), cid=cids, n=[len(x) for x in sets], keys=keys)
             if size >= FLUSH:
                 yield flush()
                 size = 0
@@ -119,10 +122,20 @@ def _surveyed(src: DataFrame, k: int, threshold: int, buckets: int) -> str:
             yield flush()
 
     path = shared_dir(src.sparkSession, "jaccard-survey")
-    src.mapInArrow(survey, "kind int, doc_id long, cid long, n long, key long, bucket int, data binary").write.partitionBy("kind").parquet(path)
+    src.mapInArrow(survey, "kind int, doc_id long, cid long, n long, keys array<long>, bucket int, data binary").write.partitionBy("kind").parquet(path)
     return path
 
 
+def group_of(keys: list[int], cid: int, popular: dict[int, tuple[int, int]]) -> int:
+    """The most popular key, else the least; with the number of the class's part where the group is cut.
+
+    ``popular`` has, of keys that many classes have, how many do and the number of parts.
+    """
+    _, key = max(((popular[k][0], k) for k in keys if k in popular), default=(0, keys[0]))
+    parts = popular[key][1] if key in popular else 1
+    return key ^ cid % parts
+
+
 def _common_shingles(counts: DataFrame, common: int, most: int) -> np.ndarray:
     """Shingles in at least ``common`` prefixes, the ``most`` most frequent at most."""
 
@@ -138,12 +151,10 @@ def _common_shingles(counts: DataFrame, common: int, most: int) -> np.ndarray:
     return np.sort(found.select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, parts: dict[int, int], buckets: int) -> DataFrame:
+def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, popular: dict[int, tuple[int, int]], buckets: int) -> DataFrame:
     """Distinct pairs (g, h), g < h, of groups whose members share a prefix shingle and may be similar by size and place.
-
-    ``parts`` says into how many groups the classes of a key are cut; see :func:`jaccard_components`.
     """
-    shared = src.sparkSession.sparkContext.broadcast((common, parts))
+    shared = src.sparkSession.sparkContext.broadcast((common, popular))
 
     def collapsed(token, group, least, most, left):
         order = np.lexsort((group, token))
@@ -152,7 +163,7 @@ def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, part
         return token[first], group[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first), np.maximum.reduceat(left, first)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, cut = shared.value
+        last, keyed = shared.value
         held, seen, size = [], set(), 0
 
         def flush() -> pa.RecordBatch:
@@ -170,12 +181,12 @@ def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, part
                 if not n or cid in seen:
                     continue
                 seen.add(cid)
-                key, p = int(x[:1].view(np.int64)[0]), prefix_length(n, threshold)
+                group, p = group_of(x[:KEYS].view(np.int64).tolist(), cid, keyed), prefix_length(n, threshold)
                 if len(last):
                     rare = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] != x
                     mine = x[rare][:p]
                     x = mine if len(mine) == p else np.concatenate([mine, x[~rare][: p - len(mine)]])
-                held.append((x[:p].copy(), key ^ cid % cut[key] if key in cut else key, n))
+                held.append((x[:p].copy(), group, n))
                 size += p
                 if size >= FLUSH:
                     yield flush()
@@ -409,7 +420,7 @@ def _opened(qualified: DataFrame, sets: DataFrame, several: DataFrame, threshold
     return written(both.mapInArrow(open_groups, "a long, b long, links long"), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: int = 85, common: int = 32, max_common: int = 500_000, block: int = 256, block_items: int = 1_000_000, max_cut: int = 100_000, max_broadcast: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: int = 85, common: int = 32, max_common: int = 500_000, block: int = 256, block_items: int = 1_000_000, max_popular: int = 100_000, max_broadcast: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) for each row.
 
     Two documents link where 100 * intersection >= threshold * union.  n_links counts the other classes
@@ -419,24 +430,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     arrow_batches(spark)
     buckets = 2 * parallelism(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    survey = spark.read.schema("doc_id long, cid long, n long, key long, bucket int, data binary, kind int").parquet(_surveyed(src, k, threshold, buckets))
-    rows = survey.filter("kind = 0").select("doc_id", "cid", "n", "key")
+    survey = spark.read.schema("doc_id long, cid long, n long, keys array<long>, bucket int, data binary, kind int").parquet(_surveyed(src, k, threshold, buckets))
+    rows = survey.filter("kind = 0").select("doc_id", "cid", "n", "keys")
     known = rows.filter("n > 0 and doc_id is not null")
     named = src.filter("doc_id is not null")
-    least = known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("key").alias("key"))
-
-    # Groups: the least shingle, xored with the number of the part where its classes are cut; the max_cut largest
-    # keys are cut at most, so what goes through the driver is bounded.
-    parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("items") / block_items)).cast("long")
+    least = known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     least = written(least, "jaccard-classes")
-    large = least.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items")).withColumn("parts", parts).filter("parts > 1")
-    large = written(large.orderBy(F.desc("m"), "key").limit(max_cut).select("key", "parts"), "jaccard-cut")
-    cut = {r["key"]: r["parts"] for r in large.collect()}
-    gid = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.col("key").bitwiseXOR(F.pmod("cid", "parts")))
-    classes = least.join(F.broadcast(large), "key", "left").select("cid", "rep", "n", gid.alias("gid"))
+    # Of the keys, the max_popular that most classes have say where these go: what passes through the driver is bounded.
+    parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("items") / block_items)).cast("long")
+    keyed = least.select(F.explode("keys").alias("key"), "n").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"))
+    keyed = keyed.filter("m > 1").withColumn("parts", parts).orderBy(F.desc("m"), "key").limit(max_popular).toArrow()
+    popular = dict(zip(keyed.column("key").to_pylist(), zip(keyed.column("m").to_pylist(), keyed.column("parts").to_pylist())))
+    shared = spark.sparkContext.broadcast(popular)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gids = [group_of(k, c, shared.value) for c, k in zip(b.column(0).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(gids, pa.int64())], ["cid", "rep", "n", "gid"])
+
+    classes = written(least.select("cid", "rep", "n", "keys").mapInArrow(grouped, "cid long, rep long, n long, gid long"), "jaccard-grouped")
+    shared.destroy()
+    discard(least)
 
     common_shingles = _common_shingles(survey.filter("kind = 1").select("bucket", "data"), common, max_common)
-    pairs = _candidates(named, k, threshold, common_shingles, cut, buckets)
+    pairs = _candidates(named, k, threshold, common_shingles, popular, buckets)
     sizes = written(classes.groupBy("gid").agg(F.count(F.lit(1)).alias("m")), "jaccard-groups")
     several = written(sizes.filter("m > 1").select("gid"), "jaccard-several")
     # The smaller group asks.

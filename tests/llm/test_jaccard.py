@@ -67,7 +67,7 @@ def test_equals_brute_force(spark, monkeypatch, seed, kw):
     assert sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in got) == brute(rows, threshold=kw.get("threshold", 85))
 
 
-@pytest.mark.parametrize("kw", [{"block": 3}, {"threshold": 60, "common": 2}, {"block": 5, "max_cut": 0}, {"block_items": 100}])
+@pytest.mark.parametrize("kw", [{"block": 3}, {"threshold": 60, "common": 2}, {"block": 5, "max_popular": 0}, {"block_items": 100}])
 def test_link_counts_equal_brute_force(spark, monkeypatch, kw):
     monkeypatch.setattr(op9, "WIDTH", 16)
     monkeypatch.setattr(op9, "QUERIES", 5)
