@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import bpe, op3_decontaminate, op6_quality, op7_pii, op9_jaccard, op10_bpe
 from quillspark.llm.common import benchmark, documents, written
 
-MAX_BROADCAST = 5_000_000
+MAX_BROADCAST = 1_000_000
 #: Near duplicates: five words, similarity 0.8.
 SHINGLE, SIMILARITY = 5, 80
 #: SQL can't express the robust estimates, the components or the encoder; the stages are tested by brute force.
@@ -33,15 +33,26 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go.  What is judged is a row's text, language and source."""
+    """Rejected documents go.  What is judged is a row's text, language and source.
+
+    Null and empty texts are rejected; null languages and sources are groups of their own; repeated rows are judged alike; an
+    empty table stays empty.
+    """
+    name = "__quality_key"
+    while name in docs.columns:
+        name += "_"
     key = F.xxhash64("text", "lang", "source")
-    judged = op6_quality.judge(docs, also={"quality_key": key})
-    rejected = judged.filter(~F.col("kept")).select("doc_id", "quality_key")
-    return _without(docs.withColumn("quality_key", key), rejected).select(*docs.columns)
+    judged = op6_quality.judge(docs, also={name: key})
+    rejected = judged.filter(~F.col("kept")).select("doc_id", name)
+    return _without(docs.withColumn(name, key), rejected).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group, the document with the smallest id stays, once."""
+    """Of each group, the document with the smallest id stays, once.
+
+    Empty texts and null ids are near to nothing and stay; of rows with the id that stays and one text, one stays; an empty
+    table stays empty.
+    """
     found = written(op9_jaccard.jaccard_components(docs, k=SHINGLE, threshold=SIMILARITY), "pipeline-groups")
     kept = _without(docs, found.filter("doc_id <> component_id").select("doc_id"))
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -53,13 +64,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go; null and empty texts and items overlap nothing, null ids go like others."""
     hits = op3_decontaminate.contaminated(docs, benchmark(spark, sf_dir))
     return _without(docs, hits.select("doc_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in brackets; n_chars follows."""
+    """Personal data gives way to its kind in brackets; n_chars follows.  Rows are kept, null and empty texts as they are."""
     clean = op7_pii.redact(docs, op7_pii.bootstrap(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -67,7 +78,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, as little-endian unsigned 32-bit integers, and the hash of what they decode to."""
+    """Token ids of each text, as little-endian unsigned 32-bit integers, and the hash of what they decode to; null texts have none."""
     out = op10_bpe.encode_decode(docs, bpe.default_path())
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
