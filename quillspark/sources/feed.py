@@ -1,91 +1,43 @@
-"""The change feed as a Spark data source: pages of JSON rows in a folder, read in batches or as a stream.
+"""The change feed: pages of JSON rows in a folder of any store that Spark reads, as a table or as a stream.
 
-Page files are named so that their order is the order of changes; the stream's offset is the number of
-pages read, and starting again with an empty checkpoint is a full walk.  A batch takes up to ``pagesPerBatch``
-pages, and a run with ``availableNow`` one batch.
+Page files are named by their number, which is the order of changes.  Spark's file source lists, splits and reads
+them on the executors and keeps in its checkpoint which ones are done; a run with ``availableNow`` takes up to
+``pages_per_batch`` pages a batch.  A row that says ``expired`` makes everything before it void: the reader has to
+start again behind that page, with an empty checkpoint.
 """
 
 from __future__ import annotations
 
-import glob
-import json
-import os
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-SCHEMA = "drive_id string, item_id string, name string, parent_path string, web_url string, mime_type string, size long, etag string, ctag string, is_file boolean, is_deleted boolean, page int"
-_FIELDS = [c.split()[0] for c in SCHEMA.split(", ")]
+SCHEMA = "drive_id string, item_id string, name string, parent_path string, web_url string, mime_type string, size long, etag string, ctag string, is_file boolean, is_deleted boolean, expired boolean"
 
 
 class TokenExpired(Exception):
-    """The feed no longer knows the offset: the checkpoint must go, and a full walk begins."""
-
-
-def decode(row: dict, page: int) -> tuple:
-    """One feed row, with defaults for what is missing."""
-    return tuple(page if f == "page" else bool(row.get(f, f == "is_file")) if f.startswith("is_") else row.get(f) for f in _FIELDS)
-
-
-def _pages(path: str) -> list[str]:
-    return sorted(glob.glob(os.path.join(path, "*.json")))
-
-
-def _read(file: str, page: int) -> Iterator[tuple]:
-    with open(file, encoding="utf-8") as f:
-        for line in f:
-            if line.strip():
-                yield decode(json.loads(line), page)
-
-
-class _Batch(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition((p, i)) for i, p in enumerate(_pages(self.path))] or [InputPartition(None)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value:
-            yield from _read(*partition.value)
-
-
-class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, per_batch: int):
-        self.path, self.per_batch = path, per_batch
-
-    def initialOffset(self) -> dict:
-        return {"pages": 0}
-
-    def read(self, start: dict):
-        pages = _pages(self.path)
-        if start["pages"] > len(pages):
-            raise TokenExpired("the feed was reset")
-        end = min(len(pages), start["pages"] + self.per_batch)
-        return iter([r for i in range(start["pages"], end) for r in _read(pages[i], i)]), {"pages": end}
+    """The feed no longer knows the offset: a full walk begins behind ``page``."""
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        pages = _pages(self.path)
-        return iter([r for i in range(start["pages"], end["pages"]) for r in _read(pages[i], i)])
+    def __init__(self, page: int):
+        super().__init__(f"TokenExpired({page})")
+        self.page = page
 
 
-class DeltaFeed(DataSource):
-    """``spark.dataSource.register(DeltaFeed)``, then format("deltafeed").option("path", folder)."""
+def decoded(rows: DataFrame) -> DataFrame:
+    """Rows with their page's number, and defaults for what is missing."""
+    page = F.regexp_extract("_metadata.file_name", "([0-9]+)", 1).cast("int")
+    flag = lambda c, default: F.coalesce(c, F.lit(default)).alias(c)
+    flags = {"is_file": True, "is_deleted": False, "expired": False}
+    return rows.select(*(flag(c, flags[c]) if c in flags else F.col(c) for c in rows.columns), page.alias("page"))
 
-    @classmethod
-    def name(cls) -> str:
-        return "deltafeed"
 
-    def schema(self) -> str:
-        return SCHEMA
+def feed_table(spark: SparkSession, path: str, after: int = -1) -> DataFrame:
+    """All rows of the pages behind ``after``."""
+    return decoded(spark.read.schema(SCHEMA).json(path)).filter(F.col("page") > after)
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Batch(self.options["path"])
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Stream(self.options["path"], int(self.options.get("pagesPerBatch", "10")))
+def feed_stream(spark: SparkSession, path: str, after: int = -1, pages_per_batch: int = 10) -> DataFrame:
+    """The same as a stream."""
+    return decoded(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", pages_per_batch).json(path)).filter(F.col("page") > after)
 
 
 def recycle_bin(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Structured Streaming: the checkpointed delta pass, dead letters with retries, webhooks and heartbeats."""
+"""Structured Streaming: the checkpointed delta pass with its restart, signals, retries with dead letters, and heartbeats."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import indexing
+from ..sources.feed import TokenExpired
 
 
 def versioned_write(df: DataFrame, folder: str, version: int) -> str:
@@ -36,11 +38,35 @@ def delta_pass(feed: DataFrame, checkpoint: str, handle: Callable[[DataFrame, in
     return (writer.trigger(processingTime=f"{trigger_s} seconds") if trigger_s else writer.trigger(availableNow=True)).start()
 
 
+def with_restart(start: Callable[[str, int], object], checkpoint: str, reset: Callable[[int], None], most: int = 3) -> int:
+    """Run ``start(checkpoint folder, page)`` to its end; where the feed's token has expired, call ``reset`` and begin a full walk.
+
+    Each walk has a checkpoint folder of its own, so the old offsets are void.  Returns the number of walks.
+    """
+    after = -1
+    for walk in range(most):
+        query = start(f"{checkpoint}/walk={walk}", after)
+        try:
+            query.awaitTermination()
+            return walk + 1
+        except Exception as e:  # noqa: BLE001  whatever else failed goes on to the caller
+            found = re.search(r"TokenExpired\((\d+)\)", str(e))
+            if not found:
+                raise
+            after = int(found[1])
+            reset(after)
+    raise RuntimeError(f"the feed expired {most} times in a row")
+
+
 def index_batch(files_folder: str, schema: str, allowed: list[str], fingerprint: str) -> Callable[[DataFrame, int], None]:
     """A handler that keeps the file table: removed rows go, changed ones are replaced."""
 
     def handle(changes: DataFrame, epoch: int) -> None:
         spark = changes.sparkSession
+        if "expired" in changes.columns:
+            page = changes.filter("expired").agg(F.max("page")).first()[0]
+            if page is not None:
+                raise TokenExpired(page)
         tracked = latest_version(spark, files_folder, schema)
         last = indexing.latest(changes.withColumn("__a", F.monotonically_increasing_id()), ["drive_id", "item_id"], [F.desc("page"), F.desc("__a")]).drop("__a")
         known = [c for c in tracked.columns if c in last.columns]
@@ -74,10 +100,19 @@ class Retry:
         return "retry", min(self.most_s, self.base_s * 2 ** (attempt - 1))
 
     def stateful(self, outcomes: DataFrame) -> DataFrame:
-        """Stream of (key, outcome) to (key, attempt, action, delay_s); a settled key's state is dropped."""
+        """Stream of (key, outcome) to (key, attempt, action, delay_s); a settled key's state is dropped.
+
+        A key that waits has a timer: when its delay is over, a row with the action ``redeliver`` says that the next
+        attempt is due.
+        """
         decide = self.decide
 
         def step(key, frames, state):
+            if state.hasTimedOut:
+                attempt = state.get[0]
+                state.update((attempt,))
+                yield pd.DataFrame([(key[0], attempt, "redeliver", 0.0)], columns=["key", "attempt", "action", "delay_s"])
+                return
             attempt = state.get[0] if state.exists else 0
             rows = []
             for f in frames:
@@ -89,11 +124,70 @@ class Retry:
                         attempt = 0
             if attempt:
                 state.update((attempt,))
+                state.setTimeoutDuration(max(1, int(1000 * rows[-1][3])))
             elif state.exists:
                 state.remove()
             yield pd.DataFrame(rows, columns=["key", "attempt", "action", "delay_s"])
 
-        return outcomes.groupBy("key").applyInPandasWithState(step, "key string, attempt int, action string, delay_s double", "attempt int", "append", "NoTimeout")
+        return outcomes.groupBy("key").applyInPandasWithState(step, "key string, attempt int, action string, delay_s double", "attempt int", "append", "ProcessingTimeTimeout")
+
+
+def settle_actions(dead_letters: str, queue: str) -> Callable[[DataFrame, int], None]:
+    """A batch handler for :meth:`Retry.stateful`: dead keys go to the reject folder, due ones back to the request queue."""
+
+    def handle(actions: DataFrame, epoch: int) -> None:
+        versioned_write(actions.filter("action = 'dead'").select("key", "attempt"), dead_letters, epoch)
+        actions.filter("action = 'redeliver'").select("key", (F.col("attempt") + 1).alias("attempt")).write.mode("append").json(queue)
+
+    return handle
+
+
+def publish(signal: DataFrame, topic: str) -> None:
+    """Append signals (drive_id, sent_at) to a topic folder."""
+    signal.select("drive_id", "sent_at").write.mode("append").json(topic)
+
+
+def consume(spark: SparkSession, topic: str, drives: list[str], checkpoint: str, rejects: str, handle: Callable[[list[str], int], None], trigger_s: float | None = None):
+    """Signals of known drives start their pass, once a batch and one batch at a time; others are kept as rejects.
+
+    The drives are the few that this deployment serves, so their names are what comes to the driver.
+    """
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        known = F.coalesce(F.col("drive_id").isin(*drives), F.lit(False))
+        versioned_write(rows.filter(~known).withColumn("reason", F.lit("wrong drive")), rejects, epoch)
+        due = sorted(r["drive_id"] for r in rows.filter(known).select("drive_id").distinct().collect())
+        if due:
+            handle(due, epoch)
+
+    return delta_pass(spark.readStream.schema("drive_id string, sent_at string").json(topic), checkpoint, batch, trigger_s)
+
+
+def beat(spark: SparkSession, worker: str, folder: str, checkpoint: str, every_s: int = 30):
+    """A worker's heartbeat: one row each period, for as long as the query runs."""
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows.agg(F.max("timestamp").alias("at")).filter("at is not null").select(F.lit(worker).alias("worker"), "at").write.mode("append").json(folder)
+
+    source = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{every_s} seconds").start()
+
+
+def stale(beats: DataFrame, stale_s: int = 120) -> DataFrame:
+    """Stream of (worker, at) to (worker, last): workers whose last beat is older than ``stale_s`` in event time, once each silence."""
+
+    def watch(key, frames, state):
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="ms"))], columns=["worker", "last"])
+            return
+        last = max([int(f["at"].max().timestamp() * 1000) for f in frames] + ([state.get[0]] if state.exists else []))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + stale_s * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([], columns=["worker", "last"])
+
+    return beats.withWatermark("at", "0 seconds").groupBy("worker").applyInPandasWithState(watch, "worker string, last timestamp", "last long", "append", "EventTimeTimeout")
 
 
 def once_per_question(ledger: DataFrame, fallback: DataFrame) -> DataFrame:

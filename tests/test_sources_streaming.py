@@ -1,5 +1,7 @@
 import io
 import json
+import os
+import time
 import zipfile
 
 from pyspark.sql import functions as F
@@ -95,9 +97,8 @@ def test_delta_stream(spark, tmp_path):
     page = lambda n, rows: (pages / f"{n:05d}.json").write_text("\n".join(json.dumps({"drive_id": "d", **r}) for r in rows))
     page(0, [{"item_id": "1", "name": "a.txt", "etag": "e1"}, {"item_id": "2", "name": "b.exe"}, {"item_id": "3", "name": "folder", "is_file": False}])
     page(1, [{"item_id": "1", "name": "a.txt", "etag": "e2"}, {"item_id": "4", "name": "c.txt", "etag": "x"}])
-    spark.dataSource.register(feed.DeltaFeed)
-    assert spark.read.format("deltafeed").option("path", str(pages)).load().count() == 5
-    run = lambda: ingest.delta_pass(spark.readStream.format("deltafeed").option("path", str(pages)).option("pagesPerBatch", "10").load(), str(checkpoint), ingest.index_batch(str(table), FILES, ["txt"], "fp"))
+    assert feed.feed_table(spark, str(pages)).count() == 5
+    run = lambda: ingest.delta_pass(feed.feed_stream(spark, str(pages)), str(checkpoint), ingest.index_batch(str(table), FILES, ["txt"], "fp"))
 
     def settle():
         q = run()
@@ -110,6 +111,66 @@ def test_delta_stream(spark, tmp_path):
     assert settle() == {"1": "e2"}
 
 
+def test_expired_token_starts_a_full_walk(spark, tmp_path):
+    pages, table = tmp_path / "pages", tmp_path / "files"
+    pages.mkdir()
+    page = lambda n, rows: (pages / f"{n:05d}.json").write_text("\n".join(json.dumps({"drive_id": "d", **r}) for r in rows))
+    page(0, [{"item_id": "old", "name": "a.txt"}])
+    page(1, [{"expired": True}])
+    page(2, [{"item_id": "new", "name": "b.txt"}])
+    resets = []
+    start = lambda cp, after: ingest.delta_pass(feed.feed_stream(spark, str(pages), after), cp, ingest.index_batch(str(table), FILES, ["txt"], "fp"))
+    assert ingest.with_restart(start, str(tmp_path / "cp"), resets.append) == 2 and resets == [1]
+    assert [r.item_id for r in ingest.latest_version(spark, str(table), FILES).collect()] == ["new"]
+
+
+def test_signals_are_consumed_once(spark, tmp_path):
+    topic, calls = str(tmp_path / "topic"), []
+    ingest.publish(spark.createDataFrame([("d1", "1"), ("d1", "2"), ("d9", "3"), (None, "4")], "drive_id string, sent_at string"), topic)
+    for _ in range(2):  # the second run has nothing left
+        ingest.consume(spark, topic, ["d1", "d2"], str(tmp_path / "cp"), str(tmp_path / "rejects"), lambda d, e: calls.append(d)).awaitTermination(60)
+    assert calls == [["d1"]]
+    assert sorted(r.sent_at for r in spark.read.parquet(str(tmp_path / "rejects")).collect()) == ["3", "4"]
+
+
+def test_due_retries_and_dead_letters(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"key": "a", "outcome": "transient"}\n{"key": "b", "outcome": "permanent"}\n')
+    src = spark.readStream.schema("key string, outcome string").json(str(tmp_path / "in"))
+    actions = ingest.Retry(base_s=0.2).stateful(src)
+    q = actions.writeStream.foreachBatch(ingest.settle_actions(str(tmp_path / "dead"), str(tmp_path / "queue"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    queued = lambda: [(r.key, r.attempt) for r in spark.read.schema("key string, attempt int").json(str(tmp_path / "queue")).collect()] if (tmp_path / "queue").exists() else []
+    try:
+        until = time.time() + 60
+        while time.time() < until and not queued():
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert queued() == [("a", 2)]
+    assert [(r.key, r.attempt) for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [("b", 1)]
+
+
+def test_silent_workers_are_stale(spark, tmp_path):
+    folder = tmp_path / "beats"
+    q = ingest.beat(spark, "w0", str(folder), str(tmp_path / "cp0"), every_s=1)
+    try:
+        until = time.time() + 60
+        while time.time() < until and not (folder.exists() and spark.read.schema("worker string, at string").json(str(folder)).count()):
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert spark.read.json(str(folder)).first().worker == "w0"
+    beats = tmp_path / "in"
+    beats.mkdir()
+    for n, rows in enumerate([[("w1", "2024-01-01 00:00:00"), ("w2", "2024-01-01 00:00:10")], [("w2", "2024-01-01 00:02:30")], [("w2", "2024-01-01 00:02:31")]]):
+        (beats / f"{n}.json").write_text("\n".join(json.dumps({"worker": w, "at": t}) for w, t in rows))
+        os.utime(beats / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema("worker string, at timestamp").option("maxFilesPerTrigger", 1).json(str(beats))
+    q = ingest.stale(stream).writeStream.format("memory").queryName("stale").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert [r.worker for r in spark.table("stale").collect()] == ["w1"]
+
+
 def test_signals_and_retries(spark):
     n = spark.createDataFrame([("s1", "ok", 1), ("s1", "bad", 2), ("s9", "ok", 3)], "subscription_id string, client_state string, received_at long")
     s = spark.createDataFrame([("s1", "ok", "d")], "subscription_id string, client_state string, drive_id string")
