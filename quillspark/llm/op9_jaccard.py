@@ -46,6 +46,8 @@ FLUSH = 300_000
 KEYS = 3
 #: Shingles of a 0/1 matrix.
 WIDTH = 8192
+#: Shingles of queries that are compared at once.
+LOT = 250_000
 #: Queries of a group in one task.
 QUERIES = 512
 
@@ -410,7 +412,8 @@ def _opened(qualified: DataFrame, sets: DataFrame, several: DataFrame, threshold
                 within()
             if not held or held[-1][0] != cid:
                 held.append((cid, x))
-            if len(held) >= 256:
+            # Queries wait in small lots, by number and by shingles, so that a task's memory has a bound.
+            if len(held) >= 256 or sum(len(x) for _, x in held) >= LOT:
                 ask()
         if at is not None:
             yield from close()
@@ -420,7 +423,7 @@ def _opened(qualified: DataFrame, sets: DataFrame, several: DataFrame, threshold
     return written(both.mapInArrow(open_groups, "a long, b long, links long"), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: int = 85, common: int = 32, max_common: int = 500_000, block: int = 256, block_items: int = 1_000_000, max_popular: int = 100_000, max_broadcast: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: int = 85, common: int = 32, max_common: int = 500_000, block: int = 256, block_items: int = 250_000, max_popular: int = 100_000, max_broadcast: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) for each row.
 
     Two documents link where 100 * intersection >= threshold * union.  n_links counts the other classes
