@@ -36,7 +36,8 @@ from .common import SPACES, documents, let, words, written
 UNIT = 10_000
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 P = len(FEATURES)
-#: Least standard deviation of each: log words, log word length, and roots of three shares.
+#: Least standard deviation of each: log words, log word length, root of the share of symbols (few are telling), shares of
+#: repeated lines and words (a line that comes twice is not).
 FLOORS = (0.05, 0.05, 0.05, 0.05, 0.05)
 SHARE = 0.75
 #: Parts of a group where its model is joined by a shuffle.
@@ -85,7 +86,7 @@ def statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
         F.size("__l").cast("long").alias("__lines"),
     )
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    values = (F.log(n), F.log(chars / n), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("__lines"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / n))
+    values = (F.log(n), F.log(chars / n), F.sqrt(F.col("n_symbols") / chars), F.col("n_dup_lines") / F.greatest(F.col("__lines"), F.lit(1)), F.col("n_repeat_words") / n)
     src = src.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     return src.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(F.round(v * UNIT).cast("long").alias(x) for v, x in zip(values, FEATURES)))
 
@@ -157,7 +158,7 @@ def _joined(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, how
 STARTS = 2
 
 
-def robust_fit(scored: DataFrame, steps: int = 12, share: float = SHARE, small: bool = True) -> DataFrame:
+def robust_fit(scored: DataFrame, steps: int = 10, share: float = SHARE, small: bool = True) -> DataFrame:
     """(model, m*, l**, logdet) per model, from rows (model, x*).
 
     All starts run side by side, until no determinant falls any more (``steps`` at most); for each model
@@ -191,7 +192,7 @@ def robust_fit(scored: DataFrame, steps: int = 12, share: float = SHARE, small:
         inner = _joined(binned, written(edge, "mcd-edge"), keys, small).filter("bin <= edge")
         fresh = written(_factor(_estimate(inner.groupBy(*keys).agg(*total), factor, keys), keys), "mcd-state")
         before = state.select(*keys, F.col("logdet").alias("old"))
-        moved = fresh.join(before, keys).filter(F.abs(F.col("old") - F.col("logdet")) > 1e-3)
+        moved = fresh.join(before, keys).filter(F.abs(F.col("old") - F.col("logdet")) > 1e-2)
         state = fresh
         if step and moved.isEmpty():
             break
