@@ -1,25 +1,26 @@
-"""Operator 4: language-model scores by Katz backoff over word bigrams.
+"""Operator 4: language-model scores by Katz backoff over word n-grams, of order three unless told otherwise.
 
-Training counts every token and every pair of a history and a token: each task merges its counts and
-ships them as packed columns by hash bucket, and the buckets' sums become a table in the shared folder,
-partitioned by order and slice.  A history is spread over up to ``spread`` buckets, so that a very
-frequent word fills no task.  The query's model holds every counted pair, those seen once with their
-own discount; with a ``min_pair`` above one, pairs seen less often take no row in the model (their mass
-goes to the backoff).
+Counting: every token ends a gram of each order; a text begins behind ``order - 1`` start marks and ends with an end token.
+Tasks merge what they count before the shuffle; the counts are a table in the shared folder, partitioned by order,
+with each gram's history (all but its last word) and lower gram (all but its first).  All counted grams are in it.
 
-Good-Turing discounts (Katz, k = 5) come from the counts of counts.  The backoff weight of each
-history is (1 - sum of its pairs' probabilities) / (1 - sum of the same tokens' unigram
-probabilities), so that the probabilities of all tokens, one unknown token included, add up to one.
+Good-Turing discounts (Katz, k = 5) come from each order's counts of counts.  From order to order the model is made by joins
+on keys: P(w | history) is the discounted share of a seen gram, and the backoff weight of a history is
+(1 - sum of its grams' probabilities) / (1 - sum of their lower grams' probabilities), so that the probabilities of all
+tokens, one unknown token included, add up to one at every order.
 
-A token's log probability is that of its pair if the model has it, else the backoff weight of its
-history plus its unigram's, and that of the unknown token if it has none.  Tables of up to
-``max_broadcast`` entries (checked) are looked up in the workers, a few key ranges at a time; larger ones
-are joined by a shuffle.  Both ways give the same scores, up to single precision of the weights.
+Scoring follows the recursion: log P of a token is that of its gram if that was seen, else the backoff weight of the history
+(one, if it was not seen) and the same question for the lower gram.  A seen gram's lower gram was seen as well, so the
+recursion is a sum over orders: the weight of the history, if seen, plus, if the gram was seen, what its own probability
+gains on that weight and the lower probability.  So each key of a text adds one number, and one table of numbers answers all orders.
+The ``frequent`` most frequent keys (a bounded number) are broadcast and added up where the text is; the others meet the table by a
+shuffle, so no key that a third of the texts have fills a task.
 
-Words are hashed to 64 bits, as are pairs.
+Words are hashed to 64 bits, as are grams: a gram is the pair of its history and its lower gram.
 
 Defined results: a null or empty text is its end token alone; null ids count as training documents;
-repeated rows stay and count; with no training document every token is unknown with probability one.
+repeated rows stay and count; with no training document every token is unknown with probability one; of equally frequent keys the
+least are broadcast; very long texts are taken in slices of rows, each whole; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,113 +29,84 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import arrow_batches, crc_remainder, documents, parallelism, shared_dir, written
+from .common import arrow_batches, crc_remainder, discard, documents, joined, shared_dir, written
 
 END = np.uint64(0x0123456789ABCDEF)
 START = np.uint64(0xFEDCBA9876543210)
 K = 5
+ORDER = 3
 #: Tokens that a task merges at once.
-FLUSH = 750_000
-_signed = lambda x: int(np.uint64(x).view(np.int64))
+FLUSH = 400_000
 
 
-def token_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(history, token, first token of each row and the end): every row ends with END."""
+def signed(x) -> int:
+    return int(np.uint64(x).view(np.int64))
+
+
+def paddings(order: int) -> list[np.uint64]:
+    """Keys of the grams of start marks alone, of orders 1 to ``order - 1``."""
+    out = [np.array([START])]
+    while len(out) < order - 1:
+        out.append(H.pair(out[-1], out[-1]))
+    return [x[0] for x in out[: order - 1]]
+
+
+def grams(column: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """(keys by order, histories by order from the second on, first token of each row and the end)."""
     words, per_row = H.word_hashes(column, lower=True)
-    rows = len(column)
-    bounds = per_row + np.arange(rows + 1)
-    token = np.empty(len(words) + rows, H.U64)
+    bounds = per_row + np.arange(len(column) + 1)
+    token = np.empty(len(words) + len(column), H.U64)
     at_end = np.zeros(len(token), bool)
     at_end[bounds[1:] - 1] = True
-    token[at_end] = END
-    token[~at_end] = words
-    history = np.empty_like(token)
-    history[1:] = token[:-1]
-    history[bounds[:-1]] = START
-    return history, token, bounds
-
-
-def _merged(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sum the counts of equal keys; keys come out in order."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    if not len(order):
-        return keys, counts
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    first = np.flatnonzero(new)
-    return [k[first] for k in keys], np.add.reduceat(counts[order], first)
-
-
-def count_tables(docs: DataFrame, buckets: int, spread: int = 8, min_pair: int = 2, slices: int = 8) -> str:
-    """Path of the table (kind, slice, h, w, c) of training rows (text).
-
-    kind 1: tokens (h = 0); kind 2: pairs of ``min_pair`` and more; kind 0: h = order, w = count, c = how many keys have it.
-    """
+    token[at_end], token[~at_end] = END, words
+    keys, histories = [token], []
+    for pad in paddings(order):
+        history = np.empty_like(token)
+        history[1:] = keys[-1][:-1]
+        history[bounds[:-1]] = pad
+        histories.append(history)
+        keys.append(H.pair(history, keys[-1]))
+    return keys, histories, bounds
+
+
+def count_tables(docs: DataFrame, order: int) -> DataFrame:
+    """(key, hist, low, c, k) of training rows (text): counts of all grams, partitioned by order."""
     spark = docs.sparkSession
-    arrow_batches(spark)
+    types = {"k": pa.int32(), "key": pa.int64(), "hist": pa.int64(), "low": pa.int64(), "c": pa.int64()}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            h, w = (np.concatenate(x) for x in zip(*held))
-            ones = np.ones(len(w), np.int64)
-            kinds, at, data = [], [], []
-            (tokens,), c = _merged([w], ones)
-            b = (tokens >> H.U64(20)) % H.U64(buckets)
-            order = np.argsort(b, kind="stable")
-            edges = np.searchsorted(b[order], np.arange(buckets + 1, dtype=H.U64))
-            for i in range(buckets):
-                if len(rows := order[edges[i] : edges[i + 1]]):
-                    kinds.append(1), at.append(i), data.append(H.pack(tokens[rows], c[rows]))
-            (h, w), c = _merged([h, w], ones)
-            b = H.mix(h + w % H.U64(spread)) % H.U64(buckets)
-            order = np.argsort(b, kind="stable")
-            edges = np.searchsorted(b[order], np.arange(buckets + 1, dtype=H.U64))
-            for i in range(buckets):
-                if len(rows := order[edges[i] : edges[i + 1]]):
-                    kinds.append(2), at.append(i), data.append(H.pack(h[rows], w[rows], c[rows]))
+            for k in range(order):
+                key = np.concatenate([h[0][k] for h in held])
+                key, first, c = np.unique(key, return_index=True, return_counts=True)
+                low = np.concatenate([h[0][k - 1] for h in held])[first] if k else np.zeros(len(key), H.U64)
+                hist = np.concatenate([h[1][k - 1] for h in held])[first] if k else np.zeros(len(key), H.U64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k + 1, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, hist, low)), pa.array(c.astype(np.int64))], list(types))
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["kind", "bucket", "data"])
 
         for batch in batches:
-            for a, b in H.slices(batch.column(0)):
-                h, w, _ = token_pairs(batch.column(0).slice(a, b - a))
-                held.append((h, w))
-                size += len(w)
+            for a, b in H.slices(batch.column(0), 1 << 19):
+                keys, histories, _ = grams(batch.column(0).slice(a, b - a), order)
+                held.append((keys, histories))
+                size += len(keys[0])
                 if size >= FLUSH:
                     yield from flush()
                     size = 0
-        yield from flush()
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
-        parts = [H.unpack(d, *([np.uint64] * kind), np.int64) for d in pdf["data"]]
-        columns = [np.concatenate(x) for x in zip(*parts)]
-        keys, c = _merged(columns[:-1], columns[-1])
-        r, n = np.unique(c[c <= K + 1], return_counts=True)
-        if kind == 2:
-            keys, c = [k[c >= min_pair] for k in keys], c[c >= min_pair]
-        h = keys[0] if kind == 2 else np.zeros(len(c), H.U64)
-        out = pd.DataFrame({"kind": kind, "slice": bucket % slices, "h": h.view(np.int64), "w": keys[-1].view(np.int64), "c": c})
-        return pd.concat([out, pd.DataFrame({"kind": 0, "slice": 0, "h": kind, "w": r, "c": n})])
+        if held:
+            yield from flush()
 
+    counted = docs.select("text").mapInArrow(tally, "k int, key long, hist long, low long, c long")
+    total = counted.groupBy("k", "key").agg(F.first("hist").alias("hist"), F.first("low").alias("low"), F.sum("c").alias("c"))
     path = shared_dir(spark, "katz-counts")
-    packed = docs.select("text").mapInArrow(tally, "kind int, bucket int, data binary")
-    counted = packed.groupBy("kind", "bucket").applyInPandas(total, "kind int, slice int, h long, w long, c long")
-    counted.write.partitionBy("kind", "slice").parquet(path)
-    return path
+    total.select("key", "hist", "low", "c", "k").write.partitionBy("k").parquet(path)
+    return spark.read.schema("key long, hist long, low long, c long, k int").parquet(path)
 
 
 def discounts(n: dict[int, int], k: int = K) -> list[float]:
@@ -151,224 +123,120 @@ def discounts(n: dict[int, int], k: int = K) -> list[float]:
 
 
 class Model:
-    """Tables of a trained model and its few numbers."""
+    """One table (key, value, c) and a few numbers: c is a token's count, null for longer grams."""
 
-    def __init__(self, tokens: DataFrame, pairs: DataFrame, n: int, v: int, log_unknown: float, start_alpha: float, entries: int):
-        self.tokens, self.pairs, self.n, self.v, self.log_unknown, self.start_alpha, self.entries = tokens, pairs, n, v, log_unknown, start_alpha, entries
+    def __init__(self, table: DataFrame, n: int, v: int, log_unknown: float, start: float, order: int):
+        self.table, self.n, self.v, self.log_unknown, self.start, self.order = table, n, v, log_unknown, start, order
 
     @property
     def base_unknown(self) -> float:
         return -math.log10(self.n + self.v + 1)
 
 
-def train(docs: DataFrame, min_pair: int = 2, spread: int = 8) -> Model:
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """Fit on rows (text), which are not null."""
+    counts = count_tables(docs, order)
+    of_counts: dict[int, dict[int, int]] = {k: {} for k in range(1, order + 1)}
+    for r in counts.filter(F.col("c") <= K + 1).groupBy("k", "c").agg(F.count(F.lit(1)).alias("n")).collect():
+        of_counts[r["k"]][r["c"]] = r["n"]
+
+    def discounted(k: int) -> Column:
+        d = discounts(of_counts[k])
+        return F.col("c") * F.when(F.col("c") > K, F.lit(1.0)).otherwise(F.element_at(F.array(*map(F.lit, d)), F.least("c", F.lit(K)).cast("int")))
+
+    tokens = counts.filter("k = 1").select("key", "c")
+    n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    d = discounts(of_counts[1])
+    free = sum((1 - d[r - 1]) * r * of_counts[1].get(r, 0) for r in range(1, K + 1))
+    whole = n if free > 1e-12 else n + 1  # with nothing discounted, one more count for the unknown token
+    free = free if free > 1e-12 else 1.0
+    lower = tokens.select("key", "c", (discounted(1) / F.lit(float(whole or 1))).alias("p"))
+    lower = written(lower.withColumn("value", F.log10("p")), "katz-order1")
+    parts = [lower.select("key", "value", "c")]
+    for k in range(2, order + 1):
+        own = counts.filter(F.col("k") == k).select("key", "hist", "low", "c", discounted(k).alias("dc"))
+        followed = joined(own, lower.select(F.col("key").alias("low"), F.col("p").alias("q")), "low").select("key", "hist", "dc", "q", "c")
+        followed = written(followed, f"katz-followed{k}")
+        sums = followed.groupBy("hist").agg(F.sum("dc").alias("s"), F.sum("q").alias("q"), F.sum("c").alias("ch"))
+        under = F.when(F.col("s") < F.col("ch") * (1 - 1e-12), F.col("ch").cast("double")).otherwise(F.col("ch") + 1.0)
+        back = sums.withColumn("under", under).select("hist", "under", F.log10((1 - F.col("s") / F.col("under")) / (1 - F.col("q"))).alias("la"))
+        back = written(back, f"katz-backoff{k}")
+        p = F.col("dc") / F.col("under")
+        fresh = joined(followed, back, "hist").select("key", p.alias("p"), (F.log10(p) - F.col("la") - F.log10("q")).alias("value"))
+        fresh = written(fresh, f"katz-order{k}")
+        discard(followed)
+        none = F.lit(None).cast("long").alias("c")
+        parts += [fresh.select("key", "value", none), back.select(F.col("hist").alias("key"), F.col("la").alias("value"), none)]
+        lower = fresh
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    table = written(table.groupBy("key").agg(F.sum("value").alias("value"), F.max("c").alias("c")), "katz-model")
+    pads = [signed(x) for x in paddings(order)]
+    start = table.filter(F.col("key").isin(pads)).agg(F.sum("value")).first()[0] if pads else None
+    return Model(table, int(n), int(v), math.log10(free / whole) if n else 0.0, start or 0.0, order)
+
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, frequent: int = 500_000) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens); held_out is where ``learn`` does not hold."""
     spark = docs.sparkSession
-    buckets = 2 * parallelism(spark)
-    counts = count_tables(docs, buckets, spread, min_pair)
-    schema = "h long, w long, c long, kind int, slice int"
-    table = spark.read.schema(schema).parquet(counts)
-    of_counts = {(r["h"], r["w"]): r["n"] for r in table.filter("kind = 0").groupBy("h", "w").agg(F.sum("c").alias("n")).collect()}
-    tokens = table.filter("kind = 1").select("w", "c")
-    pairs = table.filter("kind = 2").select("h", "w", "c")
-    n, v, ends = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("w") == _signed(END), F.col("c"))), F.lit(0))).first()
-    d1, d2 = (discounts({r: x for (order, r), x in of_counts.items() if order == o}) for o in (1, 2))
-    cut = lambda c, d: F.when(c > K, F.lit(1.0)).otherwise(F.element_at(F.array(*map(F.lit, d)), F.least(c, F.lit(K)).cast("int")))
-    mass = tokens.filter(F.col("c") <= K).groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()
-    free = sum((1 - d1[r["c"] - 1]) * r["c"] * r["k"] for r in mass)
-    whole = n if free > 0 else n + 1  # with nothing discounted, one more count for the unknown token
-    free = free or 1.0
-    p1 = cut(F.col("c"), d1) * F.col("c") / F.lit(float(whole or 1))
-    tokens = tokens.withColumn("p1", p1)
-    # Sums over the tokens that follow a history, and the history's own count.
-    followed = pairs.join(tokens.select("w", "p1"), "w").withColumn("dc", cut(F.col("c"), d2) * F.col("c"))
-    sums = followed.groupBy("h").agg(F.sum("dc").alias("s"), F.sum("p1").alias("q"))
-    own = tokens.select(F.col("w").alias("h"), F.col("c").alias("ch")).filter(F.col("h") != _signed(END))
-    own = own.unionByName(spark.range(1).select(F.lit(_signed(START)).alias("h"), F.lit(int(ends)).cast("long").alias("ch")))
-    under = F.when(F.col("s") < F.col("ch") * (1 - 1e-12), F.col("ch").cast("double")).otherwise(F.col("ch") + 1.0)
-    back = sums.join(own, "h").withColumn("under", under).withColumn("la", F.log10((1 - F.col("s") / F.col("under")) / (1 - F.col("q"))))
-    folder = shared_dir(spark, "katz-model")
-    slice_of = lambda c: F.pmod(F.xxhash64(c), F.lit(8)).cast("int")
-    back.select("h", "under", "la").write.parquet(f"{folder}/backoff")
-    back = spark.read.schema("h long, under double, la double").parquet(f"{folder}/backoff")
-    gain = F.log10(F.col("dc") / F.col("under")) - F.col("la") - F.log10("p1")
-    followed.join(back, "h").select("h", "w", gain.alias("gain"), slice_of("w").alias("slice")).write.partitionBy("slice").parquet(f"{folder}/pairs")
-    joined = tokens.join(back.select(F.col("h").alias("w"), "la"), "w", "left")
-    joined.select("w", "c", F.log10("p1").alias("lp"), F.coalesce("la", F.lit(0.0)).alias("la"), slice_of("w").alias("slice")).write.partitionBy("slice").parquet(f"{folder}/tokens")
-    first = back.filter(F.col("h") == _signed(START)).collect()
-    t = spark.read.schema("w long, c long, lp double, la double, slice int").parquet(f"{folder}/tokens")
-    p = spark.read.schema("h long, w long, gain double, slice int").parquet(f"{folder}/pairs")
-    return Model(t, p, int(n), int(v), math.log10(free / whole) if n else 0.0, first[0]["la"] if first else 0.0, int(v) + p.count())
-
-
-#: Entries of a table slice, and slices that are broadcast at once: at most about 70 MB.
-SLICE_ENTRIES, ROUND_SLICES = 1_000_000, 3
-
-
-def _slices(model: Model) -> list[tuple[int, int, int]]:
-    """(kind, number, of): key ranges of the tables, kind 1 for tokens and 2 for pairs."""
-    out = []
-    for kind, n in ((1, model.v), (2, model.entries - model.v)):
-        of = max(1, -(-n // SLICE_ENTRIES))
-        out += [(kind, i, of) for i in range(of)]
-    return out
-
-
-def _range_of(keys: np.ndarray, of: int) -> np.ndarray:
-    return ((keys >> H.U64(48)) * H.U64(of)) >> H.U64(16)
-
-
-def _fetched(tables: DataFrame, wanted: list[tuple[int, int, int]]) -> list[tuple[int, int, list[bytes]]]:
-    """Some slices' packed columns, one slice at a time."""
-    out = []
-    for kind, part, _ in wanted:
-        row = tables.filter(f"kind = {kind} and part = {part}").toArrow()
-        out.append((kind, part, [bytes(row.column(c)[0].as_buffer()) if row.num_rows else b"" for c in ("k", "x", "c", "y")]))
-        del row
-        pa.default_memory_pool().release_unused()
-    return out
-
-
-def _looked_up(src: DataFrame, model: Model) -> DataFrame:
-    """Scores by tables in the workers' memory, a few key ranges at a time.
-
-    Each round reads the texts and adds what its ranges know: the memory is that of one round, however
-    large the tables are.  Rounds meet by (id, text hash); equal rows are counted and come out again.
-    """
-    spark = src.sparkSession
-    n, v, unknown, base_unknown, start = model.n, model.v, model.log_unknown, model.base_unknown, model.start_alpha
-    ranges = _slices(model)
-    of = {k: next(o for kind, _, o in ranges if kind == k) for k in (1, 2)}
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, w = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (1, 2))
-            is_pair = b.column(0).to_numpy() == 2
-            key = np.where(is_pair, H.pair(h, w), w)
-            part = np.where(is_pair, _range_of(key, of[2]), _range_of(key, of[1])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(part), pa.array(key.view(np.int64)), *b.columns[3:]], ["kind", "part", "key", "c", "x", "y"])
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.argsort(pdf["key"].to_numpy().view(np.uint64))]
-        columns = [pdf["key"].to_numpy().tobytes(), pdf["x"].to_numpy(np.float32).tobytes(), b"", b""]
-        if pdf["kind"].iloc[0] == 1:
-            columns[2:] = [pdf["c"].to_numpy(np.int64).tobytes(), pdf["y"].to_numpy(np.float32).tobytes()]
-        return pd.DataFrame([(int(pdf["kind"].iloc[0]), int(pdf["part"].iloc[0]), *columns)], columns=["kind", "part", "k", "x", "c", "y"])
-
-    tokens = model.tokens.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), "w", "c", F.col("la").alias("x"), F.col("lp").alias("y"))
-    pairs = model.pairs.select(F.lit(2).alias("kind"), "h", "w", F.lit(0).cast("long").alias("c"), F.col("gain").alias("x"), F.lit(0.0).alias("y"))
-    tables = tokens.unionByName(pairs).mapInArrow(keyed, "kind int, part int, key long, c long, x double, y double")
-    tables = written(tables.groupBy("kind", "part").applyInPandas(packed, "kind int, part int, k binary, x binary, c binary, y binary"), "katz-packed")
-
-    def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return i, keys[i] == wanted
-
-    def scorer(shared, first: bool):
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [(kind, part, [np.frombuffer(c, t) for c, t in zip(columns, (np.uint64, np.float32, np.int64, np.float32))]) for kind, part, columns in shared.value]
-            for batch in batches:
-                for a, b in H.slices(batch.column(3), 1 << 19):
-                    part = batch.slice(a, b - a)
-                    history, token, bounds = token_pairs(part.column(3))
-                    known, base, score = (np.zeros(len(token)) for _ in range(3))
-                    if first:
-                        score[bounds[:-1]] = start
-                    uniq, back = np.unique(token, return_inverse=True) if any(k == 1 for k, *_ in held) else (None, None)
-                    pair = H.pair(history, token) if any(k == 2 for k, *_ in held) else None
-                    for kind, number, columns in held:
-                        if kind == 1:
-                            mine = _range_of(uniq, of[1]) == number
-                            i, seen = found(columns[0], uniq) if len(columns[0]) else (np.zeros(len(uniq), np.int64), np.zeros(len(uniq), bool))
-                            seen &= mine
-                            get = lambda j: columns[j][i].astype(np.float64) if len(columns[0]) else np.zeros(len(uniq))  # noqa: B023, E731
-                            base += np.where(mine, np.log10(np.where(seen, get(2), 0) + 1.0) + base_unknown, 0.0)[back]
-                            score += np.where(mine, np.where(seen, get(3), unknown), 0.0)[back]
-                            known += seen[back]
-                            behind = np.where(seen, get(1), 0.0)[back]
-                            behind[bounds[1:] - 1] = 0  # nothing follows an end
-                            score[1:] += behind[:-1]
-                        elif len(columns[0]):
-                            at = np.flatnonzero(_range_of(pair, of[2]) == number)
-                            i, seen = found(columns[0], pair[at])
-                            score[at[seen]] += columns[1][i[seen]]
-                    add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: B023, E731
-                    sizes = np.diff(bounds).astype(np.int64) * first
-                    yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, (np.full(len(part), int(first)), sizes, add(known).astype(np.int64), add(base), add(score)))], names)
-
-        return apply
-
-    names = ["doc_id", "held_out", "text_hash", "copies", "n_tokens", "n_known", "base_score", "score"]
-    schema = "doc_id long, held_out boolean, text_hash long, copies long, n_tokens long, n_known long, base_score double, score double"
-    src = src.select("doc_id", "held_out", F.xxhash64("text").alias("text_hash"), "text")
-    out = None
-    for at in range(0, len(ranges), ROUND_SLICES):
-        wanted = ranges[at : at + ROUND_SLICES]
-        shared = spark.sparkContext.broadcast(_fetched(tables, wanted))
-        # Written before the next round, so that the driver and the workers hold one round's tables only.
-        one = written(src.mapInArrow(scorer(shared, at == 0), schema), "katz-round")
-        shared.destroy()
-        out = one if out is None else out.unionByName(one)
-    sums = out.groupBy("doc_id", "held_out", "text_hash").agg(*(F.sum(c).alias(c) for c in names[3:]))
-    each = [F.col(c) / F.col("copies") if c.endswith("score") else (F.col(c) / F.col("copies")).cast("long") for c in names[4:]]
-    return sums.select("doc_id", "held_out", *(e.alias(c) for e, c in zip(each, names[4:])), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__i")).drop("__i")
-
-
-def _joined(src: DataFrame, model: Model) -> DataFrame:
-    """Scores by joins of each document's distinct tokens and pairs with the tables."""
-    start = np.uint64(START)
+    arrow_batches(spark)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~learn).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    model = train(src.filter(~F.col("held_out")), order)
+    # How often a key is met is what makes it hot: tokens' counts are known, longer grams are rarer than their tokens.
+    top = model.table.filter("c is not null").orderBy(F.desc("c"), "key").limit(frequent).toArrow()
+    by = np.argsort(top.column("key").to_numpy(), kind="stable")
+    shared = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy()[by] for c in ("key", "value", "c")))
+    unknown, base_unknown, start = model.log_unknown, model.base_unknown, model.start
+    names = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "key": pa.int64(), "token": pa.bool_(), "k": pa.int64(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text with what is known here, and a row for each of its other keys, with how often it comes."""
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
+        keys, values, counts = shared.value
         for batch in batches:
-            for a, b in H.slices(batch.column(2), 1 << 19):
+            for a, b in H.slices(batch.column(2), 1 << 18):
                 part = batch.slice(a, b - a)
-                history, token, bounds = token_pairs(part.column(2))
-                who = np.repeat(np.arange(len(part)), np.diff(bounds))
-                inner = history != start
-                kind = np.concatenate([np.full(len(token), 1), np.full(int(inner.sum()), 2), np.full(len(token), 3)])
-                key = np.concatenate([token, history[inner], H.pair(history, token)])
-                who = np.concatenate([who, who[inner], who])
-                (who, kind, key), k = _merged([who, kind, key], np.ones(len(key), np.int64))
-                take = pa.array(who)
-                yield pa.RecordBatch.from_arrays([pa.array(who + row), part.column(0).take(take), part.column(1).take(take), pa.array(kind.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(k)], ["row", "doc_id", "held_out", "kind", "key", "k"])
-                row += len(part)
-
-    pairs = model.pairs.select("h", "w", "gain")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = H.pair(*(b.column(i).to_numpy().view(np.uint64) for i in (0, 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(2)], ["key", "a"])
-
-    facts = model.tokens.select(F.lit(1).alias("kind"), F.col("w").alias("key"), F.col("lp").alias("a"), "c")
-    facts = facts.unionByName(model.tokens.filter("la <> 0").select(F.lit(2).alias("kind"), F.col("w").alias("key"), F.col("la").alias("a"), F.lit(None).cast("long").alias("c")))
-    facts = facts.unionByName(pairs.mapInArrow(keyed, "key long, a double").select(F.lit(3).alias("kind"), "key", "a", F.lit(None).cast("long").alias("c")))
-    spelt = src.mapInArrow(spell, "row long, doc_id long, held_out boolean, kind int, key long, k long")
-    one = F.when(F.col("kind") == 1, F.coalesce("a", F.lit(model.log_unknown))).otherwise(F.coalesce("a", F.lit(0.0)))
-    is_token = F.col("kind") == 1
-    base = F.log10(F.coalesce("c", F.lit(0)) + 1.0) + model.base_unknown
-    out = spelt.join(facts, ["kind", "key"], "left").groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("held_out").alias("held_out"),
-        F.sum(F.when(is_token, F.col("k")).otherwise(0)).alias("n_tokens"),
-        F.sum(F.when(is_token & F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(is_token, F.col("k") * base).otherwise(0.0)).alias("base_score"),
-        (F.sum(F.col("k") * one) + model.start_alpha).alias("score"),
+                by_order, _, bounds = grams(part.column(2), order)
+                m, token = len(part), by_order[0].view(np.int64)
+                who = np.repeat(np.arange(m), np.diff(bounds))
+                i = np.minimum(np.searchsorted(keys, token), max(len(keys) - 1, 0))
+                hit = keys[i] == token if len(keys) else np.zeros(len(token), bool)
+                own = lambda x: np.bincount(who[hit], x[i[hit]], m).astype(np.float64)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(m) + row), part.column(0), part.column(1), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array(np.diff(bounds)),
+                    pa.array(np.bincount(who[hit], minlength=m)), pa.array(own(np.log10(counts + 1.0) + base_unknown)), pa.array(own(values) + start),
+                ], list(names))
+                key = np.concatenate([token[~hit], *(x.view(np.int64) for x in by_order[1:])])
+                owner = np.concatenate([who[~hit], *([who] * (order - 1))])
+                is_token = np.arange(len(key)) < int((~hit).sum())
+                at = np.lexsort((key, owner))
+                key, owner, is_token = key[at], owner[at], is_token[at]
+                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(key)))
+                r = len(first)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(owner[first] + row), pa.nulls(r, pa.int64()), pa.nulls(r, pa.bool_()), pa.array(key[first]), pa.array(is_token[first]), pa.array(times.astype(np.int64)), *(pa.nulls(r, t) for t in list(names.values())[6:]),
+                ], list(names))
+                row += m
+
+    spelt = src.mapInArrow(spell, "row long, doc_id long, held_out boolean, key long, token boolean, k long, n long, known long, base double, score double")
+    met = spelt.join(model.table.select("key", "value", "c"), "key", "left")
+    asked, is_token = F.col("key").isNotNull(), F.coalesce("token", F.lit(False))
+    value = F.coalesce("value", F.when(is_token, F.lit(unknown)).otherwise(0.0))
+    base = F.log10(F.coalesce("c", F.lit(0)) + 1.0) + base_unknown
+    out = met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("held_out").alias("held_out"),
+        F.max("n").alias("n_tokens"),
+        F.sum(F.when(~asked, F.col("known")).when(is_token & F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(~asked, F.col("base")).when(is_token, F.col("k") * base).otherwise(0.0)).alias("base_score"),
+        F.sum(F.when(asked, F.col("k") * value).otherwise(F.col("score"))).alias("score"),
     )
-    return out.drop("row")
-
-
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", min_pair: int = 2, max_broadcast: int = 32_000_000) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens); held_out is where ``learn`` does not hold."""
-    arrow_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~learn).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    model = train(src.filter(~F.col("held_out")), min_pair)
-    out = _looked_up(src, model) if model.entries <= max_broadcast else _joined(src, model)
-    return out.withColumn("train_tokens", F.lit(model.n).cast("long"))
+    return out.drop("row").withColumn("train_tokens", F.lit(model.n).cast("long"))
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir), crc_remainder(F.col("doc_id"), 7) != 2, min_pair=1)
+    return score(documents(spark, sf_dir), crc_remainder(F.col("doc_id"), 7) != 2)

@@ -13,7 +13,7 @@ import corpus_pipeline
 from quillspark.llm import op4_katz
 from quillspark.llm.common import crc_remainder
 from quillspark.llm.op2_language import _MIX, BUCKETS, GRAMS, fit, identify, normalized, op2_language, train
-from quillspark.llm.op4_katz import discounts, score
+from quillspark.llm.op4_katz import score
 
 
 def test_language_held_out(spark, sf):
@@ -75,70 +75,92 @@ def tokens(t):
     return [*low.encode().split(), "END"]
 
 
-def brute(rows, min_pair=2, k=5):
-    learn = [(tokens(t)) for _, held, t in rows if not held]
-    uni, pairs, before = Counter(), Counter(), Counter()
+def good_turing(counts):
+    """Discounted counts by the textbook formula; the module's own is not used."""
+    n = Counter(counts.values())
+    common = 6 * n[6] / n[1] if n[1] else 1.0
+    out = {}
+    for g, c in counts.items():
+        d = 1.0
+        if c <= 5 and common < 1 and n[1]:
+            d = ((c + 1) * n[c + 1] / (c * n[c]) - common) / (1 - common)
+        out[g] = c * (d if 0 < d < 1 else 1.0)
+    return out
+
+
+def brute(rows, order=3):
+    """Katz by recursion over dictionaries."""
+    learn = [tokens(t) for _, held, t in rows if not held]
+    counts = [Counter() for _ in range(order + 1)]
     for w in learn:
-        for h, x in zip(["START", *w], w):
-            uni[x] += 1
-            pairs[h, x] += 1
-            before[h] += 1
-    n, v = sum(uni.values()), len(uni)
-    d1, d2 = ([1.0] * 99 if not c else [0, *discounts(dict(Counter(c.values()))), *[1.0] * 10**5] for c in (uni, pairs))
-    free = sum((1 - d1[c]) * c for c in uni.values())
-    whole = n if free > 1e-12 else n + 1
-    free = free if free > 1e-12 else 1.0
-    p1 = {w: d1[c] * c / whole for w, c in uni.items()}
-    follow = defaultdict(dict)
-    for (h, w), c in pairs.items():
-        if c >= min_pair:
-            follow[h][w] = d2[c] * c
-    alpha, under = {}, {}
-    for h, f in follow.items():
-        s = sum(f.values())
-        under[h] = before[h] if s < before[h] * (1 - 1e-12) else before[h] + 1
-        alpha[h] = (1 - s / under[h]) / (1 - sum(p1[w] for w in f))
-        seen = sum(x / under[h] for x in f.values())  # exactly normalised
-        assert abs(seen + alpha[h] * (sum(p for w, p in p1.items() if w not in f) + free / whole) - 1) < 1e-9
+        padded = ["START"] * (order - 1) + w
+        for i in range(order - 1, len(padded)):
+            for k in range(1, order + 1):
+                counts[k][tuple(padded[i - k + 1 : i + 1])] += 1
+    n, v = sum(counts[1].values()), len(counts[1])
+    cut = [None] + [good_turing(c) for c in counts[1:]]
+    free = n - sum(cut[1].values())
+    whole, free = (n, free) if free > 1e-9 else (n + 1, 1.0)
+    seen, under = defaultdict(dict), {}
+    for k in range(2, order + 1):
+        for g, c in cut[k].items():
+            seen[g[:-1]][g[-1]] = c
+            under[g[:-1]] = under.get(g[:-1], 0) + counts[k][g]
+    for h, f in seen.items():
+        under[h] += not sum(f.values()) < under[h] * (1 - 1e-12)
+
+    def probability(h, w):
+        if not h:
+            return cut[1].get((w,), free) / whole
+        if w in seen.get(h, {}):
+            return seen[h][w] / under[h]
+        return alpha(h) * probability(h[1:], w)
+
+    known_alpha = {}
+
+    def alpha(h):
+        if h not in seen:
+            return 1.0
+        if h not in known_alpha:
+            known_alpha[h] = (1 - sum(seen[h].values()) / under[h]) / (1 - sum(probability(h[1:], w) for w in seen[h]))
+        return known_alpha[h]
+
+    for h in list(seen)[:40]:  # exactly normalised, the unknown token included
+        assert abs(sum(probability(h, w) for (w,) in counts[1]) + probability(h, "never seen") - 1) < 1e-9
     out = []
-    for d, held, t in rows:
-        s = b = known = 0
+    for d, _, t in rows:
         w = tokens(t)
-        for h, x in zip(["START", *w], w):
-            known += uni[x] > 0
-            b += math.log10((uni[x] + 1) / (n + v + 1)) if n else math.log10(1 / 1)
-            p = p1.get(x, free / whole)
-            s += math.log10(follow[h][x] / under[h] if x in follow.get(h, {}) else alpha.get(h, 1.0) * p)
-        out.append((-1 if d is None else d, len(w), known, b, s))
+        padded = ["START"] * (order - 1) + w
+        s = sum(math.log10(probability(tuple(padded[i : i + order - 1]), padded[i + order - 1])) for i in range(len(w)))
+        base = sum(math.log10((counts[1][(x,)] + 1) / (n + v + 1)) for x in w)
+        out.append((-1 if d is None else d, len(w), sum(counts[1][(x,)] > 0 for x in w), base, s))
     return sorted(out, key=lambda r: r[:3]), n
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_katz_equals_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize("order,frequent", [(3, 500_000), (3, 5), (2, 0), (1, 3)])
+def test_katz_equals_brute_force(spark, monkeypatch, order, frequent):
     monkeypatch.setattr(op4_katz, "FLUSH", 400)
-    monkeypatch.setattr(op4_katz, "SLICE_ENTRIES", 60)
     rng = random.Random(4)
     vocab = [f"W{int(rng.paretovariate(0.8))}" for _ in range(400)]
     rows = [(i, i % 5 == 0, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60)))) for i in range(120)]
     rows += [(200, True, None), (201, False, ""), (None, False, "w1 w2"), (3, False, rows[3][2]), (202, True, "never seen w1")]
     df = spark.createDataFrame([(d, h, t, 1.0) for d, h, t in rows], "doc_id long, held boolean, text string, score double").repartition(3)
-    got = score(df, ~F.col("held"), max_broadcast=limit).collect()
-    want, n = brute(rows)
+    got = score(df, ~F.col("held"), order=order, frequent=frequent).collect()
+    want, n = brute(rows, order)
     have = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
     assert [r[:3] for r in have] == [r[:3] for r in want] and all(r.train_tokens == n for r in got)
-    assert np.allclose([r[3:] for r in have], [r[3:] for r in want], rtol=1e-6)
+    assert np.allclose([r[3:] for r in have], [r[3:] for r in want], rtol=1e-9)
 
 
-def test_katz_query_keeps_pairs_seen_once(spark, tmp_path):
+def test_katz_query_keeps_all_grams(spark, tmp_path):
     rng = random.Random(5)
     vocab = [f"w{int(rng.paretovariate(0.8))}" for _ in range(300)]
     rows = [(i, zlib.crc32(str(i).encode()) % 7 == 2, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(80)]
     spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in op4_katz.op4_katz(spark, str(tmp_path)).collect())
-    want, cut = brute(rows, min_pair=1)[0], brute(rows)[0]
+    want = brute(rows)[0]
     assert [r[:3] for r in got] == [r[:3] for r in want]
-    assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-6)
-    assert not np.allclose([r[4] for r in got], [r[4] for r in cut], rtol=1e-3)
+    assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-9)
 
 
 def test_katz_without_training(spark):
