@@ -6,7 +6,8 @@ neighbours are joined level by level: the window around a join is encoded again
 both sides agree exactly (see :meth:`Bpe.concat`).
 
 Defined results: a null or empty text has no ids and decodes to the empty text; null ids are kept;
-repeated rows give repeated results; other columns are not read.
+repeated rows give repeated results; a text with a special token is encoded as a whole; ties can't arise, since merges have
+an order; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -58,6 +59,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 part = batch.slice(at, 100)
                 yield frame(part.column(0), [finish(coder, ids) for ids in coder.encode_many(part.column(1).to_pylist())])
 
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each long text is read once, and its leaves go out a few megabytes at a time."""
+        for batch in batches:
+            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                last = -(-len(text) // leaf_chars)
+                for lo in range(0, last, 256):
+                    numbers = range(lo, min(lo + 256, last))
+                    m = len(numbers)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * m, pa.int64()), pa.array([key] * m, pa.string()), pa.array(numbers, pa.int32()), pa.array([text[i * leaf_chars : (i + 1) * leaf_chars] for i in numbers], pa.string())], ["doc_id", "key", "leaf_no", "leaf"])
+
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.loaded(tokenizer)
         for batch in batches:
@@ -87,8 +98,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     cut = (
         src.filter(is_long)
         .withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256)))
-        .withColumn("leaf_no", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / leaf_chars).cast("int"))))
-        .select("doc_id", "key", "leaf_no", F.substring(F.col("text"), F.col("leaf_no") * leaf_chars + 1, F.lit(leaf_chars)).alias("leaf"))
+        .select("doc_id", "key", "text")
+        .mapInArrow(cut_up, "doc_id long, key string, leaf_no int, leaf string")
         .repartition(F.col("key"), F.col("leaf_no"))
         .mapInArrow(leaves, "doc_id long, key string, leaf_no int, leaf string, ids binary, counts binary")
         .groupBy("key")

@@ -13,7 +13,8 @@ parts fill many bins, so a document with very many parts is spread over tasks.
 Offsets come from the pieces between matches: ``split`` gives them, ``regexp_extract_all`` the
 matches, and the lengths add up.
 
-Defined results: null text counts as empty; null ids and repeated rows stay.
+Defined results: null text counts as empty; null ids and repeated rows stay; of spans with one start the first kind comes first; very
+long texts are read whole; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ KIND_ORDER = (*BASE_KINDS, "identifier", "endpoint", "token")
 #: Role of each kind: what it can be a part of.
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "endpoint": "endpoint", "token": "secret"}
 COMPLEMENTS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
+#: Matches of a text that are gathered together.
+BLOCK = 256
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -44,17 +47,23 @@ def _spans(text: Column, pattern: str, kind: int, ok=None) -> Column:
     none = F.array().cast(SPAN)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def placed(matches: Column) -> Column:
-        steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(matches, F.length).alias("size"), matches.alias("hit"))
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            at = acc["at"] + x["gap"]
-            one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + x["size"]).alias("end"))).cast(SPAN)
-            good = x["size"].isNotNull() if ok is None else x["size"].isNotNull() & ok(x["hit"])
-            return F.struct((at + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x["gap"]
+        one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + x["size"]).alias("end"))).cast(SPAN)
+        good = x["size"].isNotNull() if ok is None else x["size"].isNotNull() & ok(x["hit"])
+        return F.struct((at + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def in_blocks(steps: Column) -> Column:
+        # An array grows by copying, so spans are gathered by blocks; where a block starts is a sum of the blocks before it.
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
+        lengths = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + F.coalesce(x["size"], F.lit(0))))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = lambda ls: F.aggregate(ls, begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        each = lambda b, s: F.aggregate(b, F.struct(s.alias("at"), none.alias("out")), step, lambda a: a["out"])
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, starts(lengths(bs)), each)))
 
-        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    def placed(matches: Column) -> Column:
+        return let(F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(matches, F.length).alias("size"), matches.alias("hit")), in_blocks)
 
     return let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))
 

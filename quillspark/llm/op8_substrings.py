@@ -19,7 +19,8 @@ Decisions are (id, passage hash, windows), are grouped by id, and meet the texts
 with decisions are shuffled, as long as their ids are at most ``max_broadcast`` (checked); beyond that, all are.
 
 Defined results: null and empty texts have no words; rows with a null id are compared with nothing
-and keep all words; rows with equal ids are no smaller than each other; repeated rows stay.
+and keep all words; rows with equal ids are no smaller than each other (ties remove nothing); repeated rows stay; very long texts are
+taken in whole rows; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
