@@ -26,7 +26,7 @@ def default_path() -> str:
 class Bpe:
     """One tokenizer file in one worker."""
 
-    def __init__(self, path: str, cache_entries: int = 500_000):
+    def __init__(self, path: str, cache_entries: int = 100_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -183,7 +183,7 @@ class Bpe:
 _LOADED: dict[tuple, Bpe] = {}
 
 
-def loaded(path: str, cache_entries: int = 500_000) -> Bpe:
+def loaded(path: str, cache_entries: int = 100_000) -> Bpe:
     """One instance per worker and file: its cache lives as long as the worker."""
     key = (path, cache_entries)
     if key not in _LOADED:

@@ -74,7 +74,7 @@ def frequent_lengths(texts: DataFrame, tokenizer: str, sample_rows: int, frequen
     return {p: len(e.ids) for p, e in zip(pieces, coder.tok.encode_batch_fast([*pieces], add_special_tokens=False))}
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, sample_rows: int = 500, frequent: int = 16384, worker_entries: int = 500_000) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, sample_rows: int = 500, frequent: int = 16384, worker_entries: int = 200_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row."""
     spark = docs.sparkSession
     arrow_batches(spark)
