@@ -182,17 +182,19 @@ def traverse(edges: DataFrame, states: DataFrame, entities: DataFrame, starts: l
     spark = edges.sparkSession
     live = serving(edges.filter((F.col("status") != "Retracted") & F.col("predicate").isin(*predicates)), states)
     ids = lambda xs: spark.createDataFrame([(x, i) for i, x in enumerate(xs)], "id string, n int")
-    order = [r["id"] for r in canonical(ids(starts), "id", entities).orderBy("n").collect()]
+    # Redirects are followed once; each level then needs one join.
+    merged = canonical(entities.filter(F.col("redirect_to").isNotNull()).select("entity_id", F.col("entity_id").alias("owner")), "owner", entities).persist()
+    owner_of = lambda df, c: df.join(merged.select(F.col("entity_id").alias(c), F.col("owner").alias("__o")), c, "left").withColumn(c, F.coalesce("__o", c)).drop("__o")
+    order = [r["id"] for r in owner_of(ids(starts), "id").orderBy("n").collect()]
     out = Traversal(list(dict.fromkeys(order))[:max_entities])
     visited, seen, frontier = set(out.starts), set(), out.starts
-    merged = canonical(entities.filter(F.col("redirect_to").isNotNull()).select("entity_id", F.col("entity_id").alias("owner")), "owner", entities)
     for depth in range(1, max_depth + 1):
         if not frontier or out.truncated:
             break
         own = ids(frontier).select("id", F.col("id").alias("owner"))
         owners = own.unionByName(merged.join(own.select("owner"), "owner", "left_semi").select(F.col("entity_id").alias("id"), "owner"))
         found = adjacent(live, F.broadcast(owners), direction, ontology.symmetric)
-        found = canonical(found, "other", entities).filter("other <> from_id")
+        found = owner_of(found, "other").filter("other <> from_id")
         if seen:
             found = found.join(F.broadcast(ids(sorted(seen)).select(F.col("id").alias("assertion_id"))), "assertion_id", "left_anti")
         room = max_entities - len(visited)
@@ -214,6 +216,7 @@ def traverse(edges: DataFrame, states: DataFrame, entities: DataFrame, starts: l
                 visited.add(r["other"])
                 frontier.append(r["other"])
     out.visited = len(visited)
+    merged.unpersist()
     return out
 
 
