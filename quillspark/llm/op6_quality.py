@@ -38,7 +38,7 @@ FEATURES = ("x0", "x1", "x2", "x3", "x4")
 P = len(FEATURES)
 #: Least standard deviation of each: log words, log word length, root of the share of symbols (few are telling), shares of
 #: repeated lines and words (a line that comes twice is not).
-FLOORS = (0.05, 0.05, 0.05, 0.05, 0.05)
+FLOORS = (0.25, 0.1, 0.05, 0.05, 0.05)
 SHARE = 0.75
 #: Parts of a group where its model is joined by a shuffle.
 SALTS = 16
