@@ -118,7 +118,7 @@ def _(s, d):
     return snapshot.consistent(files, chunks, current)[1]
 
 
-@query("s13_p01_hit_projection", f"WITH {T.FILES} SELECT item_id AS id, drive_id, item_id, name, parent_path AS path, web_url, mime_type, size, CAST(NULL AS TIMESTAMP) AS last_modified, chunk_count AS chunk_number, CAST(NULL AS VARCHAR) AS content, 1.0 AS score FROM files")
+@query("s13_p01_hit_projection", f"WITH {T.FILES} SELECT item_id AS id, drive_id, item_id, name, parent_path AS path, web_url, mime_type, size, CAST(NULL AS TIMESTAMP) AS last_modified, chunk_count AS chunk_number, CAST(NULL AS VARCHAR) AS content, CAST(1.0 AS DOUBLE) AS score FROM files")
 def _(s, d):
     rows = T.files(s, d).select(F.col("item_id").alias("id"), "drive_id", "item_id", "name", F.col("parent_path").alias("path"), "web_url", "mime_type", "size", "etag", F.col("chunk_count").alias("chunk_number"), F.lit(False).alias("has_anonymous_access"))
     return index.hits(index.conform(rows, 64).withColumn("score", F.lit(1.0)))
