@@ -44,6 +44,8 @@ from .components import components
 FLUSH = 300_000
 #: Least shingles of a class that its group is chosen from.
 KEYS = 3
+#: Classes that make a key popular; below that, what shares it are mostly passages, not texts.
+POPULAR = 8
 #: Shingles of a 0/1 matrix.
 WIDTH = 8192
 #: Shingles of queries that are compared at once.
@@ -442,7 +444,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Of the keys, the max_popular that most classes have say where these go: what passes through the driver is bounded.
     parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("items") / block_items)).cast("long")
     keyed = least.select(F.explode("keys").alias("key"), "n").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"))
-    keyed = keyed.filter("m > 1").withColumn("parts", parts).orderBy(F.desc("m"), "key").limit(max_popular).toArrow()
+    keyed = keyed.filter(F.col("m") >= POPULAR).withColumn("parts", parts).orderBy(F.desc("m"), "key").limit(max_popular).toArrow()
     popular = dict(zip(keyed.column("key").to_pylist(), zip(keyed.column("m").to_pylist(), keyed.column("parts").to_pylist())))
     shared = spark.sparkContext.broadcast(popular)
 
