@@ -64,12 +64,12 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
         at = min(end, len(column))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the number of words up to each offset."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the number of words up to each offset; ``space`` tells the bytes between words."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~space[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     first, last = word.copy(), word.copy()
@@ -79,7 +79,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, lower: bool, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row and the end): equal words have equal hashes.
 
     Eight bytes at a time are mixed into a state that begins with the length, so words of up to eight bytes
@@ -88,7 +88,7 @@ def word_hashes(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     if lower:
         data = _LOWER[data]
-    starts, ends, per_row = word_bounds(data, offsets)
+    starts, ends, per_row = word_bounds(data, offsets, space)
     size = ends - starts
     out = mix(size.astype(U64) * U64(0xA0761D6478BD642F) + U64(0x5851F42D4C957F2D))
     padded = np.zeros(len(data) + 8, np.uint8)
