@@ -141,27 +141,3 @@ def search_attachments(index: DataFrame, links: DataFrame, attachments: DataFram
     top = min(max(top, 1), 10)
     found = retrieval.hybrid_search(seen, query, "id", "content", top)
     return seen.join(F.broadcast(found), "id").orderBy(F.desc("score"), "id").select("upload_id", "name", "chunk_number", "content", "score")
-
-
-def approximate_neighbours(vectors: DataFrame, query: list[float], key: str, vector_col: str, k: int, tables: int = 8, seed: int = 1) -> DataFrame:
-    """(key, score): an optional index by random hyperplanes; exact cosine decides among the rows that share a bucket with the query.
-
-    Each of ``tables`` signatures has as many bits as leave about 64 rows a bucket.  Falls short of the exact search only in recall.
-    """
-    import numpy as np
-
-    bits = max(1, int(np.log2(max(vectors.count(), 1) / 64 + 1)))
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, len(query)))
-    wanted = [int("".join("1" if x > 0 else "0" for x in p @ np.array(query)), 2) for p in planes]
-
-    def signature(p) -> Column:
-        side = lambda w: F.aggregate(F.zip_with(F.col(vector_col), F.array(*(F.lit(float(x)) for x in w)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v) > 0
-        out = F.lit(0)
-        for w in p:
-            out = out * 2 + side(w).cast("int")
-        return out
-
-    near = F.lit(False)
-    for p, s in zip(planes, wanted):
-        near = near | (signature(p) == s)
-    return retrieval.vector_search(vectors.filter(near), query, key, vector_col, k)

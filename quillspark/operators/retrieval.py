@@ -67,7 +67,11 @@ def _terms(query: str) -> list[str]:
 
 def _slots(c: Column, dims: int) -> Column:
     """Slot of each token: the first 16 bits of its MD5, modulo ``dims``."""
-    return F.transform(tokens(c), lambda x: F.pmod(F.conv(F.substring(F.md5(x), 1, 4), 16, 10).cast("int"), F.lit(dims)))
+    return _slots_of(tokens(c), dims)
+
+
+def _slots_of(words: Column, dims: int) -> Column:
+    return F.transform(words, lambda x: F.pmod(F.conv(F.substring(F.md5(x), 1, 4), 16, 10).cast("int"), F.lit(dims)))
 
 
 def hashed_vector(c: Column, dims: int = 64) -> Column:
@@ -86,20 +90,25 @@ def hashed_cosine(c: Column, query_vector: list[float]) -> Column:
     The dot product adds the query's weight of each token; the norm adds 2 * run + 1 for each further token
     of a run in slot order, which gives the sum of the squared counts.
     """
+    return _let(_slots(c, len(query_vector)), lambda s: slots_cosine(s, slots_norm(s), query_vector))
+
+
+def slots_cosine(slots: Column, norm: Column, query_vector: list[float]) -> Column:
+    """Cosine of hashed term counts, given as the tokens' slots and the norm of the counts, with a unit vector."""
     weights = F.array(*(F.lit(float(x)) for x in query_vector))
+    dot = F.aggregate(slots, F.lit(0.0), lambda a, x: a + F.element_at(weights, x + 1))
+    return F.coalesce(F.try_divide(dot, norm), F.lit(0.0))
 
-    def of(slots: Column) -> Column:
-        dot = F.aggregate(slots, F.lit(0.0), lambda a, x: a + F.element_at(weights, x + 1))
-        start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("sum"))
 
-        def step(a: Column, x: Column) -> Column:
-            run = F.when(a["last"] == x, a["run"]).otherwise(0)
-            return F.struct(x.alias("last"), (run + 1).alias("run"), (a["sum"] + 2 * run + 1).alias("sum"))
+def slots_norm(slots: Column) -> Column:
+    """Root of the squared counts' sum, linear in the tokens."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("sum"))
 
-        squares = F.aggregate(F.array_sort(slots), start, step, lambda a: a["sum"].cast("double"))
-        return F.coalesce(F.try_divide(dot, F.sqrt(squares)), F.lit(0.0))
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["last"] == x, a["run"]).otherwise(0)
+        return F.struct(x.alias("last"), (run + 1).alias("run"), (a["sum"] + 2 * run + 1).alias("sum"))
 
-    return _let(_slots(c, len(query_vector)), of)
+    return F.sqrt(F.aggregate(F.array_sort(slots), start, step, lambda a: a["sum"].cast("double")))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -206,14 +206,6 @@ def _(s, d):
     return index.search_attachments(chunks, links.withColumnRenamed("conv_id", "conversation_id"), table, 4, "the version of the thing", 10).select("upload_id", "chunk_number", F.round("score", 9).alias("score"))
 
 
-@query("r08_approximate_index")
-def _(s, d):
-    """Recall falls short of r02 by design; it is measured in the tests."""
-    e = T.table(s, d, "embeddings")
-    q = e.orderBy("vec_id").first()["embedding"]
-    return index.approximate_neighbours(e, q, "vec_id", "embedding", 10).select("vec_id", F.round("score", 6).alias("score"))
-
-
 @query("r05_t05_skipped_page", """
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
 SELECT vec_id FROM embeddings, q ORDER BY round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[]))), 9) DESC, vec_id LIMIT 10 OFFSET 15""")

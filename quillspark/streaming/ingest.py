@@ -11,25 +11,12 @@ from pyspark.sql import functions as F
 
 from ..operators import indexing
 from ..sources.feed import TokenExpired
+from ..storage.log import LogTable
 
 
-def versioned_write(df: DataFrame, folder: str, version: int) -> str:
-    """A new version of a table; the same version again replaces itself, so a replayed batch changes nothing."""
-    path = f"{folder}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-def latest_version(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The table's newest version below the given folder; empty if there is none."""
-    try:
-        table = spark.read.schema(schema + ", v int").parquet(folder)
-        newest = table.agg(F.max("v")).first()[0]
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        newest = None
-    return spark.createDataFrame([], schema) if newest is None else table.filter(F.col("v") == newest).drop("v")
+def written_once(df: DataFrame, folder: str, epoch: int, run: str = "run", buckets: int = 1) -> None:
+    """Append a batch's rows to a log table under its run and epoch: the same batch again adds nothing."""
+    LogTable(df.sparkSession, folder, ", ".join(f"`{c}` {t}" for c, t in df.dtypes), buckets).append(df, (run, epoch))
 
 
 def delta_pass(feed: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], trigger_s: float | None = None):
@@ -58,8 +45,12 @@ def with_restart(start: Callable[[str, int], object], checkpoint: str, reset: Ca
     raise RuntimeError(f"the feed expired {most} times in a row")
 
 
-def index_batch(files_folder: str, schema: str, allowed: list[str], fingerprint: str) -> Callable[[DataFrame, int], None]:
-    """A handler that keeps the file table: removed rows go, changed ones are replaced."""
+def index_batch(table: LogTable, allowed: list[str], fingerprint: str, walk: str = "walk=0") -> Callable[[DataFrame, int], None]:
+    """A handler that keeps the file table: removed rows go, changed ones are replaced, and only their buckets are rewritten.
+
+    A batch is one version of the table under its walk and epoch, so replaying it changes nothing, whether it died before the version
+    or after it.  Tables with a ``scan_id`` say which walk saw a row last; :func:`end_walk` drops the rest.
+    """
 
     def handle(changes: DataFrame, epoch: int) -> None:
         spark = changes.sparkSession
@@ -67,18 +58,24 @@ def index_batch(files_folder: str, schema: str, allowed: list[str], fingerprint:
             page = changes.filter("expired").agg(F.max("page")).first()[0]
             if page is not None:
                 raise TokenExpired(page)
-        tracked = latest_version(spark, files_folder, schema)
-        last = indexing.latest(changes.withColumn("__a", F.monotonically_increasing_id()), ["drive_id", "item_id"], [F.desc("page"), F.desc("__a")]).drop("__a")
-        known = [c for c in tracked.columns if c in last.columns]
-        removed = last.filter(F.col("is_deleted") | (F.col("is_file") & ~indexing.extension_allowed(F.col("name"), allowed)))
-        fresh = last.join(removed.select("drive_id", "item_id"), ["drive_id", "item_id"], "left_anti").filter("is_file")
-        rows = fresh.select(*known, *(F.lit(None).cast(t).alias(c) for c, t in tracked.dtypes if c not in known)).withColumn("index_fingerprint", F.lit(fingerprint))
-        kept = tracked.join(last.select("drive_id", "item_id"), ["drive_id", "item_id"], "left_anti")
-        versioned_write(kept.unionByName(rows.select(*tracked.columns)), files_folder, epoch)
+        if table.state().has((walk, epoch)):
+            return
+        gone = F.col("is_deleted") | (F.col("is_file") & ~indexing.extension_allowed(F.col("name"), allowed))
+        # A folder takes no part, neither as a row nor as a removal.
+        rows = changes.filter(F.col("is_deleted") | F.col("is_file")).withColumn("arrival", F.struct("page", F.monotonically_increasing_id()))
+        rows = rows.withColumn("__gone", gone).withColumn("index_fingerprint", F.lit(fingerprint)).withColumn("scan_id", F.lit(walk))
+        types = dict(spark.createDataFrame([], table.schema).dtypes)
+        known = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()]
+        table.merge(rows.select(*known, "arrival", "__gone"), ["drive_id", "item_id"], (walk, epoch), deleted="__gone")
 
     return handle
 
 
+def end_walk(table: LogTable, walk: str) -> None:
+    """A full walk is complete: rows that it hasn't seen are gone from the drive.  Once only, however often it is called."""
+    table.delete(~F.col("scan_id").eqNullSafe(F.lit(walk)), ("sweep of " + walk, 0))
+
+
 def signals(notifications: DataFrame, subscriptions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): the state must be that of the notification's own subscription."""
     s = subscriptions.select("subscription_id", F.col("client_state").alias("__want"), "drive_id")
@@ -133,11 +130,20 @@ class Retry:
 
 
 def settle_actions(dead_letters: str, queue: str) -> Callable[[DataFrame, int], None]:
-    """A batch handler for :meth:`Retry.stateful`: dead keys go to the reject folder, due ones back to the request queue."""
+    """A batch handler for :meth:`Retry.stateful`: dead keys go to the reject table, due ones back to the request queue.
+
+    The batch's actions are worked out once, and each of the two is one file set under the epoch's number, so a replay adds nothing.
+    """
 
     def handle(actions: DataFrame, epoch: int) -> None:
-        versioned_write(actions.filter("action = 'dead'").select("key", "attempt"), dead_letters, epoch)
-        actions.filter("action = 'redeliver'").select("key", (F.col("attempt") + 1).alias("attempt")).write.mode("append").json(queue)
+        actions = actions.persist()
+        try:
+            written_once(actions.filter("action = 'dead'").select("key", "attempt"), dead_letters, epoch)
+            due = actions.filter("action = 'redeliver'").select("key", (F.col("attempt") + 1).alias("attempt"))
+            if not due.isEmpty():
+                due.write.mode("overwrite").json(f"{queue}/epoch={epoch}")
+        finally:
+            actions.unpersist()
 
     return handle
 
@@ -155,7 +161,7 @@ def consume(spark: SparkSession, topic: str, drives: list[str], checkpoint: str,
 
     def batch(rows: DataFrame, epoch: int) -> None:
         known = F.coalesce(F.col("drive_id").isin(*drives), F.lit(False))
-        versioned_write(rows.filter(~known).withColumn("reason", F.lit("wrong drive")), rejects, epoch)
+        written_once(rows.filter(~known).withColumn("reason", F.lit("wrong drive")), rejects, epoch)
         due = sorted(r["drive_id"] for r in rows.filter(known).select("drive_id").distinct().collect())
         if due:
             handle(due, epoch)

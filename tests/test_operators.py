@@ -311,20 +311,6 @@ def test_attachment_status_and_search(spark):
     assert 0 < found.count() <= 10 and index.search_attachments(chunks, links, after, 2, "green").count() == 0 and index.search_attachments(chunks, links, after, 1, " ").count() == 0
 
 
-def test_approximate_index_recall(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(20, 16))
-    rows = [(i, (centres[i % 20] + rng.normal(size=16) * 0.15).tolist()) for i in range(2000)]
-    df = spark.createDataFrame(rows, "id long, v array<double>").cache()
-    hit = 0
-    for q in (3, 500, 1201):
-        exact = {r.id for r in retrieval.vector_search(df, rows[q][1], "id", "v", 10).collect()}
-        hit += len(exact & {r.id for r in index.approximate_neighbours(df, rows[q][1], "id", "v", 10).collect()})
-    assert hit >= 27
-
-
 def test_state_functions(spark):
     assert keys.extraction_version("p", "m", "o").startswith("p.o.") and keys.extraction_version("p", "m", "o") != keys.extraction_version("p", "n", "o")
     df = spark.createDataFrame([(" depends  on ", "c", "e", "fp")], "p string, c string, e string, f string")

@@ -7,6 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quillspark.sources import feed, files, office
+from quillspark.storage.log import LogTable
 from quillspark.streaming import ingest
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -98,13 +99,13 @@ def test_delta_stream(spark, tmp_path):
     page(0, [{"item_id": "1", "name": "a.txt", "etag": "e1"}, {"item_id": "2", "name": "b.exe"}, {"item_id": "3", "name": "folder", "is_file": False}])
     page(1, [{"item_id": "1", "name": "a.txt", "etag": "e2"}, {"item_id": "4", "name": "c.txt", "etag": "x"}])
     assert feed.feed_table(spark, str(pages)).count() == 5
-    run = lambda: ingest.delta_pass(feed.feed_stream(spark, str(pages)), str(checkpoint), ingest.index_batch(str(table), FILES, ["txt"], "fp"))
+    run = lambda: ingest.delta_pass(feed.feed_stream(spark, str(pages)), str(checkpoint), ingest.index_batch(LogTable(spark, str(table), FILES, 4, ("drive_id", "item_id")), ["txt"], "fp"))
 
     def settle():
         q = run()
         q.processAllAvailable() if q.isActive else None
         q.awaitTermination(60)
-        return {r.item_id: r.etag for r in ingest.latest_version(spark, str(table), FILES).collect()}
+        return {r.item_id: r.etag for r in LogTable(spark, str(table), FILES).read().collect()}
 
     assert settle() == {"1": "e2", "4": "x"}
     page(2, [{"item_id": "4", "is_deleted": True}])
@@ -119,9 +120,9 @@ def test_expired_token_starts_a_full_walk(spark, tmp_path):
     page(1, [{"expired": True}])
     page(2, [{"item_id": "new", "name": "b.txt"}])
     resets = []
-    start = lambda cp, after: ingest.delta_pass(feed.feed_stream(spark, str(pages), after), cp, ingest.index_batch(str(table), FILES, ["txt"], "fp"))
+    start = lambda cp, after: ingest.delta_pass(feed.feed_stream(spark, str(pages), after), cp, ingest.index_batch(LogTable(spark, str(table), FILES, 4, ("drive_id", "item_id")), ["txt"], "fp"))
     assert ingest.with_restart(start, str(tmp_path / "cp"), resets.append) == 2 and resets == [1]
-    assert [r.item_id for r in ingest.latest_version(spark, str(table), FILES).collect()] == ["new"]
+    assert [r.item_id for r in LogTable(spark, str(table), FILES).read().collect()] == ["new"]
 
 
 def test_signals_are_consumed_once(spark, tmp_path):
@@ -130,7 +131,7 @@ def test_signals_are_consumed_once(spark, tmp_path):
     for _ in range(2):  # the second run has nothing left
         ingest.consume(spark, topic, ["d1", "d2"], str(tmp_path / "cp"), str(tmp_path / "rejects"), lambda d, e: calls.append(d)).awaitTermination(60)
     assert calls == [["d1"]]
-    assert sorted(r.sent_at for r in spark.read.parquet(str(tmp_path / "rejects")).collect()) == ["3", "4"]
+    assert sorted(r.sent_at for r in LogTable(spark, str(tmp_path / "rejects"), "drive_id string, sent_at string, reason string").read().collect()) == ["3", "4"]
 
 
 def test_due_retries_and_dead_letters(spark, tmp_path):
@@ -147,7 +148,7 @@ def test_due_retries_and_dead_letters(spark, tmp_path):
     finally:
         q.stop()
     assert queued() == [("a", 2)]
-    assert [(r.key, r.attempt) for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [("b", 1)]
+    assert [(r.key, r.attempt) for r in LogTable(spark, str(tmp_path / "dead"), "key string, attempt int").read().collect()] == [("b", 1)]
 
 
 def test_silent_workers_are_stale(spark, tmp_path):
