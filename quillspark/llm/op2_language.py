@@ -17,7 +17,6 @@ long texts are read whole, in slices; an empty table gives no row; other columns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,8 @@ from .common import arrow_batches, crc_remainder, documents
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 SLICE = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+#: Greatest change of a gram's vector, and of the output weights, in one step: a gram that all rows of a batch repeat can't run away.
+CLIP = 1.0
 _ASCII = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
@@ -95,7 +95,7 @@ class Model:
         return out + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        known = [bool(t) and bool(self.labels) and LETTER.search(t) is not None for t in texts]
+        known = [bool(t) and bool(self.labels) and any(map(str.isalpha, t)) for t in texts]
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
         at = [i for i, k in enumerate(known) if k]
         if at:
@@ -112,6 +112,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def clipped(steps: np.ndarray) -> np.ndarray:
+    """Rows no longer than CLIP."""
+    size = np.linalg.norm(steps, axis=1, keepdims=True)
+    return steps * np.minimum(1.0, CLIP / np.maximum(size, 1e-12))
+
+
 def fit(labels: list[str], grams: list[np.ndarray], target: float = 0.99, dim: int = 16, epochs: int = 6, rate: float = 4.0, batch: int = 32, seed: int = 1) -> Model:
     """Train on (label, n-gram ids) pairs."""
     names = sorted(set(labels))
@@ -139,9 +145,12 @@ def fit(labels: list[str], grams: list[np.ndarray], target: float = 0.99, dim: i
             g = softmax(mean @ w + b)
             g[np.arange(len(rows)), y[rows]] -= 1
             back = (g @ w.T) / np.maximum(sizes, 1)[:, None]
-            w -= lr / len(rows) * (mean.T @ g)
+            w -= clipped(lr / len(rows) * (mean.T @ g).reshape(1, -1)).reshape(w.shape)
             b -= lr / len(rows) * 0.1 * g.sum(axis=0)
-            np.add.at(e, ids, -lr * back[who])
+            seen, at_gram = np.unique(ids, return_inverse=True)
+            step = np.zeros((len(seen), dim))
+            np.add.at(step, at_gram, lr * back[who])
+            e[seen] -= clipped(step)
             done += 1
     model = Model(names, (e @ w).astype(np.float32), b, 1.0, 0.0)
     if cut:

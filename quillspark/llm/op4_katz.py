@@ -125,8 +125,13 @@ def discounts(n: dict[int, int], k: int = K) -> list[float]:
 class Model:
     """One table (key, value, c) and a few numbers: c is a token's count, null for longer grams."""
 
-    def __init__(self, table: DataFrame, n: int, v: int, log_unknown: float, start: float, order: int):
-        self.table, self.n, self.v, self.log_unknown, self.start, self.order = table, n, v, log_unknown, start, order
+    def __init__(self, table: DataFrame, counts: DataFrame, n: int, v: int, log_unknown: float, start: float, order: int):
+        self.table, self.counts, self.n, self.v, self.log_unknown, self.start, self.order = table, counts, n, v, log_unknown, start, order
+
+    def frequent(self, most: int) -> pa.Table:
+        """(key, value, c) of the ``most`` most frequent grams of all orders."""
+        top = self.counts.orderBy(F.desc("c"), "key").limit(most).select("key").distinct()
+        return self.table.join(F.broadcast(written(top, "katz-frequent")), "key", "left_semi").toArrow()
 
     @property
     def base_unknown(self) -> float:
@@ -174,7 +179,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     table = written(table.groupBy("key").agg(F.sum("value").alias("value"), F.max("c").alias("c")), "katz-model")
     pads = [signed(x) for x in paddings(order)]
     start = table.filter(F.col("key").isin(pads)).agg(F.sum("value")).first()[0] if pads else None
-    return Model(table, int(n), int(v), math.log10(free / whole) if n else 0.0, start or 0.0, order)
+    return Model(table, counts, int(n), int(v), math.log10(free / whole) if n else 0.0, start or 0.0, order)
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, frequent: int = 500_000) -> DataFrame:
@@ -183,15 +188,18 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     arrow_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~learn).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     model = train(src.filter(~F.col("held_out")), order)
-    # How often a key is met is what makes it hot: tokens' counts are known, longer grams are rarer than their tokens.
-    top = model.table.filter("c is not null").orderBy(F.desc("c"), "key").limit(frequent).toArrow()
+    # How often a gram was counted is how often its key is met: what a third of the texts have is among the most frequent.
+    top = model.frequent(frequent)
     by = np.argsort(top.column("key").to_numpy(), kind="stable")
-    shared = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy()[by] for c in ("key", "value", "c")))
+    shared = spark.sparkContext.broadcast(tuple(top.column(c).fill_null(0).to_numpy()[by] for c in ("key", "value", "c")))
     unknown, base_unknown, start = model.log_unknown, model.base_unknown, model.start
     names = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "key": pa.int64(), "token": pa.bool_(), "k": pa.int64(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what is known here, and a row for each of its other keys, with how often it comes."""
+        """A row for each text with what is known here, and a row for each of its other keys, with how often it comes.
+
+        A text's own row has the hash of its number for a key, which spreads it over the tasks and meets nothing that counts.
+        """
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
@@ -200,18 +208,20 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             for a, b in H.slices(batch.column(2), 1 << 18):
                 part = batch.slice(a, b - a)
                 by_order, _, bounds = grams(part.column(2), order)
-                m, token = len(part), by_order[0].view(np.int64)
-                who = np.repeat(np.arange(m), np.diff(bounds))
-                i = np.minimum(np.searchsorted(keys, token), max(len(keys) - 1, 0))
-                hit = keys[i] == token if len(keys) else np.zeros(len(token), bool)
-                own = lambda x: np.bincount(who[hit], x[i[hit]], m).astype(np.float64)  # noqa: B023, E731
+                m, token = len(part), len(by_order[0])
+                who = np.tile(np.repeat(np.arange(m), np.diff(bounds)), order)
+                key = np.concatenate([x.view(np.int64) for x in by_order])
+                is_token = np.arange(len(key)) < token
+                i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                hit = keys[i] == key if len(keys) else np.zeros(len(key), bool)
+                of = lambda rows, x: np.bincount(who[rows], x, m).astype(np.float64)  # noqa: B023, E731
+                known = hit & is_token
+                numbers = np.arange(m) + row
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(m) + row), part.column(0), part.column(1), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array(np.diff(bounds)),
-                    pa.array(np.bincount(who[hit], minlength=m)), pa.array(own(np.log10(counts + 1.0) + base_unknown)), pa.array(own(values) + start),
+                    pa.array(numbers), part.column(0), part.column(1), pa.array(H.mix(numbers.view(np.uint64)).view(np.int64)), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array(np.diff(bounds)),
+                    pa.array(np.bincount(who[known], minlength=m)), pa.array(of(known, np.log10(counts[i[known]] + 1.0) + base_unknown)), pa.array(of(hit, values[i[hit]]) + start),
                 ], list(names))
-                key = np.concatenate([token[~hit], *(x.view(np.int64) for x in by_order[1:])])
-                owner = np.concatenate([who[~hit], *([who] * (order - 1))])
-                is_token = np.arange(len(key)) < int((~hit).sum())
+                key, owner, is_token = key[~hit], who[~hit], is_token[~hit]
                 at = np.lexsort((key, owner))
                 key, owner, is_token = key[at], owner[at], is_token[at]
                 first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.zeros(0, np.int64)
@@ -224,7 +234,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     spelt = src.mapInArrow(spell, "row long, doc_id long, held_out boolean, key long, token boolean, k long, n long, known long, base double, score double")
     met = spelt.join(model.table.select("key", "value", "c"), "key", "left")
-    asked, is_token = F.col("key").isNotNull(), F.coalesce("token", F.lit(False))
+    asked, is_token = F.col("k").isNotNull(), F.coalesce("token", F.lit(False))
     value = F.coalesce("value", F.when(is_token, F.lit(unknown)).otherwise(0.0))
     base = F.log10(F.coalesce("c", F.lit(0)) + 1.0) + base_unknown
     out = met.groupBy("row").agg(

@@ -39,6 +39,23 @@ def test_language_edges(spark):
     assert fit(["a"], [np.array([1, 2], np.int32)]).predict(["xy"])[0] == ["a"]
 
 
+def test_language_of_ambiguous_short_texts_stays_finite(spark):
+    """Rows that two languages share, each a gram over and over, pull both ways in every step."""
+    rng = random.Random(1)
+    words = {"de": "der hund und die katze sind nicht im haus".split(), "en": "the dog and the cat are not in this house".split()}
+    rows = [(lang, " ".join(rng.choice(w) for _ in range(40))) for lang, w in words.items() for _ in range(200)]
+    rows += [(lang, f"ok {i}") for lang in words for i in range(200)] + [(lang, "a " * 500) for lang in words for _ in range(50)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = train(df, F.lit(True), "doc_id", "text", "lang")
+    assert np.isfinite(model.table).all() and np.isfinite(model.bias).all()
+    got = identify(df, model, keep=[F.col("lang")]).collect()
+    assert all(0 <= r.score <= 1 for r in got)
+    prose = [r for r in got if r.doc_id < 400]
+    assert sum(r.lang_pred == r.lang for r in prose) >= 0.97 * len(prose)
+    marks = identify(spark.createDataFrame([(i, t) for i, t in enumerate(["²", "½", "① ²", "ª", "x²", "_1"])], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred == "und" for r in sorted(marks, key=lambda r: r.doc_id)] == [True, True, True, False, False, True]
+
+
 def test_language_equals_plain_averages(spark):
     """The served table against n-grams taken one by one."""
     rng = random.Random(6)
