@@ -130,14 +130,14 @@ def _surveyed(src: DataFrame, k: int, threshold: int, buckets: int) -> str:
     return path
 
 
-def group_of(keys: list[int], cid: int, popular: dict[int, tuple[int, int]]) -> int:
+def group_of(keys: list[int], cid: int, popular: dict[int | None, tuple[int, int]]) -> int:
     """The most popular key, else the least; with the number of the class's part where the group is cut.
 
-    ``popular`` has, of keys that many classes have, how many do and the number of parts.
+    ``popular`` has, of keys that many classes have, how many do and the number of parts; under None, the greatest number of parts that
+    any other key can need, so that no group stays uncut because its key isn't among them.
     """
     _, key = max(((popular[k][0], k) for k in keys if k in popular), default=(0, keys[0]))
-    parts = popular[key][1] if key in popular else 1
-    return key ^ cid % parts
+    return key ^ cid % popular.get(key, popular[None])[1]
 
 
 def _common_shingles(counts: DataFrame, common: int, most: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def _common_shingles(counts: DataFrame, common: int, most: int) -> np.ndarray:
     return np.sort(found.select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, popular: dict[int, tuple[int, int]], buckets: int) -> DataFrame:
+def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, popular: dict[int | None, tuple[int, int]], buckets: int) -> DataFrame:
     """Distinct pairs (g, h), g < h, of groups whose members share a prefix shingle and may be similar by size and place.
     """
     shared = src.sparkSession.sparkContext.broadcast((common, popular))
@@ -441,11 +441,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = src.filter("doc_id is not null")
     least = known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     least = written(least, "jaccard-classes")
-    # Of the keys, the max_popular that most classes have say where these go: what passes through the driver is bounded.
+    # Of the keys, the max_popular whose groups are the largest say where these go: what passes through the driver is bounded.
     parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("items") / block_items)).cast("long")
     keyed = least.select(F.explode("keys").alias("key"), "n").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"))
-    keyed = keyed.filter(F.col("m") >= POPULAR).withColumn("parts", parts).orderBy(F.desc("m"), "key").limit(max_popular).toArrow()
-    popular = dict(zip(keyed.column("key").to_pylist(), zip(keyed.column("m").to_pylist(), keyed.column("parts").to_pylist())))
+    keyed = keyed.filter(F.col("m") >= POPULAR).withColumn("parts", parts).orderBy(F.desc("parts"), F.desc("m"), "key").limit(max_popular + 1).toArrow()
+    key, m, cut = (keyed.column(c).to_pylist() for c in ("key", "m", "parts"))
+    popular = dict(zip(key[:max_popular], zip(m, cut))) | {None: (0, cut[max_popular] if len(cut) > max_popular else 1)}
     shared = spark.sparkContext.broadcast(popular)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
