@@ -247,7 +247,7 @@ def _spelt(src: DataFrame, wanted: DataFrame, k: int, max_broadcast: int) -> Dat
             # Of rows with one id, the class tells which text is meant.
             ok = [class_of(x) == c for x, c in zip(sets, part.column(1).to_pylist())]
             own, keep = [x for x, o in zip(sets, ok) if o], pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["gid", "cid", "n", "items"])
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array([len(x) for x in own], pa.int64()), pa.array([H.pack(x) for x in own], pa.binary())], ["gid", "cid", "n", "items"])
 
     spelt = src.join(wanted, "doc_id").select("gid", "cid", "text").mapInArrow(spell, "gid long, cid long, n long, items binary")
     return written(spelt, "jaccard-sets")
@@ -259,8 +259,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _marks(items: bytes) -> np.ndarray:
-    """The upper halves of a set's hashes: what two sets share is never more than their marks share."""
-    return (np.frombuffer(items, np.uint64) >> H.U64(32)).astype(np.uint32)
+    """The upper 24 bits of a set's hashes, sorted: what two sets share is never more than their marks share."""
+    return (H.unpack(items, np.uint64)[0] >> H.U64(40)).astype(np.uint32)
+
+
+def _marked(sets: DataFrame, also: str) -> DataFrame:
+    """(gid, also, n, marks) of sets (gid, also, n, items): gaps of sorted marks take two bytes each, where hashes take eight."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([H.pack(_marks(x)) for x in b.column(3).to_pylist()], pa.binary())], ["gid", also, "n", "marks"])
+
+    return sets.select("gid", also, "n", "items").mapInArrow(marked, f"gid long, {also} long, n long, marks binary")
 
 
 def _matrix(sets: DataFrame, several: DataFrame) -> DataFrame:
@@ -269,19 +279,19 @@ def _matrix(sets: DataFrame, several: DataFrame) -> DataFrame:
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(gid: int, sizes: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
             union = np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((gid, pa.int64()), (min(sizes), pa.int64()), (max(sizes), pa.int64()), (union.tobytes(), pa.binary()))], ["gid", "least", "most", "marks"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((gid, pa.int64()), (min(sizes), pa.int64()), (max(sizes), pa.int64()), (H.pack(union), pa.binary()))], ["gid", "least", "most", "marks"])
 
         at, sizes, held = None, [], []
-        for gid, n, items in _rows(batches):
+        for gid, _, n, marks in _rows(batches):
             if gid != at and held:
                 yield row(at, sizes, held)
                 sizes, held = [], []
             at = gid
-            sizes.append(n), held.append(_marks(items))
+            sizes.append(n), held.append(H.unpack(marks, np.uint32)[0])
         if held:
             yield row(at, sizes, held)
 
-    placed = sets.join(several, "gid", "left_semi").select("gid", "n", "items").repartition("gid").sortWithinPartitions("gid")
+    placed = _marked(sets.join(several, "gid", "left_semi"), "cid").repartition("gid").sortWithinPartitions("gid")
     return written(placed.mapInArrow(unite, "gid long, least long, most long, marks binary"), "jaccard-matrix")
 
 
@@ -299,12 +309,8 @@ def _by_group(table: DataFrame, queries: DataFrame, columns: list[str]) -> DataF
 def _bounded(pairs: DataFrame, sets: DataFrame, matrix: DataFrame, several: DataFrame, threshold: int, max_broadcast: int) -> DataFrame:
     """(g, cid, h): queries whose overlap with the union of h may be enough."""
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([_marks(x).tobytes() for x in b.column(3).to_pylist()], pa.binary())], ["gid", "cid", "n", "marks"])
-
     few = lambda t: _small(t, max_broadcast)
-    sets = sets.mapInArrow(marked, "gid long, cid long, n long, marks binary")
+    sets = _marked(sets, "cid")
     salts = written(_dealt(pairs, "m"), "jaccard-salts")
     asking = written(pairs.select("g", "h").join(salts, "h").select("h", F.pmod(F.xxhash64("g"), F.col("salts")).cast("int").alias("salt"), F.col("g").alias("gid")), "jaccard-asking")
     queries = sets.join(few(asking), "gid").select("h", "salt", F.col("gid").alias("g"), "cid", "n", "marks")
@@ -318,7 +324,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, matrix: DataFrame, several: Data
         for batch in batches:
             out = []
             for h, _, tag, g, cid, n, lo, hi, marks in _rows([batch]):
-                x = np.frombuffer(marks, np.uint32)
+                x = H.unpack(marks, np.uint32)[0]
                 if tag == 0:
                     union, least, most = x, lo, hi
                     continue
@@ -405,7 +411,7 @@ def _opened(qualified: DataFrame, sets: DataFrame, several: DataFrame, threshold
                 if at is not None:
                     yield from close()
                 at, label = (h, salt), None
-            x = np.frombuffer(items, np.uint64)
+            x = H.unpack(items, np.uint64)[0]
             if tag == 0:
                 if cid not in cids[-1:]:  # rows are sorted by class; repeated rows of the input repeat theirs
                     cids.append(cid), block.append(x)
