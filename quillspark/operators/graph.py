@@ -8,6 +8,7 @@ predicate, object_id, status, document_id, document_version, chunk_id, chunk_has
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -220,6 +221,71 @@ def traverse(edges: DataFrame, states: DataFrame, entities: DataFrame, starts: l
     return out
 
 
+def traverse_many(edges: DataFrame, states: DataFrame, entities: DataFrame, starts: DataFrame, predicates: list[str], direction: str = "both", max_depth: int = 2, max_entities: int = 50, max_assertions: int = 200, ontology: Ontology = DEFAULT, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`traverse` for all questions at once: ((question, assertion_id, depth, from_id, to_id), (question, visited, assertions, truncated)).
+
+    starts: (question, id, n), the starts of each question in order of ``n``.  Frontier, visited entities, seen assertions and budgets are
+    rows with their question; admission within the budgets is a window over one question's candidates of a level.  ``keep`` writes a
+    table and reads it back (by default to the session's checkpoint folder), so each level's plan begins at tables; the driver gets nothing but counts.
+    """
+    if not (1 <= max_depth <= 3 and 1 <= max_entities <= 1000 and 1 <= max_assertions <= 5000) or direction not in ("in", "out", "both"):
+        raise ValueError("depth 1-3, entities 1-1000, assertions 1-5000, direction in, out or both")
+    keep = keep or _kept
+    live = serving(edges.filter((F.col("status") != "Retracted") & F.col("predicate").isin(*predicates)), states).select("assertion_id", "subject_id", "predicate", "object_id")
+    live = keep(live, "live")
+    merged = keep(canonical(entities.filter(F.col("redirect_to").isNotNull()).select("entity_id", F.col("entity_id").alias("owner")), "owner", entities), "owners")
+    owner_of = lambda df, c: df.join(merged.select(F.col("entity_id").alias(c), F.col("owner").alias("__o")), c, "left").withColumn(c, F.coalesce("__o", c)).drop("__o")
+    rank = lambda order: F.row_number().over(Window.partitionBy("question").orderBy(*order))
+    first = owner_of(starts.select("question", "id", "n"), "id").groupBy("question", "id").agg(F.min("n").alias("n"))
+    visited = keep(first.withColumn("__r", rank(["n", "id"])).filter(F.col("__r") <= max_entities).select("question", "id"), "visited0")
+    frontier, done, ended = visited, None, None
+    symmetric = F.col("predicate").isin(*ontology.symmetric) if ontology.symmetric else F.lit(False)
+    for depth in range(1, max_depth + 1):
+        ends = frontier.select("question", F.col("id").alias("from_id"), "id")
+        ends = ends.unionByName(merged.select(F.col("entity_id").alias("id"), F.col("owner").alias("from_id")).join(frontier.select("question", F.col("id").alias("from_id")), "from_id").select("question", "from_id", "id"))
+        out = live.filter(symmetric | F.lit(direction != "in")).join(ends, F.col("subject_id") == F.col("id")).select("question", "assertion_id", "from_id", F.col("object_id").alias("other"), F.lit(0).alias("__side"))
+        back = live.filter(symmetric | F.lit(direction != "out")).join(ends, F.col("object_id") == F.col("id")).select("question", "assertion_id", "from_id", F.col("subject_id").alias("other"), F.lit(1).alias("__side"))
+        # The end that an edge is left by: the first side, then the least id.
+        found = out.unionByName(back).groupBy("question", "assertion_id").agg(F.min(F.struct("__side", "from_id", "other")).alias("e")).select("question", "assertion_id", "e.from_id", "e.other")
+        found = owner_of(found, "other").filter("other <> from_id")
+        if done is not None:
+            found = found.join(done.select("question", "assertion_id"), ["question", "assertion_id"], "left_anti")
+        found = keep(found, f"found{depth}")
+        room = visited.groupBy("question").agg((F.lit(max_entities) - F.count(F.lit(1))).alias("room"))
+        new = found.join(visited.select("question", F.col("id").alias("other")), ["question", "other"], "left_anti").groupBy("question", "other").agg(F.min("assertion_id").alias("a"))
+        ranked = keep(new.withColumn("__r", rank(["a", "other"])).join(room, "question"), f"new{depth}")
+        over = ranked.filter(F.col("__r") > F.col("room")).select("question").distinct()
+        inside = visited.select("question", F.col("id").alias("other")).unionByName(ranked.filter(F.col("__r") <= F.col("room")).select("question", "other"))
+        taken = found.join(inside, ["question", "other"], "left_semi").withColumn("__r", rank(["assertion_id"]))
+        rest = F.lit(max_assertions)
+        if done is not None:
+            used = done.groupBy("question").agg(F.count(F.lit(1)).alias("used"))
+            taken, rest = taken.join(used, "question", "left"), rest - F.coalesce("used", F.lit(0))
+        taken = keep(taken.withColumn("__full", F.col("__r") > rest).filter(F.col("__r") <= rest + 1), f"taken{depth}")
+        full = taken.filter("__full").select("question").distinct()
+        rows = taken.filter("NOT __full").select("question", "assertion_id", F.lit(depth).cast("long").alias("depth"), "from_id", F.col("other").alias("to_id"))
+        stop = full.withColumn("truncated", F.lit("assertions")).unionByName(over.join(full, "question", "left_anti").withColumn("truncated", F.lit("entities")))
+        ended = stop if ended is None else ended.unionByName(stop)
+        done = rows if done is None else done.unionByName(rows)
+        reached = keep(rows.select("question", F.col("to_id").alias("id")).distinct().join(visited, ["question", "id"], "left_anti"), f"reached{depth}")
+        visited = visited.unionByName(reached)
+        frontier = reached.join(stop, "question", "left_anti")
+        if reached.isEmpty():
+            break
+    told = visited.groupBy("question").agg(F.count(F.lit(1)).alias("visited"))
+    counts = done.groupBy("question").agg(F.count(F.lit(1)).alias("assertions"))
+    status = told.join(counts, "question", "left").join(ended, "question", "left")
+    return done, status.select("question", "visited", F.coalesce("assertions", F.lit(0)).alias("assertions"), "truncated")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    from ..storage.files import scratch
+
+    path = scratch(df.sparkSession, "traversal-" + name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def verify(edges: DataFrame, revisions: DataFrame, chunks: DataFrame, tenant: str, most_documents: int = 40) -> DataFrame:
     """Each edge with why it is rejected, null if its evidence holds.
 
@@ -243,13 +309,23 @@ def verify(edges: DataFrame, revisions: DataFrame, chunks: DataFrame, tenant: st
     return j.select("assertion_id", reason.alias("reason"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Authorized edges (assertion_id, depth, from_id, to_id) that are still connected to the starts through authorized edges."""
-    known = starts.select(F.col("id")).distinct()
-    for _ in range(max_depth):
-        step = edges.join(known, edges["from_id"] == known["id"], "left_semi").select(F.col("to_id").alias("id"))
-        known = known.unionByName(step).distinct()
-    return edges.join(known, edges["from_id"] == known["id"], "left_semi").orderBy("depth", "assertion_id")
+def reachable(edges: DataFrame, starts: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Authorized edges (assertion_id, depth, from_id, to_id) that are still connected to the starts through authorized edges alone.
+
+    With a ``question`` in ``starts``, the edges of each question, which are those with its ``question`` if they have one, else all.  Turns go
+    on until none reaches anything new, so a way round a hidden edge counts however long it is; each turn's new entities are a table.
+    """
+    keep = keep or _kept
+    own = ["question"] if "question" in starts.columns else []
+    by = [*(c for c in own if c in edges.columns), "from_id"]
+    ways = keep(edges.select(*by, F.col("to_id").alias("__to")).distinct(), "ways")
+    known = frontier = keep(starts.select(*own, F.col("id").alias("from_id")).distinct(), "reached")
+    while not frontier.isEmpty():
+        step = frontier.join(ways, by).select(*own, F.col("__to").alias("from_id")).distinct()
+        frontier = keep(step.join(known, [*own, "from_id"], "left_anti"), "reached")
+        known = known.unionByName(frontier)
+    out = edges.join(known, by).select(*own, *(c for c in edges.columns if c not in own))
+    return out.orderBy(*own, "depth", "assertion_id")
 
 
 def apply_snapshot(edges: DataFrame, old_manifest: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,6 +347,11 @@ def expired(edges: DataFrame, now: Column, days: int = 30) -> DataFrame:
     return edges.filter(~F.coalesce(old, F.lit(False)))
 
 
+def same_types(a: Column, b: Column) -> Column:
+    """Whether two lists of types are one set, as both sides of a symmetric relation must be."""
+    return F.array_sort(F.array_distinct(a)).eqNullSafe(F.array_sort(F.array_distinct(b)))
+
+
 def merge_entity(stored: DataFrame, incoming: DataFrame, most_aliases: int = 50) -> DataFrame:
     """Stored entities with incoming aliases added; names stay, new ids are inserted."""
     j = stored.alias("s").join(incoming.alias("i"), "entity_id", "full_outer")

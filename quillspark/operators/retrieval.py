@@ -24,6 +24,12 @@ def validate(query: str, top: int, skip: int) -> None:
         raise ValueError("a query, a top of 1 to 100 and a skip of 0 or more are needed")
 
 
+def request_errors(requests: DataFrame) -> DataFrame:
+    """Search requests (query, top, skip) with why each is refused, null if it isn't: :func:`validate` for a table of them."""
+    error = F.when(F.length(F.trim(F.coalesce("query", F.lit("")))) == 0, "query").when(~F.coalesce(F.col("top").between(1, 100), F.lit(False)), "top").when(~F.coalesce(F.col("skip") >= 0, F.lit(False)), "skip")
+    return requests.withColumn("error", error)
+
+
 def _let(value: Column, body) -> Column:
     """Bind ``value`` once, so that ``body`` may use it repeatedly without recomputing it."""
     return F.element_at(F.transform(F.array(value), body), 1)

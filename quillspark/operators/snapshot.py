@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
-from .graph import DEFAULT, Ontology, first_by
+from .graph import DEFAULT, Ontology, first_by, same_types
 
 SCHEMA_VERSION = 1
 METHODS = ("Identifier", "Alias", "New", "Ambiguous")
@@ -188,6 +188,36 @@ def validate(headers: DataFrame, entities: DataFrame, assertions: DataFrame, res
     return errors.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= limits.errors).drop("__n")
 
 
+def ontology_errors(types: DataFrame, relations: DataFrame) -> DataFrame:
+    """(ontology_id, error) of what is wrong with many ontologies at once, in the words of :meth:`Ontology.errors`.
+
+    types: (ontology_id, position, name); relations: (ontology_id, position, predicate, subjects, objects, symmetric,
+    antisymmetric, same_type).  Every rule is a condition on a row, a repeat of an earlier one, or a join with the ontology's types.
+    """
+    say = lambda cond, *parts: F.when(F.coalesce(cond, F.lit(False)), F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)))
+    told = lambda rows, *errors: rows.select("ontology_id", F.explode(F.array_compact(F.array(*errors))).alias("error"))
+    at = F.col("position").cast("string")
+    t = types.withColumn("__again", F.row_number().over(Window.partitionBy("ontology_id", "name").orderBy("position")) > 1)
+    name = F.coalesce("name", F.lit(""))
+    out = told(t, say(~name.rlike("^[A-Z][A-Za-z0-9]{0,63}$"), "types[", at, "]: bad name ", name), say(F.col("__again"), "types[", at, "]: duplicate type ", name))
+    known = types.groupBy("ontology_id").agg(F.collect_set("name").alias("__known"))
+    r = relations.withColumn("__again", F.row_number().over(Window.partitionBy("ontology_id", "predicate").orderBy("position")) > 1).join(known, "ontology_id", "left")
+    r = r.withColumn("__known", F.coalesce("__known", F.array().cast("array<string>")))
+    where, predicate = F.concat(F.lit("relations["), at, F.lit("]: ")), F.coalesce("predicate", F.lit(""))
+    sound = predicate.rlike("^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$") & (F.length(predicate) <= 64)
+    out = out.unionByName(told(
+        r, say(~sound, where, "bad predicate ", predicate), say(F.col("__again"), where, "duplicate predicate ", predicate),
+        *(say(F.size(side) <= 0, where, "a side without types") for side in ("subjects", "objects")),
+        say(F.col("symmetric") & ~same_types(F.col("subjects"), F.col("objects")), where, "a symmetric relation has the same types on both sides"),
+        say(F.col("symmetric") & F.col("antisymmetric"), where, "symmetric and antisymmetric"),
+        say(F.col("same_type") & ~F.arrays_overlap("subjects", "objects"), where, "one type on both ends, but no type is on both"),
+    ))
+    for side in ("subjects", "objects"):
+        each = r.select("ontology_id", where.alias("w"), F.explode(F.array_except(side, "__known")).alias("x"))
+        out = out.unionByName(each.select("ontology_id", F.concat("w", F.lit("unknown type "), "x").alias("error")))
+    return out
+
+
 REF = "^[A-Za-z0-9_-]{1,64}$"
 
 

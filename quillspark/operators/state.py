@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +111,30 @@ def memoized(rows: DataFrame, key: list[str], score) -> DataFrame:
     return rows.join(score(rows.select(*key).distinct()), key, "left")
 
 
+def scored_once(rows: DataFrame, key: list[str], scorer: Callable[[dict], str | None]) -> DataFrame:
+    """Rows with ``result`` and ``warning``: ``scorer`` (a dict of the key to a text) is called once per key and may fail.
+
+    A failure is the warning of every row with that key, and of no other; the rest go on.
+    """
+    import pandas as pd
+
+    def score(frames):
+        for f in frames:
+            out = []
+            for k in f.to_dict("records"):
+                try:
+                    out.append((scorer(k), None))
+                except Exception as e:  # noqa: BLE001  whatever fails in a scorer concerns its own key only
+                    out.append((None, f"{type(e).__name__}: {e}"[:1000]))
+            yield pd.concat([f.reset_index(drop=True), pd.DataFrame(out, columns=["result", "warning"])], axis=1)
+
+    distinct = rows.select(*key).distinct()
+    types = ", ".join(f"`{c}` {t}" for c, t in distinct.dtypes)
+    scored = distinct.mapInPandas(score, f"{types}, result string, warning string").select(*(F.col(c).alias(f"__{c}") for c in key), "result", "warning")
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    return rows.join(scored, on, "left").select(*rows.columns, "result", "warning")
+
+
 def merge_entities(entities: DataFrame, edges_target: tuple[str, str], actor: str) -> tuple[DataFrame, DataFrame]:
     """(entities, history row): source redirects to target; both must exist, be of one type and not be redirected."""
     source, target = edges_target
@@ -149,6 +175,19 @@ def validate_plan(names: list[str], predicates: list[str], ontology: Ontology =
     return predicates or known
 
 
+def plan_errors(plans: DataFrame, ontology: Ontology = DEFAULT) -> DataFrame:
+    """(question, error, allowed) of plans (question, names, predicates): :func:`validate_plan` for a table of them.
+
+    The first rule that is broken is the error; a sound plan's predicates are those asked for, or all of them.
+    """
+    names, asked = F.coalesce("names", F.array().cast("array<string>")), F.coalesce("predicates", F.array().cast("array<string>"))
+    known = F.array(*(F.lit(r.predicate) for r in ontology.relations))
+    bad_name = F.exists(names, lambda n: ~F.coalesce(F.length(F.trim(n)).between(1, 200), F.lit(False)))
+    error = F.when(F.size(names) > 20, "names").when(bad_name, "name length").when(F.size(asked) > 30, "predicates").when(F.size(F.array_except(asked, known)) > 0, "unknown predicate")
+    allowed = F.when(error.isNull(), F.when(F.size(asked) == 0, known).otherwise(F.array_distinct(asked)))
+    return plans.select("question", error.alias("error"), allowed.alias("allowed"))
+
+
 def seeds(linked: DataFrame, hits: DataFrame, manifests: DataFrame, states: DataFrame, most: int = 10) -> DataFrame:
     """(entity_id, n): linked names first, then ends of the edges that the hits' chunks support; ready documents only."""
     ready = states.filter("status = 'Ready'").select("document_id")

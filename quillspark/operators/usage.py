@@ -136,3 +136,28 @@ def health(rows: DataFrame, now: Column, key: str = "worker") -> DataFrame:
     old = F.col("b.beat_at") <= now - F.expr("INTERVAL 2 MINUTES")
     state = F.when(F.col("b.beat_at").isNull(), "unknown").when(old, "unhealthy").when(F.coalesce(F.col("b.failed"), F.lit(False)) | (F.col("b.expires_at") <= now), "degraded").otherwise("healthy")
     return last.select(key, state.alias("status"))
+
+
+#: Entries of a sketch, and what its published analysis (KLL, 2016, as DataSketches implements it) gives for so many: the rank of a
+#: quantile is off by no more than this share of the rows, with 99 % confidence, however many sketches were merged.
+SKETCH_K, SKETCH_ERROR = 400, 0.0074
+
+
+def quantile_sketches(rows: DataFrame, keys: list[str], column: str, k: int = SKETCH_K) -> DataFrame:
+    """(keys, n, sketch): a few KB for each key, however many rows; they merge, so a day is summed up once."""
+    return rows.filter(F.col(column).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(column).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, shares: list[float]) -> DataFrame:
+    """(p, n, value): approximate quantiles of all that the sketches have seen, without their rows."""
+    one = sketches.agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    each = one.select("n", "sketch", F.explode(F.array(*map(F.lit, shares))).alias("p"))
+    return each.select("p", "n", F.kll_sketch_get_quantile_double("sketch", F.col("p")).alias("value"))
+
+
+def rank_errors(asked: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """(p, n, value, error): how far p is from the exact ranks that the value has in the rows, as a share of them."""
+    few = F.broadcast(asked.agg(F.collect_list(F.struct("p", "n", "value")).alias("__a")))
+    each = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("__x")).join(few, F.lit(True)).select("__x", F.explode("__a").alias("a"))
+    ranks = each.groupBy("a.p", "a.n", "a.value").agg((F.count_if(F.col("__x") < F.col("a.value")) / F.count(F.lit(1))).alias("low"), (F.count_if(F.col("__x") <= F.col("a.value")) / F.count(F.lit(1))).alias("high"))
+    return ranks.select("p", "n", "value", F.greatest(F.col("low") - F.col("p"), F.col("p") - F.col("high"), F.lit(0.0)).alias("error"))

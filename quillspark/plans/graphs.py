@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import access, index, indexing, retrieval, snapshot, state, usage
-from ..operators.graph import DEFAULT, Ontology, Relation, adjacency_page
+from ..operators.graph import adjacency_page, same_types
 from . import tables as T
 from .queries import query
 
@@ -94,11 +95,33 @@ def _(s, d):
     return adjacency_page(T.edges(s, d), s.createDataFrame([("e0000003",)], "id string"), "out", 7)[0].select("assertion_id")
 
 
-@query("g17_ontology_errors", "SELECT unnest(['relations[0]: bad predicate lower', 'relations[0]: unknown type B', 'types[1]: duplicate type A']) AS error")
+@query("g17_ontology_errors", """
+WITH t AS (SELECT s_nationkey AS o, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos, CASE WHEN s_suppkey % 7 = 0 THEN 'bad ' ELSE 'T' END || s_suppkey % 5 AS name FROM supplier),
+k AS (SELECT o, list(DISTINCT name) AS known FROM t GROUP BY 1),
+r AS (SELECT c_nationkey AS o, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos, CASE WHEN c_custkey % 11 = 0 THEN 'lower' ELSE 'P_' || c_custkey % 40 END AS p,
+  CASE WHEN c_custkey % 13 = 0 THEN [] ELSE ['T' || c_custkey % 5] END AS s, ['T' || c_custkey % 6, 'T' || c_custkey % 5] AS ob, c_custkey % 3 = 0 AS sym, c_custkey % 9 = 0 AS anti, c_custkey % 4 = 0 AS same FROM customer),
+f AS (SELECT *, 'relations[' || pos || ']: ' AS w, row_number() OVER (PARTITION BY o, p ORDER BY pos) AS n FROM r)
+SELECT o AS ontology_id, 'types[' || pos || ']: bad name ' || name AS error FROM t WHERE name LIKE 'bad %'
+UNION ALL SELECT o, 'types[' || pos || ']: duplicate type ' || name FROM (SELECT *, row_number() OVER (PARTITION BY o, name ORDER BY pos) AS n FROM t) WHERE n > 1
+UNION ALL SELECT o, w || 'bad predicate ' || p FROM f WHERE p = 'lower' UNION ALL SELECT o, w || 'duplicate predicate ' || p FROM f WHERE n > 1
+UNION ALL SELECT o, w || 'a side without types' FROM f WHERE len(s) = 0
+UNION ALL SELECT o, w || 'a symmetric relation has the same types on both sides' FROM f WHERE sym AND list_sort(list_distinct(s)) <> list_sort(list_distinct(ob))
+UNION ALL SELECT o, w || 'symmetric and antisymmetric' FROM f WHERE sym AND anti
+UNION ALL SELECT o, w || 'one type on both ends, but no type is on both' FROM f WHERE same AND NOT list_has_any(s, ob)
+UNION ALL SELECT o, w || 'unknown type ' || x FROM (SELECT f.o, w, coalesce(known, []) AS known, unnest(list_distinct(s)) AS x FROM f LEFT JOIN k ON k.o = f.o) WHERE NOT list_contains(known, x)
+UNION ALL SELECT o, w || 'unknown type ' || x FROM (SELECT f.o, w, coalesce(known, []) AS known, unnest(list_distinct(ob)) AS x FROM f LEFT JOIN k ON k.o = f.o) WHERE NOT list_contains(known, x)""")
 def _(s, d):
-    """Definitions are plain Python: the query shows the messages of a faulty one."""
-    bad = Ontology("v1", ("A", "A"), (Relation("lower", ("A",), ("B",)),))
-    return s.createDataFrame([(e,) for e in [*bad.errors(), *DEFAULT.errors()]], "error string")
+    """Nations as ontologies: suppliers give types, customers relations, some of them faulty."""
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    place = lambda o, by: (F.row_number().over(Window.partitionBy(o).orderBy(by)) - 1).alias("position")
+    name = lambda x, n: F.concat(F.lit("T"), (x % n).cast("string"))
+    types = T.table(s, d, "supplier").select(F.col("s_nationkey").alias("ontology_id"), place("s_nationkey", k), F.concat(F.when(k % 7 == 0, "bad ").otherwise("T"), (k % 5).cast("string")).alias("name"))
+    relations = T.table(s, d, "customer").select(
+        F.col("c_nationkey").alias("ontology_id"), place("c_nationkey", c), F.when(c % 11 == 0, "lower").otherwise(F.concat(F.lit("P_"), (c % 40).cast("string"))).alias("predicate"),
+        F.when(c % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(name(c, 5))).alias("subjects"), F.array(name(c, 6), name(c, 5)).alias("objects"),
+        (c % 3 == 0).alias("symmetric"), (c % 9 == 0).alias("antisymmetric"), (c % 4 == 0).alias("same_type"),
+    )
+    return snapshot.ontology_errors(types, relations)
 
 
 @query("g21_manual_merge", "SELECT 'e' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS entity_id, CASE WHEN p_partkey = 3 THEN 'e0000005' WHEN p_partkey % 50 = 0 AND p_partkey > 0 THEN 'e' || lpad(CAST(p_partkey - 1 AS VARCHAR), 7, '0') END AS redirect_to FROM part")
@@ -144,7 +167,7 @@ def _(s, d):
 @query("u07_same_types", "SELECT s_suppkey, s_suppkey % 2 = 0 AS same FROM supplier")
 def _(s, d):
     a, b = F.array(F.lit("A"), F.lit("B")), F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("B"), F.lit("A"), F.lit("A"))).otherwise(F.array(F.lit("A")))
-    return T.table(s, d, "supplier").select("s_suppkey", (F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))).alias("same"))
+    return T.table(s, d, "supplier").select("s_suppkey", same_types(a, b).alias("same"))
 
 
 @query("t16_listings", "SELECT s_suppkey FROM supplier ORDER BY lower(s_name), s_suppkey")
@@ -235,34 +258,46 @@ def _(s, d):
     return state.memoized(T.table(s, d, "part").select("p_partkey", "p_type"), ["p_type"], lambda k: k.withColumn("n", F.length("p_type"))).select("p_partkey", "n")
 
 
-@query("p19_changed_packages", "SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0")
+@query("c35_changed_packages", "SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0")
 def _(s, d):
     h = T.table(s, d, "part").select("p_partkey", F.col("p_name").alias("hash"))
     return state.changed_packages(h, h.filter("p_partkey % 4 = 0"), "p_partkey").select("p_partkey")
 
 
 @query("g09_seeds", """
-WITH m AS (SELECT l_orderkey AS k, l_linenumber AS n, 'e' || l_partkey AS a, 'e' || l_suppkey AS b FROM lineitem WHERE l_orderkey <= 30),
-f AS (SELECT a AS e, 1 AS g, k AS r, lpad(CAST(k AS VARCHAR), 4, '0') || '-' || n AS x, 0 AS s FROM m WHERE k % 2 = 0 UNION ALL SELECT b, 1, k, lpad(CAST(k AS VARCHAR), 4, '0') || '-' || n, 1 FROM m WHERE k % 2 = 0 UNION ALL SELECT 'e7', 0, 0, '', 0),
+WITH m AS (SELECT l_orderkey AS k, l_linenumber AS n, 'e' || l_partkey AS a, 'e' || l_suppkey AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)),
+f AS (SELECT a AS e, 1 AS g, k AS r, lpad(CAST(k AS VARCHAR), 9, '0') || '-' || n AS x, 0 AS s FROM m WHERE k % 2 = 0 UNION ALL SELECT b, 1, k, lpad(CAST(k AS VARCHAR), 9, '0') || '-' || n, 1 FROM m WHERE k % 2 = 0 UNION ALL SELECT 'e7', 0, 0, '', 0),
 o AS (SELECT e, min((g, r, x, s)) AS o FROM f GROUP BY 1)
 SELECT e AS entity_id, CAST(row_number() OVER (ORDER BY o, e) AS INTEGER) AS n FROM o ORDER BY o, e LIMIT 10""")
 def _(s, d):
-    m = T.table(s, d, "lineitem").filter("l_orderkey <= 30")
+    m = T.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     k = F.col("l_orderkey")
     ref = lambda c: F.concat(F.lit("e"), F.col(c).cast("string"))
-    manifests = m.select(k.cast("string").alias("document_id"), F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"), F.concat(F.lpad(k.cast("string"), 4, "0"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("assertion_id"), ref("l_partkey").alias("subject_id"), ref("l_suppkey").alias("object_id"))
+    manifests = m.select(k.cast("string").alias("document_id"), F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"), F.concat(F.lpad(k.cast("string"), 9, "0"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("assertion_id"), ref("l_partkey").alias("subject_id"), ref("l_suppkey").alias("object_id"))
     hits = m.select(F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"), k.alias("rank")).distinct()
     states = m.select(k.cast("string").alias("document_id"), F.when(k % 2 == 0, "Ready").otherwise("Failed").alias("status")).distinct()
     linked = s.createDataFrame([("e7", 0)], "entity_id string, position long")
     return state.seeds(linked, hits, manifests, states)
 
 
-@query("a15_after_sweep", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 's2' ELSE 's1' END AS swept FROM supplier")
+@query("st03_after_sweep", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 's2' ELSE 's1' END AS swept FROM supplier")
 def _(s, d):
     t = T.table(s, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, "link").otherwise("").alias("delta_link"), F.lit("s2").alias("scan_id"), F.lit("s1").alias("swept_scan_id"))
     return indexing.after_sweep(t).select("s_suppkey", F.col("swept_scan_id").alias("swept"))
 
 
-@query("p08_model_filter", f"WITH {T.LEDGER} SELECT event_id FROM ledger WHERE model_id = 'view'")
+@query("p13_model_filter", f"WITH {T.LEDGER} SELECT event_id FROM ledger WHERE model_id = 'view'")
 def _(s, d):
     return usage.model_filter(T.ledger(s, d), "view").select("event_id")
+
+
+@query("c40_failed_scorer", "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_brand || '/' || p_size END AS result, CASE WHEN p_size % 5 = 0 THEN 'ValueError: size ' || p_size END AS warning FROM part")
+def _(s, d):
+    """A scorer that fails for some keys: their rows get a warning, the others their result."""
+
+    def scorer(key):
+        if key["p_size"] % 5 == 0:
+            raise ValueError(f"size {key['p_size']}")
+        return f"{key['p_brand']}/{key['p_size']}"
+
+    return state.scored_once(T.table(s, d, "part"), ["p_brand", "p_size"], scorer).select("p_partkey", "result", "warning")

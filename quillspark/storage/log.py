@@ -192,6 +192,37 @@ class LogTable:
         last = lambda fresh: indexing.latest(fresh, key, [*arrival, *(F.desc_nulls_last(c) for c in rest)] or [F.lit(0)])
         return self._rewrite(rows, key, last, batch, deleted, notes)
 
+    def insert(self, rows: DataFrame, key: list[str], batch: tuple[str, int] | None = None) -> State:
+        """Rows whose key the table doesn't have yet are appended, the first to arrive of each; the others change nothing.
+
+        Only the keys of these rows' buckets are read, and no file is rewritten.
+        """
+        stage = f"{self.folder}/stage/{uuid.uuid4().hex}"
+        rows.withColumn(BUCKET, self.bucket_of()).write.parquet(stage)
+        try:
+            fresh = self.spark.read.parquet(stage)
+            touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]
+            rest = [F.asc_nulls_last(c) for c in fresh.columns if c not in (*key, BUCKET)]
+            first = indexing.latest(fresh, key, rest or [F.lit(0)])
+
+            def change(at: State):
+                same = reduce(lambda a, b: a & b, (F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in key))
+                new = first.alias("n").join(self.read(at, touched).select(*key).alias("o"), same, "left_anti")
+                return (self.write_files(new) if touched else []), [], touched
+
+            return self.update(change, batch)
+        finally:
+            files.remove(self.spark, stage)
+
+    def added_by(self, batch: tuple[str, int]) -> DataFrame:
+        """The rows of the files that a batch's version added, newest versions first looked at; none if it isn't in the log."""
+        version = self.state().version
+        while version >= 0 and (entry := self._entry(version)) is not None:
+            if entry["batch"] == list(batch):
+                return self.rows([p for p, _, _ in entry["add"]])
+            version -= 1
+        return self.rows([])
+
     def replace(self, rows: DataFrame, by: list[str], batch: tuple[str, int] | None = None, deleted: str | None = None, notes: dict | None = None) -> State:
         """All rows with these values of ``by`` give way to the new ones, of which there may be several a value; a ``deleted`` one brings none."""
         return self._rewrite(rows, by, lambda fresh: fresh, batch, deleted, notes)

@@ -311,6 +311,53 @@ def test_attachment_status_and_search(spark):
     assert 0 < found.count() <= 10 and index.search_attachments(chunks, links, after, 2, "green").count() == 0 and index.search_attachments(chunks, links, after, 1, " ").count() == 0
 
 
+@pytest.mark.parametrize("direction", ["out", "both"])
+def test_many_questions_equal_one_by_one(spark, direction):
+    """Random graphs with merges, cycles and symmetric edges, and budgets that cut: each question as if it were alone."""
+    import random
+
+    rng = random.Random(direction)
+    name = lambda i: f"e{i:02d}"
+    edges = [(f"a{i:03d}", name(rng.randrange(40)), rng.choice(["DEPENDS_ON", "INTEGRATES_WITH", "OWNED_BY"]), name(rng.randrange(40)), rng.choice(["Asserted"] * 5 + ["Retracted"]), f"d{rng.randrange(5)}", "r1") for i in range(110)]
+    e = spark.createDataFrame(edges, "assertion_id string, subject_id string, predicate string, object_id string, status string, document_id string, document_version string").cache()
+    states = spark.createDataFrame([(f"d{i}", "Ready" if i else "Failed", "r1") for i in range(5)], "document_id string, status string, active_revision string").cache()
+    entities = spark.createDataFrame([(name(i), name(i - 1) if i in (7, 8, 20) else None) for i in range(40)], "entity_id string, redirect_to string").cache()
+    questions = [(q, name(rng.randrange(40)), n) for q in range(5) for n in range(rng.choice([1, 1, 3]))]
+    starts = spark.createDataFrame(questions, "question long, id string, n int")
+    bounds = dict(direction=direction, max_depth=3, max_entities=9, max_assertions=12)
+    found, status = graph.traverse_many(e, states, entities, starts, ["DEPENDS_ON", "INTEGRATES_WITH"], **bounds)
+    rows, told = {}, {r.question: r for r in status.collect()}
+    for r in found.collect():
+        rows.setdefault(r.question, []).append((r.assertion_id, r.depth, r.from_id, r.to_id))
+    ends = set()
+    for q in range(5):
+        one = graph.traverse(e, states, entities, [i for k, i, _ in questions if k == q], ["DEPENDS_ON", "INTEGRATES_WITH"], **bounds)
+        assert sorted(rows.get(q, [])) == sorted(one.edges), q
+        assert (told[q].visited, told[q].assertions, told[q].truncated) == (one.visited, len(one.edges), one.truncated)
+        ends.add(one.truncated)
+    assert ends - {None}
+
+
+def test_authorized_paths_equal_a_fixpoint(spark):
+    import random
+
+    rng = random.Random(8)
+    edges = [(q, f"a{i:02d}", rng.randint(1, 3), f"e{rng.randrange(15)}", f"e{rng.randrange(15)}") for q in range(4) for i in range(14)]
+    edges += [(9, f"c{i}", 3 - i % 3, f"n{i}", f"n{i + 1}") for i in range(6)]  # a way longer than any depth
+    starts = [(q, f"e{q}") for q in range(4)] + [(9, "n0")]
+    got = graph.reachable(spark.createDataFrame(edges, "question long, assertion_id string, depth int, from_id string, to_id string"), spark.createDataFrame(starts, "question long, id string")).collect()
+    want = set()
+    for q, s in starts:
+        known, grown = {s}, True
+        while grown:
+            more = {e[4] for e in edges if e[0] == q and e[3] in known} - known
+            known |= more
+            grown = bool(more)
+        want |= {(q, e[1]) for e in edges if e[0] == q and e[3] in known}
+    assert {(r.question, r.assertion_id) for r in got} == want
+    assert [(r.question, r.depth, r.assertion_id) for r in got] == sorted((r.question, r.depth, r.assertion_id) for r in got)
+
+
 def test_state_functions(spark):
     assert keys.extraction_version("p", "m", "o").startswith("p.o.") and keys.extraction_version("p", "m", "o") != keys.extraction_version("p", "n", "o")
     df = spark.createDataFrame([(" depends  on ", "c", "e", "fp")], "p string, c string, e string, f string")

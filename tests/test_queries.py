@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quillspark.plans import graphs, more, stores  # noqa: F401
+from quillspark.plans import checks, graphs, more, stores  # noqa: F401
 from quillspark.plans import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -274,3 +274,79 @@ def test_a_search_opens_its_terms_buckets_and_skips_slices(spark, tmp_path, monk
     assert [x.key for x in top] == ["k0040", "k0300"] or [x.key for x in top] == ["k0300", "k0040"]
     bounds = [x["bound"] for x in store.bounds(terms, stats, view).collect()]
     assert len(bounds) > 10 and sum(b >= top[-1].score for b in bounds) <= 2
+
+
+def test_rollups_count_late_and_repeated_facts_once(spark, tmp_path):
+    from quillspark.storage.rollups import Rollup, Rollups
+
+    schema = "id long, day int, model string, tokens long"
+    rng = np.random.default_rng(2)
+    facts = [(i, int(rng.integers(1, 6)), None if i % 7 == 0 else f"m{i % 3}", None if i % 5 == 0 else int(rng.integers(0, 100))) for i in range(120)]
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        rows = [f for f in facts if f[0] % 3 == n] + [facts[int(x)] for x in rng.integers(0, 120, 30)]
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("id", "day", "model", "tokens"), r))) for r in rows))
+    out = Rollups(spark, str(tmp_path / "r"), schema, "id", (Rollup("daily", ("day", "model"), ("tokens",)),), 4)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        stream.writeStream.foreachBatch(out.handle("ledger")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+
+    run()
+    want = {}
+    for _, day, model, tokens in facts:
+        a, b = want.get((day, model), (0, 0))
+        want[day, model] = (a + (tokens or 0), b + 1)
+    read = lambda: {(r.day, r.model): (r.tokens, r.facts) for r in out.read("daily").collect()}
+    assert read() == want
+    versions = out.tables["daily"].state().version
+    out.add(spark.createDataFrame(facts[:10], schema), ("ledger", 2))  # a replayed batch
+    assert read() == want and out.tables["daily"].state().version == versions
+    out.facts.insert(spark.createDataFrame([(500, 1, "m0", 7)], schema), ["id"], ("late", 0))  # died between the two tables
+    out.add(spark.createDataFrame([(500, 1, "m0", 7)], schema), ("late", 0))
+    assert read()[1, "m0"] == (want[1, "m0"][0] + 7, want[1, "m0"][1] + 1)
+
+
+def test_publication_repairs_every_interruption(spark, tmp_path):
+    from quillspark.storage.publication import EDGES, STEPS, Publication
+
+    edge = lambda a, d, v: (a, d, v, "s", "DEPENDS_ON", "o", "Asserted")
+    rows = lambda xs: spark.createDataFrame(xs, EDGES)
+    p = Publication(spark, str(tmp_path / "p"), 4)
+    served = lambda: sorted((r.assertion_id, r.document_version) for r in p.served().collect())
+    p.publish(rows([edge("a1", "d1", "r1"), edge("a2", "d1", "r1"), edge("z", "d2", "r1")]), "one")
+    old, other = [("a1", "r1"), ("a2", "r1")], [("z", "r1")]
+    assert served() == old + other
+    for i, step in enumerate(STEPS):
+        new = [(f"b{i}", f"n{i}"), (f"c{i}", f"n{i}")]
+        p.publish(rows([edge(a, "d1", v) for a, v in new]), f"next{i}", until=step)
+        assert served() == (sorted(other + new) if i >= 2 else sorted(old + other))  # never anything between
+        for k in range(2):
+            p.repair(f"repair{i}-{k}")
+        assert served() == (sorted(other + new) if i >= 1 else sorted(old + other))
+        state = {r.document_id: r for r in p.states.read().collect()}["d1"]
+        assert state.pending_revision is None and state.superseded == [] and state.pending_manifest == [] and state.status == "Ready"
+        old = new if i >= 1 else old
+    left = {r.assertion_id: r.status for r in p.edges.read().collect()}
+    assert left["a1"] == "Retracted" and "b0" not in left and left["b4"] == "Asserted"
+
+
+def test_trigrams_search_what_the_plain_search_finds(spark, tmp_path):
+    from quillspark.functions import text
+    from quillspark.storage.trigrams import TrigramIndex, grams_of, required_runs
+
+    assert required_runs(r"foo\.bar+baz") == ["foo.bar", "baz"] and required_runs("abc|def") == [] and required_runs("abcd?xyz") == ["abc", "xyz"]
+    assert required_runs("(abc)*def[xyz]ghi") == ["def", "ghi"] and required_runs("ab{2}cdefg") == ["cdefg"] and required_runs(r"(?i)abc") == [] and required_runs(r"\bword\d+") == ["word"]
+    assert grams_of(["LICe", "ab"]) == ["ice", "lic"] and grams_of(["İstanbul"]) == grams_of(["stanbul"])
+    rng = np.random.default_rng(5)
+    words = ["alpha", "Beta", "gamma", "straße", "x", "e-mail", "λόγος"]
+    docs = [(i, "\n".join(" ".join(rng.choice(words, 5)) for _ in range(4)) + ("\nNeedle in line 7" if i % 40 == 3 else "")) for i in range(120)] + [(900, None), (901, ""), (902, "needle\0binary")]
+    df = spark.createDataFrame(docs, "file long, text string")
+    index = TrigramIndex(spark, str(tmp_path / "t"), buckets=4, text_buckets=8)
+    index.build(df)
+    for pattern, regex, ignore in (("needle", False, True), ("Needle", False, False), (r"need\w+ in line [0-9]", True, True), ("a beta", False, True), ("x", False, True), ("(alpha|beta) x", True, True), ("λόγος λόγος", False, True), ("STRASSE", False, True), ("nowhere", False, True)):
+        want = text.grep(df, ["file"], "text", pattern, regex=regex, ignore_case=ignore)[0]
+        got, searched = index.grep(pattern, regex, ignore)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()], pattern
+        if "need" in pattern.lower():
+            assert searched.count() <= 4
