@@ -28,7 +28,7 @@ def _cited(s, d):
     other = F.when(o % 59 == 0, F.col("l_partkey")).otherwise(F.col("l_partkey") + n * i)
     rows = rows.withColumn("q", other).filter(F.col("q") <= most)
     rows = rows.select(
-        doc(F.col("l_partkey")).alias("document_id"), (o * 10 + i).cast("int").alias("position"), o.alias("o"),
+        doc(F.col("l_partkey")).alias("document_id"), (o * 10 + i).alias("position"), o.alias("o"),
         F.when(o % 47 == 0, "system:none").otherwise(ref(F.col("l_partkey"))).alias("subject_id"), ref(F.col("q")).alias("object_id"),
         F.when(o % 53 == 0, "LIKES").when(i % 3 == 0, "INTEGRATES_WITH").otherwise("DEPENDS_ON").alias("predicate"),
         F.concat(F.lit("c"), o.cast("string"), F.lit("-"), i.cast("string")).alias("c"),
@@ -47,7 +47,7 @@ def _cited(s, d):
     k = F.col("o_orderkey")
     own = k % n + n * (k % 3)
     resolutions = T.table(s, d, "orders").select("o_orderkey").distinct().select(
-        doc(own).alias("document_id"), k.cast("int").alias("position"), F.when(k % 11 == 0, "a/b").otherwise(F.concat(F.lit("r"), k.cast("string"))).alias("local_ref"),
+        doc(own).alias("document_id"), k.alias("position"), F.when(k % 11 == 0, "a/b").otherwise(F.concat(F.lit("r"), k.cast("string"))).alias("local_ref"),
         F.when(k % 13 == 0, "x:none").otherwise(ref(own)).alias("entity_id"), F.when(k % 17 == 0, "Guess").otherwise("Alias").alias("method"),
         F.when(k % 19 == 0, F.lit(None)).when(k % 23 == 0, F.array_repeat(F.lit("system:1"), 11)).otherwise(F.array(F.lit("system:1"))).alias("candidates"),
     )

@@ -99,15 +99,15 @@ def _(s, d):
 WITH t AS (SELECT s_nationkey AS o, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos, CASE WHEN s_suppkey % 7 = 0 THEN 'bad ' ELSE 'T' END || s_suppkey % 5 AS name FROM supplier),
 k AS (SELECT o, list(DISTINCT name) AS known FROM t GROUP BY 1),
 r AS (SELECT c_nationkey AS o, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos, CASE WHEN c_custkey % 11 = 0 THEN 'lower' ELSE 'P_' || c_custkey % 40 END AS p,
-  CASE WHEN c_custkey % 13 = 0 THEN [] ELSE ['T' || c_custkey % 5] END AS s, ['T' || c_custkey % 6, 'T' || c_custkey % 5] AS ob, c_custkey % 3 = 0 AS sym, c_custkey % 9 = 0 AS anti, c_custkey % 4 = 0 AS same FROM customer),
+  CASE WHEN c_custkey % 13 = 0 THEN [] ELSE ['T' || c_custkey % 5] END AS s, ['T' || c_custkey % 6, 'T' || c_custkey % 5] AS ob, c_custkey % 3 = 0 AS sy, c_custkey % 9 = 0 AS an, c_custkey % 4 = 0 AS sa FROM customer),
 f AS (SELECT *, 'relations[' || pos || ']: ' AS w, row_number() OVER (PARTITION BY o, p ORDER BY pos) AS n FROM r)
 SELECT o AS ontology_id, 'types[' || pos || ']: bad name ' || name AS error FROM t WHERE name LIKE 'bad %'
 UNION ALL SELECT o, 'types[' || pos || ']: duplicate type ' || name FROM (SELECT *, row_number() OVER (PARTITION BY o, name ORDER BY pos) AS n FROM t) WHERE n > 1
 UNION ALL SELECT o, w || 'bad predicate ' || p FROM f WHERE p = 'lower' UNION ALL SELECT o, w || 'duplicate predicate ' || p FROM f WHERE n > 1
 UNION ALL SELECT o, w || 'a side without types' FROM f WHERE len(s) = 0
-UNION ALL SELECT o, w || 'a symmetric relation has the same types on both sides' FROM f WHERE sym AND list_sort(list_distinct(s)) <> list_sort(list_distinct(ob))
-UNION ALL SELECT o, w || 'symmetric and antisymmetric' FROM f WHERE sym AND anti
-UNION ALL SELECT o, w || 'one type on both ends, but no type is on both' FROM f WHERE same AND NOT list_has_any(s, ob)
+UNION ALL SELECT o, w || 'a symmetric relation has the same types on both sides' FROM f WHERE sy AND list_sort(list_distinct(s)) <> list_sort(list_distinct(ob))
+UNION ALL SELECT o, w || 'symmetric and antisymmetric' FROM f WHERE sy AND an
+UNION ALL SELECT o, w || 'one type on both ends, but no type is on both' FROM f WHERE sa AND NOT list_has_any(s, ob)
 UNION ALL SELECT o, w || 'unknown type ' || x FROM (SELECT f.o, w, coalesce(known, []) AS known, unnest(list_distinct(s)) AS x FROM f LEFT JOIN k ON k.o = f.o) WHERE NOT list_contains(known, x)
 UNION ALL SELECT o, w || 'unknown type ' || x FROM (SELECT f.o, w, coalesce(known, []) AS known, unnest(list_distinct(ob)) AS x FROM f LEFT JOIN k ON k.o = f.o) WHERE NOT list_contains(known, x)""")
 def _(s, d):

@@ -175,7 +175,7 @@ def _(s, d):
     return over_limit(used, T.users(s, d), "user_id")
 
 
-@query("a29_day_sketches", f"WITH {T.LEDGER} SELECT unnest([0.05, 0.5, 0.95, 0.99]) AS p, (SELECT count(*) FROM ledger WHERE duration_seconds IS NOT NULL) AS n, TRUE AS within")
+@query("a29_day_sketches", f"WITH {T.LEDGER} SELECT CAST(unnest([0.05, 0.5, 0.95, 0.99]) AS DOUBLE) AS p, (SELECT count(*) FROM ledger WHERE duration_seconds IS NOT NULL) AS n, TRUE AS within")
 def _(s, d):
     """Quantiles from each day's sketch, merged: how far their ranks are from those asked for, against the sketch's bound."""
     ledger = T.ledger(s, d)
@@ -224,17 +224,17 @@ def _(s, d):
 
 
 def _published(s: SparkSession, d: str) -> tuple[Publication, DataFrame, DataFrame]:
-    """Twenty documents in their first revision, and their second, which keeps the dependencies under new names."""
+    """Orders as documents in their first revision, and their second, which keeps the dependencies under new names."""
     p = Publication(s, scratch(s, "publication"), 8)
-    e = T.edges(s, d).select("assertion_id", "document_id", F.lit("r1").alias("document_version"), "subject_id", "predicate", "object_id", F.lit("Asserted").alias("status"))
+    e = T.edges(s, d).select("assertion_id", F.concat(F.lit("d"), F.substring("assertion_id", 2, 9)).alias("document_id"), F.lit("r1").alias("document_version"), "subject_id", "predicate", "object_id", F.lit("Asserted").alias("status"))
     p.publish(e, "first")
     fresh = e.filter("predicate = 'DEPENDS_ON'").withColumns({"assertion_id": F.concat(F.lit("b"), "assertion_id"), "document_version": F.lit("r2")})
     return p, e, fresh
 
 
 @query("g18_interrupted_publication", f"""
-WITH {T.EDGES}, n AS (SELECT *, CAST(substr(document_id, 2) AS INTEGER) % 6 AS step FROM edges)
-SELECT assertion_id, document_id, 'r1' AS document_version FROM n WHERE step <= 1
+WITH {T.EDGES}, n AS (SELECT assertion_id, predicate, 'd' || substr(assertion_id, 2, 9) AS document_id, CAST(substr(assertion_id, 2, 9) AS INTEGER) % 6 AS step, bool_or(predicate = 'DEPENDS_ON') OVER (PARTITION BY substr(assertion_id, 2, 9)) AS dep FROM edges)
+SELECT assertion_id, document_id, 'r1' AS document_version FROM n WHERE step <= 1 OR NOT dep
 UNION ALL SELECT 'b' || assertion_id, document_id, 'r2' FROM n WHERE step > 1 AND predicate = 'DEPENDS_ON'""")
 def _(s, d):
     """The second revision is interrupted behind each step, for some documents before the first, and then repaired: old or new edges, whole."""
@@ -253,8 +253,8 @@ def _(s, d):
     return index.grep("LICENSED")[0].select(F.col("file").alias("doc_id"), "line_number", "line")
 
 
-@query("c20_trigram_regex", "SELECT doc_id, CAST(n AS INTEGER) AS line_number, left(l, 500) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE regexp_matches(l, '(?i)licensed\\s+under\\s+\\w+ [0-9.]+') ORDER BY doc_id, n LIMIT 1000")
+@query("c20_trigram_regex", "SELECT doc_id, CAST(n AS INTEGER) AS line_number, left(l, 500) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE regexp_matches(l, '(?i)licensed\\s+under\\s+(the|CC)\\s.*[0-9]\\.[0-9]') ORDER BY doc_id, n LIMIT 1000")
 def _(s, d):
     index = TrigramIndex(s, scratch(s, "trigrams"))
     index.build(T.table(s, d, "documents").select(F.col("doc_id").alias("file"), "text"))
-    return index.grep(r"licensed\s+under\s+\w+ [0-9.]+", regex=True)[0].select(F.col("file").alias("doc_id"), "line_number", "line")
+    return index.grep(r"licensed\s+under\s+(the|CC)\s.*[0-9]\.[0-9]", regex=True)[0].select(F.col("file").alias("doc_id"), "line_number", "line")
