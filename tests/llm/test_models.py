@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import op4_katz
+from quillspark.llm import common, op4_katz
 from quillspark.llm.common import crc_remainder
 from quillspark.llm.op2_language import _MIX, BUCKETS, GRAMS, fit, identify, normalized, op2_language, train
 from quillspark.llm.op4_katz import score
@@ -180,6 +181,29 @@ def test_katz_query_keeps_all_grams(spark, tmp_path):
     assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-9)
 
 
+def test_katz_keeps_few_bytes_a_position(spark, tmp_path, monkeypatch):
+    """All tables of a run, on texts in which nearly every gram of two and three words is new."""
+    for module in (common, op4_katz):
+        monkeypatch.setattr(module, "shared_dir", lambda _, name: f"file://{tmp_path}/{name}-{time.time_ns()}", raising=False)
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(100)]
+    got = score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") % 7 != 2).collect()
+    held = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert sum(r.n_tokens for r in got) == 40_100 and held < 10 * 40_100
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_words_of_many_positions_are_split(spark, order):
+    """The word before most tokens, in several buckets, with rare, common and unknown tokens behind it."""
+    rng = random.Random(9)
+    rows = [(i, i % 4 == 0, " ".join(x for _ in range(rng.randint(0, 25)) for x in (f"v{rng.randrange(5)}", "the", f"w{int(rng.paretovariate(0.6))}"))) for i in range(90)]
+    got = score(spark.createDataFrame(rows, "doc_id long, held boolean, text string"), ~F.col("held"), order=order, frequent=20).collect()
+    want = brute(rows, order)[0]
+    have = sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
+    assert [r[:3] for r in have] == [r[:3] for r in want]
+    assert np.allclose([r[3:] for r in have], [r[3:] for r in want], rtol=1e-9)
+
+
 def test_katz_without_training(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = score(df, F.lit(False)).first()
