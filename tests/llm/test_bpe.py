@@ -32,6 +32,17 @@ def test_encoding_equals_library(tok):
         assert coder.decode(got) == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_frequent_pieces_stay_known(tok):
+    """A full cache loses what is met no more, and never a piece of every text."""
+    coder = bpe.Bpe(bpe.default_path(), cache_entries=50)
+    first = coder.learn({" the"})[" the"]
+    for i in range(40):
+        for p, ids in coder.learn({" the", *(f" {i}x{j}é" for j in range(7))}).items():
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(p, add_special_tokens=False).ids
+        assert coder.learn({" the"})[" the"] is first
+    assert len(coder.cache) + len(coder.older) <= 50
+
+
 @pytest.mark.parametrize("leaf", [1, 2, 3, 7, 64])
 def test_parts_join_exactly(tok, leaf):
     coder = bpe.Bpe(bpe.default_path())
