@@ -52,6 +52,8 @@ WIDTH = 8192
 LOT = 250_000
 #: Queries of a group in one task.
 QUERIES = 512
+#: Rows and bytes of an Arrow batch. The JVM holds each batch outside its heap several times over, for every Python worker of a stage.
+ROWS, BYTES = 250, 4 << 20
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -438,7 +440,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (different sets) that the document's class is linked with.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(spark, ROWS, BYTES)
     buckets = 2 * parallelism(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     survey = spark.read.schema("doc_id long, cid long, n long, keys array<long>, bucket int, data binary, kind int").parquet(_surveyed(src, k, threshold, buckets))

@@ -1,6 +1,8 @@
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import op9_jaccard as op9
 from quillspark.llm.components import components
@@ -104,3 +106,15 @@ def test_long_words_are_told_apart(spark):
     rows = [(i, mark(n, f)) for i, (n, f) in enumerate((n, f) for n in (8, 16, 128, 136, 1024, 4096) for f in (0, 1))]
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.component_id == r.doc_id for r in got)
+
+
+def test_batches_of_long_sets_are_small(spark):
+    """Sets of 100 KB, in the batches that the operator's plans pass to workers."""
+    jaccard_components(spark.createDataFrame([(1, "a b c d"), (2, "a b c e")], "doc_id long, text string")).collect()
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    sets = spark.range(0, 200, 1, 1).select(F.expr("cast(repeat('x', 100000) as binary)").alias("items"))
+    assert max(r.n for r in sets.mapInArrow(sizes, "n long").collect()) <= 5 << 20
