@@ -21,8 +21,8 @@ the bucket says which row asks for which token, and what the distinct ones behin
 
 Words are hashed to 64 bits, as are grams: a gram is the pair of its history and its last word.
 
-Defined results: a null or empty text is its end token alone; null ids count as training documents;
-repeated rows stay and count; with no training document every token is unknown with probability one; of equally frequent tokens the
+Defined results: a null or empty text is its end token alone; null ids count as training documents; a null
+``learn`` is no training and stays null; repeated rows stay and count; with no training document every token is unknown with probability one; of equally frequent tokens the
 least are broadcast; very long texts are taken in slices of rows, each whole; an empty table gives no row; other columns are not read.
 """
 
@@ -231,7 +231,7 @@ def dealt(shared, order: int, base_unknown: float = 0.0, rows: bool = True) -> C
                     numbers = np.arange(count) + row
                     spread = (H.mix(numbers.view(H.U64)) % H.U64(places.buckets)).astype(np.int32)
                     yield frame(RECORD, count, bucket=spread, kind=np.full(count, ROWS, np.int32), row=numbers, doc_id=part.column(0), held_out=part.column(1), n=np.diff(bounds), known=np.bincount(who[known], minlength=count), base=base)
-                learn = ~part.column(1).to_numpy(zero_copy_only=False)
+                learn = ~part.column(1).fill_null(True).to_numpy(zero_copy_only=False)
                 at = (((who + (row - first)) << 1) | learn[who]).astype(np.uint32) if rows else np.ones(len(token), np.uint32)
                 starts, code, before, codes, further = bounds[:-1], tokens.code(i, hit), token, [], []
                 codes.append(code)
@@ -326,7 +326,7 @@ def vocabulary(src: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b in H.slices(batch.column(1), 1 << 19):
                 token, bounds = tokens_of(batch.column(1).slice(a, b - a))
-                learn = ~batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
+                learn = ~batch.column(0).slice(a, b - a).fill_null(True).to_numpy(zero_copy_only=False)
                 held.append((token, np.repeat(learn, np.diff(bounds))))
                 size += len(token)
                 if size >= 4 * FLUSH:

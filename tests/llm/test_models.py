@@ -204,6 +204,12 @@ def test_katz_words_of_many_positions_are_split(spark, order):
     assert np.allclose([r[3:] for r in have], [r[3:] for r in want], rtol=1e-9)
 
 
+def test_katz_null_learn_is_no_training(spark):
+    rows = [(1, False, "a b c a b"), (2, True, "a b d"), (3, None, "a b d")]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, held boolean, text string"), ~F.col("held")).collect()}
+    assert [got[i].held_out for i in (1, 2, 3)] == [False, True, None] and got[3].train_tokens == 6 and got[2][2:] == got[3][2:]
+
+
 def test_katz_without_training(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = score(df, F.lit(False)).first()
