@@ -8,8 +8,9 @@ smallest id represents.  The join finds which classes are linked:
    result; a good one is cheaper.
 2. Matrix.  Each group's token union and its range of sizes is a row of a table.
 3. Candidates.  Two sets of the wanted similarity share one of their first n - ceil(threshold * n) + 1 shingles
-   in any fixed order, so only groups whose members share such a shingle can hold a link; frequent shingles
-   come last in the order (at most ``max_common`` are broadcast; they change the cost, never the result).
+   in any fixed order, and ``SHARED`` of so many and ``SHARED`` - 1 more (or all that they share), so only groups
+   that share as many can hold a link; frequent shingles come last in the order (at most ``max_common`` are
+   broadcast; they change the cost, never the result).
    What meets are groups and shingles: copies and near copies of a text are one posting.
 4. Bound.  Of two such groups the members of the smaller one are queries; how many shingles of a query the
    other group's union holds bounds its overlap with any member.  Queries that the bound rules out are done.
@@ -52,6 +53,8 @@ WIDTH = 8192
 LOT = 250_000
 #: Queries of a group in one task.
 QUERIES = 512
+#: Shingles that two groups must share to be compared: one is shared by chance, and chance grows with the square of the groups.
+SHARED = 4
 #: Rows and bytes of an Arrow batch. The JVM holds each batch outside its heap several times over, for every Python worker of a stage.
 ROWS, BYTES = 250, 4 << 20
 
@@ -158,7 +161,10 @@ def _common_shingles(counts: DataFrame, common: int, most: int) -> np.ndarray:
 
 
 def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, popular: dict[int | None, tuple[int, int]], buckets: int) -> DataFrame:
-    """Distinct pairs (g, h), g < h, of groups whose members share a prefix shingle and may be similar by size and place.
+    """Distinct pairs (g, h), g < h, of groups whose members share SHARED prefix shingles and may be similar by size and place.
+
+    Two sets that have ``o`` shingles in common share min(o, SHARED) of their first prefix_length + SHARED - 1.  What two groups share is
+    counted over all buckets; a shingle counts for SHARED where members are so small that fewer in common may be enough.
     """
     shared = src.sparkSession.sparkContext.broadcast((common, popular))
 
@@ -187,7 +193,7 @@ def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, popu
                 if not n or cid in seen:
                     continue
                 seen.add(cid)
-                group, p = group_of(x[:KEYS].view(np.int64).tolist(), cid, keyed), prefix_length(n, threshold)
+                group, p = group_of(x[:KEYS].view(np.int64).tolist(), cid, keyed), min(n, prefix_length(n, threshold) + SHARED - 1)
                 if len(last):
                     rare = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] != x
                     mine = x[rare][:p]
@@ -205,32 +211,34 @@ def _candidates(src: DataFrame, k: int, threshold: int, common: np.ndarray, popu
         most = least.astype(np.int64) + extra
         token, group, least, most, left = collapsed(token, group, least.astype(np.int64), most, most - before)
         edges = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
-        out = [np.zeros((2, 0), np.int64)]
+        out = [np.zeros((3, 0), np.int64)]
 
-        def may(i, j):
-            """Whether sizes are near enough and, were this the first shingle that two members share, enough is left behind it."""
+        def pair_up(i, j):
+            """Pairs whose sizes are near enough and, were this one of the first SHARED shingles that two members share, enough is left behind it."""
             a, b = np.maximum(least[i], -(-threshold * least[j] // 100)), np.maximum(least[j], -(-threshold * least[i] // 100))
-            return (a <= most[i]) & (b <= most[j]) & (np.minimum(left[i], left[j]) * (100 + threshold) >= threshold * (a + b))
+            need = threshold * (a + b)
+            ok = (a <= most[i]) & (b <= most[j]) & ((np.minimum(left[i], left[j]) + SHARED - 1) * (100 + threshold) >= need)
+            weight = np.where((SHARED - 1) * (100 + threshold) >= need, SHARED, 1)
+            out.append(np.stack([np.broadcast_to(group[i], ok.shape)[ok], group[j][ok], weight[ok]]))
 
         size = np.diff(edges)
         two = edges[:-1][size == 2]
-        two = two[may(two, two + 1)]
-        out.append(np.stack([group[two], group[two + 1]]))
+        pair_up(two, two + 1)
         for s, e in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist()):
             for i in range(s, e - 1):  # each group against the later ones of its postings
-                j = np.arange(i + 1, e)
-                j = j[may(i, j)]
-                out.append(np.stack([np.full(len(j), group[i]), group[j]]))
-        pairs = np.concatenate(out, axis=1)
-        pairs = np.sort(pairs, axis=0)
-        order = np.lexsort((pairs[1], pairs[0]))
-        pairs = pairs[:, order]
-        fresh = np.ones(pairs.shape[1], bool)
-        fresh[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
-        return pd.DataFrame({"g": pairs[0][fresh], "h": pairs[1][fresh]})
+                pair_up(i, np.arange(i + 1, e))
+        *pairs, weight = np.concatenate(out, axis=1)
+        low, high = np.minimum(*pairs), np.maximum(*pairs)
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        fresh = np.ones(len(low), bool)
+        fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        first = np.flatnonzero(fresh)
+        return pd.DataFrame({"g": low[first], "h": high[first], "c": np.add.reduceat(weight[order], first) if len(first) else weight})
 
     shipped = src.mapInArrow(ship, "bucket int, data binary")
-    found = written(shipped.groupBy("bucket").applyInPandas(meet, "g long, h long").distinct(), "jaccard-candidates")
+    met = shipped.groupBy("bucket").applyInPandas(meet, "g long, h long, c long").groupBy("g", "h").agg(F.sum("c").alias("c"))
+    found = written(met.filter(F.col("c") >= SHARED).select("g", "h"), "jaccard-candidates")
     shared.destroy()
     return found
 

@@ -86,6 +86,28 @@ def test_link_counts_equal_brute_force(spark, monkeypatch, kw):
     assert all(n == 19 for d, _, n in got if d >= 1000 or d == 1030) or threshold == 60
 
 
+def test_unlike_texts_with_a_shingle_in_common_do_not_meet(spark, monkeypatch):
+    """Shingles that texts share by chance made a pair of each two; such pairs grow with the square of the texts."""
+    met, candidates = [], op9._candidates
+    monkeypatch.setattr(op9, "_candidates", lambda *a: met.append(candidates(*a)) or met[-1])
+    rng = random.Random(8)
+    phrase = "one shingle of all"
+    rows = [(i, " ".join([phrase] + [f"w{rng.randrange(10**6)}" for _ in range(60)])) for i in range(20)]
+    rows += [(100 + i, t.replace(phrase, "own start")) for i, (_, t) in enumerate(rows[:5])]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), threshold=50).collect()
+    assert sorted(r[:3] for r in map(tuple, got)) == brute(rows, threshold=50)
+    assert met[0].count() <= 5
+
+
+@pytest.mark.parametrize("shared,threshold", [(2, 85), (9, 40)])
+def test_few_shingles_in_common_are_enough_for_small_sets(spark, monkeypatch, shared, threshold):
+    monkeypatch.setattr(op9, "SHARED", shared)
+    rng = random.Random(shared)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(3, 14)))) for i in range(120)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), threshold=threshold, common=6).collect()
+    assert sorted(r[:3] for r in map(tuple, got)) == brute(rows, threshold=threshold)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
