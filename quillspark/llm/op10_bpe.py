@@ -72,24 +72,24 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.loaded(tokenizer)
         for batch in batches:
-            ids, counts = [], []
+            ids, edges = [], []
             for text in batch.column("leaf").to_pylist():
                 pieces = coder.pieces(text)
                 known = coder.learn(set(pieces))
                 own = [known[p] for p in pieces]
                 ids.append(b"".join(own))
-                counts.append(np.array([len(x) // 4 for x in own], "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "leaf_no", "leaf")), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "key", "leaf_no", "leaf", "ids", "counts"])
+                edges.append(coder.edges(pieces, own))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "leaf_no", "leaf")), pa.array(ids, pa.binary()), pa.array(edges, pa.binary())], ["doc_id", "key", "leaf_no", "leaf", "ids", "edges"])
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         """One long document: its leaves, pairwise joined; equal rows of the input repeat their leaves."""
         coder = bpe.loaded(tokenizer)
         copies = int((pdf["leaf_no"] == 0).sum())
         pdf = pdf.drop_duplicates("leaf_no").sort_values("leaf_no")
-        level = [coder.part(*row) for row in zip(pdf["leaf"], pdf["ids"], pdf["counts"])]
+        level = [coder.part(*row) for row in zip(pdf["leaf"], pdf["ids"], pdf["edges"])]
         while len(level) > 1:
             level = [coder.concat(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        ids = np.array([i for _, own in level[0] for i in own], "<u4").tobytes()
+        ids = coder.flat(level[0])
         doc_id = pdf["doc_id"].iloc[0]
         rows = [(None if pd.isna(doc_id) else int(doc_id), *finish(coder, ids))] * copies
         return pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
@@ -101,7 +101,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         .select("doc_id", "key", "text")
         .mapInArrow(cut_up, "doc_id long, key string, leaf_no int, leaf string")
         .repartition(F.col("key"), F.col("leaf_no"))
-        .mapInArrow(leaves, "doc_id long, key string, leaf_no int, leaf string, ids binary, counts binary")
+        .mapInArrow(leaves, "doc_id long, key string, leaf_no int, leaf string, ids binary, edges binary")
         .groupBy("key")
         .applyInPandas(tree, out)
     )

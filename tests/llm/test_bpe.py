@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from quillspark.llm import bpe
@@ -59,6 +60,40 @@ def test_parts_join_exactly(tok, leaf):
         assert [i for _, own in level[0] for i in own] == tok.encode(t, add_special_tokens=False).ids, (leaf, t[:60])
 
 
+@pytest.mark.parametrize("leaf,edge", [(9, 1), (64, 2), (300, 4), (300, 16)])
+def test_leaves_join_at_their_edges(tok, monkeypatch, leaf, edge):
+    """Only the pre-tokens at a leaf's ends are taken apart again, unless a join needs the others."""
+    monkeypatch.setattr(bpe, "EDGE", edge)
+    coder = bpe.Bpe(bpe.default_path())
+    plain = "the cat's 12 hats, " * 150
+    for t in [*texts(), plain]:
+        if coder.has_special(t) or not t:
+            continue
+        level = []
+        for i in range(0, len(t), leaf):
+            pieces = coder.pieces(t[i : i + leaf])
+            own = [coder.learn({p})[p] for p in pieces]
+            level.append((t[i : i + leaf], b"".join(own), coder.edges(pieces, own)))
+        taken = []
+        with monkeypatch.context() as m:
+            m.setattr(coder, "pieces", lambda x: taken.append(len(x)) or bpe.Bpe.pieces(coder, x))
+            level = [coder.part(*row) for row in level]
+            while len(level) > 1:
+                level = [coder.concat(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        assert np.frombuffer(coder.flat(level[0]), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, (leaf, t[:60])
+        assert t != plain or leaf < 300 or sum(taken) < len(t) // 2
+
+
+def test_split_of_near_texts_equals_the_published_pattern():
+    rng = random.Random(9)
+    near = bpe.near_split().findall
+    published = regex.compile(bpe.PRE_TOKEN).findall
+    letters = "".join(map(chr, range(0x250))) + "' \n\x85\xa0" * 30 + "strevmld19" * 10
+    for _ in range(3000):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(1, 40)))
+        assert near(t) == published(t), t
+
+
 def test_join_of_unsplit_text(tok):
     rng = random.Random(3)
     coder = bpe.Bpe(bpe.default_path())
