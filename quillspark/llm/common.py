@@ -18,6 +18,8 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Rows that go to a Python worker at once; texts are a few KB, so a batch is a few MB.
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
+#: Rows of a table of keys that any join may broadcast.
+FEW = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +81,12 @@ def discard(df: DataFrame) -> None:
 def joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Left join of ``rows`` (cheap to read repeatedly) with ``table``, which has one row for each key.
 
-    Keys with over a fourth of a partition's share of the rows are fewer than four times the partitions: their rows of the
-    table are broadcast, and only the others are shuffled, so no key fills a task.
+    A table of at most FEW rows is broadcast whole.  Of a larger one, keys with over a fourth of a partition's share of the
+    rows are fewer than four times the partitions: their rows of the table are broadcast, and only the others are shuffled,
+    so no key fills a task.
     """
+    if table.count() <= FEW:
+        return rows.join(F.broadcast(table), key, "left")
     per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__k"))
     hot = rows.count() // (4 * parallelism(rows.sparkSession))
     hot = F.broadcast(written(per_key.filter((F.col("__k") > hot) & F.col(key).isNotNull()).select(key), "hot-keys"))

@@ -14,7 +14,8 @@ the distance's logarithm, merged before the shuffle: a group of any size costs a
 and no result depends on the order of rows.  Groups of under ``least`` documents are pooled by
 language, and then all together; with fewer than ``least`` in the end nothing is rejected by the method.
 Every larger group keeps its own model, however many there are: above ``max_models`` the tables of groups and
-models are joined by a shuffle, salted against large groups, instead of a broadcast.
+models are joined by a shuffle, salted against large groups, instead of a broadcast.  Up to there the models' estimates, which are
+few rows, pass from step to step as local rows, and as many tasks make them as there are models to fill.
 
 A variance below its floor is raised to it, so that a statistic that is the same in nearly all documents
 leaves no singular covariance; above the floor the estimates of the group decide alone.
@@ -42,6 +43,8 @@ FLOORS = (0.25, 0.1, 0.05, 0.05, 0.05)
 SHARE = 0.75
 #: Parts of a group where its model is joined by a shuffle.
 SALTS = 16
+#: Models' sums in a task, where all models are few rows.
+KEYS = 4
 #: Bins of the logarithm of the squared distance.
 BINS = 64
 
@@ -154,6 +157,11 @@ def _joined(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, how
     return rows.alias("r").join(table.alias("t"), same, how).select("r.*", *(f"t.{c}" for c in table.columns if c not in keys)).drop("__salt")
 
 
+def _held(table: DataFrame, name: str, small: bool) -> DataFrame:
+    """A table of models, computed once: small ones are local rows, since files and stages for each step's few rows cost the driver more."""
+    return table.sparkSession.createDataFrame(table.toArrow(), table.schema) if small else written(table, name)
+
+
 #: Starts of the concentration steps: scaled deviations, and the floors alone (distances from the medians in fixed units).
 STARTS = 2
 
@@ -164,10 +172,13 @@ def robust_fit(scored: DataFrame, steps: int = 10, share: float = SHARE, small:
     All starts run side by side, until no determinant falls any more (``steps`` at most); for each model
     the start with the least determinant is its estimate.
     """
-    pool = scored.select("model", *FEATURES)
+    pool = written(scored.select("model", *FEATURES), "mcd-pool")
     # Values are integers of a bounded range, so an exact median needs few counters.
     mid = [F.percentile(x, F.lit(0.5)).alias(f"m{j}") for j, x in enumerate(FEATURES)]
-    centre = written(pool.groupBy("model").agg(*mid), "mcd-centre")
+    centre = _held(pool.groupBy("model").agg(*mid), "mcd-centre", small)
+    # As many tasks as there are keys to fill, however many partitions a shuffle has.
+    most = math.ceil(STARTS * max(1, centre.count()) / KEYS)
+    fitted = lambda table, name: _held(table.coalesce(most) if small else table, name, small)
     spread = _joined(pool, centre, ["model"], small).groupBy("model", *(f"m{j}" for j in range(P)))
     spread = spread.agg(*(F.percentile(F.abs(F.col(x) - F.col(f"m{j}")), F.lit(0.5)).alias(f"d{j}") for j, x in enumerate(FEATURES)))
     floor = [F.lit(v**2) for v in FLOORS]
@@ -176,7 +187,7 @@ def robust_fit(scored: DataFrame, steps: int = 10, share: float = SHARE, small:
     variance = [F.when(F.col("start") == 0, F.greatest(deviation(j), floor[j])).otherwise(floor[j]).alias(f"c{j}{j}") for j in range(P)]
     zero = [F.lit(0.0).alias(f"c{i}{j}") for i in range(P) for j in range(i)]
     keys = ["model", "start"]
-    state = written(_factor(both.select(*keys, *((F.col(f"m{j}") / UNIT).alias(f"m{j}") for j in range(P)), *variance, *zero), keys), "mcd-state")
+    state = fitted(_factor(both.select(*keys, *((F.col(f"m{j}") / UNIT).alias(f"m{j}") for j in range(P)), *variance, *zero), keys), "mcd-state")
     q = chi2_quantile(share, P)
     factor = share / chi2_cdf(q, P + 2)
     dec = lambda c: c.cast("decimal(20,0)")
@@ -184,20 +195,18 @@ def robust_fit(scored: DataFrame, steps: int = 10, share: float = SHARE, small:
     total += [F.sum(dec(F.col(FEATURES[i]) * F.col(FEATURES[j]))).cast("decimal(20,0)").alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]
     pool = pool.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
     for step in range(steps):
-        binned = _distance(_joined(pool, state, keys, small)).select(*keys, *FEATURES, F.floor(F.log(F.col("d2") + 1e-9) * BINS).alias("bin"))
-        counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"))
-        w = Window.partitionBy(*keys)
-        run = counts.withColumn("upto", F.sum("k").over(w.orderBy("bin"))).withColumn("all", F.sum("k").over(w))
-        edge = run.filter(F.col("upto") >= share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("edge"))
-        inner = _joined(binned, written(edge, "mcd-edge"), keys, small).filter("bin <= edge")
-        fresh = written(_factor(_estimate(inner.groupBy(*keys).agg(*total), factor, keys), keys), "mcd-state")
-        before = state.select(*keys, F.col("logdet").alias("old"))
-        moved = fresh.join(before, keys).filter(F.abs(F.col("old") - F.col("logdet")) > 1e-2)
-        state = fresh
+        binned = _distance(_joined(pool, state, keys, small)).select(*keys, *FEATURES, F.col("logdet").alias("old"), F.floor(F.log(F.col("d2") + 1e-9) * BINS).alias("bin"))
+        # The least bin up to which the share lies; its counters are merged per task.
+        edge = fitted(binned.groupBy(*keys).agg(F.expr(f"percentile_disc({share}D) within group (order by bin)").alias("edge")), "mcd-edge")
+        inner = _joined(binned, edge, keys, small).filter("bin <= edge")
+        fresh = _estimate(inner.groupBy(*keys).agg(*total, F.max("old").alias("old")), factor, [*keys, "old"])
+        fresh = fitted(_factor(fresh, [*keys, "old"]), "mcd-state")
+        moved = fresh.filter(F.abs(F.col("old") - F.col("logdet")) > 1e-2)
+        state = fresh.drop("old")
         if step and moved.isEmpty():
             break
     best = F.min_by(F.struct(*(c for c in state.columns if c not in keys)), F.struct("logdet", "start")).alias("b")
-    return written(state.groupBy("model").agg(best).select("model", "b.*"), "mcd-model")
+    return fitted(state.groupBy("model").agg(best).select("model", "b.*"), "mcd-model")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 50, cutoff: float = 20.5, max_models: int = 20_000, also: dict[str, Column] | None = None) -> DataFrame:

@@ -4,7 +4,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.llm import common
 from quillspark.llm import op9_jaccard as op9
+from quillspark.llm.common import written
 from quillspark.llm.components import components
 from quillspark.llm.op9_jaccard import jaccard_components
 
@@ -114,6 +116,21 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_small_tables_join_in_one_job(spark, monkeypatch, few):
+    """Rows of frequent, rare, unmatched and null keys; a small table is broadcast whole, and no table of frequent keys is written."""
+    calls = []
+    monkeypatch.setattr(common, "FEW", few, raising=False)
+    monkeypatch.setattr(common, "written", lambda df, name: calls.append(name) or written(df, name))
+    keys = [1] * 50 + [2, 3, 3, 4, None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").repartition(3)
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (9, "z")], "k long, v string")
+    want = {(k, i, {1: "a", 2: "b", 3: "c"}.get(k)) for i, k in enumerate(keys)}
+    got = [tuple(r) for r in common.joined(rows, table, "k").collect()]
+    assert len(got) == len(keys) and set(got) == want
+    assert calls == ([] if few else ["hot-keys"])
+
+
 def test_empty_long_and_clashing_columns(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     rows = [(1, long, 5, "a"), (2, long + " end", 6, "b"), (3, "x" * 2_000_000, 7, "c"), (4, "x" * 2_000_000, 7, "c")]

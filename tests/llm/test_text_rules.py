@@ -161,6 +161,26 @@ def test_quality_keeps_a_model_a_group_at_any_number_of_groups(spark):
     assert not next(r.kept for r in many if r.doc_id == 1000)
 
 
+def test_quality_fits_its_models_in_few_tasks(spark):
+    """What the driver keeps of jobs doesn't follow the shuffle's partitions times the steps."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(rng.randint(60, 90))), "en", "a") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    for k, v in (("spark.sql.shuffle.partitions", "40"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(k, v)
+    told, group = spark.sparkContext.statusTracker(), "quality-fits"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert judge(df).count() == 80
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stages = {s for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds}
+    tasks = [i.numCompletedTasks for s in stages if (i := told.getStageInfo(s))]
+    assert 80 < sum(tasks) < 400  # 225; with sums in all partitions at each step 569
+
+
 def test_chi_squared():
     assert abs(chi2_quantile(0.999, 5) - 20.515) < 1e-2 and abs(chi2_cdf(6.6257, 5) - 0.75) < 1e-4
 
