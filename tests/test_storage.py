@@ -1,5 +1,6 @@
 """The commit log, its keyed merge, and the search structures that are kept in it."""
 
+import hashlib
 import json
 import threading
 
@@ -276,6 +277,22 @@ def test_a_search_opens_its_terms_buckets_and_skips_slices(spark, tmp_path, monk
     assert len(bounds) > 10 and sum(b >= top[-1].score for b in bounds) <= 2
 
 
+def test_a_posting_takes_no_room_for_its_key(spark, tmp_path, monkeypatch):
+    from quillspark.storage import postings
+
+    monkeypatch.setattr(postings, "SLICE", 64)
+    monkeypatch.setattr(postings, "LOT", 300)
+    size = {}
+    for long in (False, True):
+        name = lambda i: hashlib.sha256(str(i).encode()).hexdigest() * 4 if long else f"k{i:03d}"  # noqa: B023, E731
+        rows = [(name(i), name(i), " ".join(f"w{(i * 7 + j * j) % 31}" for j in range(i % 40)), True, None) for i in range(300)]
+        store = PostingStore(spark, str(tmp_path / f"s{long}"), 4, 4)
+        store.ingest(spark.createDataFrame(rows, CHUNK).coalesce(1), ("run", 0))
+        size[long] = sum(f.bytes for f in store.postings.state().files.values())
+        same_search(spark, store, rows, "w3 w4 w9")
+    assert size[True] <= 1.05 * size[False]
+
+
 def test_rollups_count_late_and_repeated_facts_once(spark, tmp_path):
     from quillspark.storage.rollups import Rollup, Rollups
 
