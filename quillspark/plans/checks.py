@@ -24,7 +24,7 @@ def _cited(s, d):
     entities = part.select(doc(p).alias("document_id"), F.floor(p / n).cast("int").alias("position"), F.lit("t").alias("tenant"), ref(p).alias("entity_id"), kind(p).alias("entity_type"), F.col("p_name").alias("canonical_name"), F.array("p_type").alias("aliases"), F.create_map().cast("map<string,string>").alias("attributes"))
     most = part.agg(F.max("p_partkey")).first()[0]
     o, i = F.col("l_orderkey"), F.col("l_linenumber")
-    rows = T.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").dropDuplicates(["l_orderkey", "l_linenumber"])
+    rows = T.first_rows(T.table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey")
     other = F.when(o % 59 == 0, F.col("l_partkey")).otherwise(F.col("l_partkey") + n * i)
     rows = rows.withColumn("q", other).filter(F.col("q") <= most)
     rows = rows.select(

@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def first_rows(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row of each key, with the value that stands first in the files: ``dropDuplicates`` keeps whichever its tasks meet first."""
+    at = F.col("_metadata.row_index")
+    at = at if len(rows.inputFiles()) == 1 else F.struct(F.col("_metadata.file_path"), at)
+    return rows.select(*keys, value, at.alias("__at")).groupBy(*keys).agg(F.min_by(value, "__at").alias(value))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a token ledger."""
     e = F.col("event_id")

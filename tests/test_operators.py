@@ -369,3 +369,16 @@ def test_state_functions(spark):
     assert state.assemble(e, c, spark.createDataFrame([("c9",)], "chunk_id string"), 5, 20).first()[0] == ["c1", "c3"]
     with pytest.raises(ValueError):
         retrieval.validate(" ", 10, 0)
+
+
+def test_the_first_row_in_the_files_counts(spark, tmp_path):
+    from quillspark.plans import tables
+
+    path = str(tmp_path / "rows")
+    row = lambda k, v: {"k": k % 50, "v": v}
+    for n, rows in enumerate(([row(i, -i) for i in range(100)], [row(i, i) for i in range(5000)])):
+        spark.createDataFrame(rows, "k long, v long").coalesce(1).write.parquet(f"{path}/{n}")
+    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    assert sorted(map(tuple, tables.first_rows(df, ["k"], "v").collect())) == [(k, -k) for k in range(50)]
+    one = spark.read.parquet(f"{path}/1")
+    assert sorted(map(tuple, tables.first_rows(one, ["k"], "v").collect())) == [(k, k) for k in range(50)]
