@@ -17,6 +17,8 @@ from ..functions import keys, text
 from .graph import DEFAULT, Ontology, first_by, same_types
 
 SCHEMA_VERSION = 1
+#: Headers that are broadcast; beyond that rows meet them by a shuffle.
+MOST_BROADCAST = 500_000
 METHODS = ("Identifier", "Alias", "New", "Ambiguous")
 
 
@@ -67,7 +69,8 @@ def _listed(rows: DataFrame, kind: str, headers: DataFrame, most: int) -> tuple[
     """(rows of lists within the limit, errors of the lists that exceed it)."""
     long = rows.groupBy("document_id").count().filter(F.col("count") > most).select("document_id")
     errors = long.join(headers.select("document_id"), "document_id", "left_semi").select("document_id", F.lit("limit.exceeded").alias("code"), F.lit(kind).alias("path"))
-    return rows.join(long, "document_id", "left_anti"), errors
+    # There are fewer such lists than rows by the limit, so the rows stay where they are.
+    return rows.join(F.broadcast(long), "document_id", "left_anti"), errors
 
 
 def _first_of(rows: DataFrame, column: str) -> DataFrame:
@@ -89,6 +92,7 @@ def validate(headers: DataFrame, entities: DataFrame, assertions: DataFrame, res
     (local_ref, entity_id, method, candidates).  Every rule is a condition on a row or a join with the snapshot's entities.
     """
     h = headers.select("document_id", *(F.col(c).alias(f"h_{c}") for c in ("tenant", "document_version", "ontology_version", "extraction_version")))
+    h = F.broadcast(h) if h.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else h
     out = [_found(headers, [
         _rule("identifier.invalid", ~_safe(F.col("tenant")), F.lit("tenantId")),
         _rule("identifier.invalid", keys.document_parts(F.col("document_id")).isNull(), F.lit("documentId")),
@@ -138,9 +142,7 @@ def validate(headers: DataFrame, entities: DataFrame, assertions: DataFrame, res
     valid = e.filter(~other_tenant & ~bad_id & ~F.col("__repeat") & known_type & ~wrong_prefix).select("document_id", "entity_id", "entity_type")
 
     assertions, long = _listed(assertions, "assertions", headers, limits.assertions)
-    a = _first_of(assertions.join(h, "document_id"), "assertion_id")
-    for side in ("subject", "object"):
-        a = a.join(valid.select("document_id", F.col("entity_id").alias(f"{side}_id"), F.col("entity_type").alias(f"__{side}")), ["document_id", f"{side}_id"], "left")
+    a = assertions.join(h, "document_id")
     x, ev = F.col("evidence"), (lambda c: F.col(f"evidence.{c}"))
     known = F.coalesce(F.col("predicate").isin(*(r.predicate for r in ontology.relations)), F.lit(False))
     symmetric = F.coalesce(F.col("predicate").isin(*ontology.symmetric), F.lit(False)) if ontology.symmetric else F.lit(False)
@@ -150,17 +152,17 @@ def validate(headers: DataFrame, entities: DataFrame, assertions: DataFrame, res
     derived = keys.assertion_id_column(ev("tenant"), ev("document_id"), ev("document_version"), ev("chunk_id"), F.col("subject_id"), F.col("predicate"), F.col("object_id"), symmetric)
     elsewhere = ~(ev("document_id").eqNullSafe(F.col("document_id")) & ev("document_version").eqNullSafe(F.col("h_document_version")))
     sound = x.isNotNull() & ev("tenant").eqNullSafe(F.col("h_tenant")) & ~elsewhere & _safe(ev("chunk_id"))
+    # What a row shows by itself is judged where it lies; only what the other rules need meets the rest of its snapshot.
+    narrow = a.select("document_id", "position", "subject_id", "object_id", "predicate", "assertion_id", bad_key.alias("__bad"), (sound & (F.col("assertion_id") != derived)).alias("__moved"))
+    met = _first_of(narrow, "assertion_id").drop("assertion_id")
+    for side in ("subject", "object"):
+        met = met.join(valid.select("document_id", F.col("entity_id").alias(f"{side}_id"), F.col("entity_type").alias(f"__{side}")), ["document_id", f"{side}_id"], "left")
     out += [long, _found(a, [
         _rule("tenant.mismatch", other_tenant, _at("assertions", "tenantId")),
         _rule("assertion.status", ~F.coalesce(F.col("status").isin("Asserted", "Disputed"), F.lit(False)), _at("assertions", "status")),
         _rule("ontology.version", ~F.col("ontology_version").eqNullSafe(F.lit(ontology.version)), _at("assertions", "ontologyVersion")),
         _rule("extraction.version", ~F.col("extraction_version").eqNullSafe(F.col("h_extraction_version")), _at("assertions", "extractionVersion")),
-        _rule("assertion.entityReference", F.col("__subject").isNull(), _at("assertions", "subjectEntityId")),
-        _rule("assertion.entityReference", F.col("__object").isNull(), _at("assertions", "objectEntityId")),
         _rule("predicate.unknown", ~known, _at("assertions", "predicate")),
-        _rule("assertion.relation", ends & ~ontology.allows(F.col("__subject"), F.col("predicate"), F.col("__object")), _at("assertions")),
-        _rule("assertion.selfReference", ends & self_relation, _at("assertions")),
-        _rule("assertion.symmetricOrientation", ends & symmetric & (F.col("subject_id") > F.col("object_id")), _at("assertions")),
         _rule("required", x.isNull(), _at("assertions", "evidence")),
         _rule("tenant.mismatch", x.isNotNull() & ~ev("tenant").eqNullSafe(F.col("h_tenant")), _at("assertions", "evidence.tenantId")),
         _rule("evidence.document", x.isNotNull() & elsewhere, _at("assertions", "evidence")),
@@ -170,8 +172,14 @@ def validate(headers: DataFrame, entities: DataFrame, assertions: DataFrame, res
         _rule("evidence.invalid", ev("section").isNotNull() & (_blank(ev("section")) | (F.length(ev("section")) > limits.section)), _at("assertions", "evidence.section")),
         _rule("evidence.invalid", ev("access_scope_ref").isNotNull() & ~_safe(ev("access_scope_ref")), _at("assertions", "evidence.accessScopeRef")),
         _rule("identifier.invalid", bad_key, _at("assertions", "assertionId")),
-        _rule("id.duplicate", ~bad_key & F.col("__repeat"), _at("assertions", "assertionId")),
-        _rule("assertion.id", ~bad_key & ~F.col("__repeat") & ends & sound & (F.col("assertion_id") != derived), _at("assertions", "assertionId")),
+    ]), _found(met, [
+        _rule("assertion.entityReference", F.col("__subject").isNull(), _at("assertions", "subjectEntityId")),
+        _rule("assertion.entityReference", F.col("__object").isNull(), _at("assertions", "objectEntityId")),
+        _rule("assertion.relation", ends & ~ontology.allows(F.col("__subject"), F.col("predicate"), F.col("__object")), _at("assertions")),
+        _rule("assertion.selfReference", ends & self_relation, _at("assertions")),
+        _rule("assertion.symmetricOrientation", ends & symmetric & (F.col("subject_id") > F.col("object_id")), _at("assertions")),
+        _rule("id.duplicate", ~F.col("__bad") & F.col("__repeat"), _at("assertions", "assertionId")),
+        _rule("assertion.id", ~F.col("__bad") & ~F.col("__repeat") & ends & F.col("__moved"), _at("assertions", "assertionId")),
     ])]
 
     resolutions, long = _listed(resolutions, "resolutions", headers, limits.resolutions)

@@ -371,6 +371,31 @@ def test_state_functions(spark):
         retrieval.validate(" ", 10, 0)
 
 
+def shuffled(df):
+    """Names of the columns that each exchange of a plan carries."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.adaptive.enabled", "false")
+    conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo, out = [df.withColumn("__plan", F.lit(1))._jdf.queryExecution().executedPlan()], []
+        while todo:
+            p = todo.pop()
+            if p.nodeName() == "Exchange":
+                out.append([p.output().apply(i).name() for i in range(p.output().size())])
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+        return out
+    finally:
+        conf.unset("spark.sql.adaptive.enabled")
+        conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_validation_shuffles_no_evidence(spark, sf):
+    from quillspark.plans import checks
+
+    exchanges = shuffled(snapshot.validate(*checks._cited(spark, sf)))
+    assert len(exchanges) > 4 and not any("evidence" in names for names in exchanges)
+
+
 def test_the_first_row_in_the_files_counts(spark, tmp_path):
     from quillspark.plans import tables
 
