@@ -273,8 +273,13 @@ def build_assertions(relations: DataFrame, decisions: DataFrame, chunks: DataFra
     chunks: (chunk_id, chunk_number, tenant, document_id, document_version, content, access_scope_ref).  Two references to one entity, or to
     types that the relation no longer allows, give none; a symmetric relation's subject is the end that sorts first.
     """
-    side = lambda s: decisions.select("chunk_id", F.col("ref").alias(f"{s}_ref"), F.col("entity_id").alias(f"{s}_id"), F.col("entity_type").alias(f"__{s}"))
-    j = relations.join(side("subject"), ["chunk_id", "subject_ref"]).join(side("object"), ["chunk_id", "object_ref"]).join(chunks, "chunk_id")
+    # A chunk's few decisions are gathered, so that relations, decisions and chunks meet by the chunk alone.
+    known = decisions.repartition("chunk_id").groupBy("chunk_id").agg(F.collect_set(F.struct("ref", "entity_id", "entity_type")).alias("__known"))
+    j = relations.join(known, "chunk_id").join(chunks, "chunk_id")
+    for side in ("subject", "object"):
+        own = F.col(f"{side}_ref")
+        j = j.withColumn("__one", F.explode(F.filter("__known", lambda x: x["ref"] == own))).withColumns({f"{side}_id": F.col("__one.entity_id"), f"__{side}": F.col("__one.entity_type")})
+    j = j.drop("__known", "__one", "subject_ref", "object_ref")
     j = j.filter((F.col("subject_id") != F.col("object_id")) & ontology.allows(F.col("__subject"), F.col("predicate"), F.col("__object")))
     symmetric = F.col("predicate").isin(*ontology.symmetric) if ontology.symmetric else F.lit(False)
     turn = symmetric & (F.col("subject_id") > F.col("object_id"))

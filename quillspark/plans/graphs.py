@@ -71,7 +71,7 @@ def _(s, d):
     relations = rows.select(chunk, line.alias("position"), ref(p).alias("subject_ref"), F.when(line % 2 == 0, "INTEGRATES_WITH").otherwise("DEPENDS_ON").alias("predicate"), ref((p * 7 + line * 31) % n).alias("object_ref"))
     kind = F.when(F.col("p_partkey") % 2 == 0, "System").otherwise("Project")
     named = parts.select(ref(F.col("p_partkey")).alias("ref"), F.concat(F.lower(kind), F.lit(":"), F.col("p_partkey").cast("string")).alias("entity_id"), kind.alias("entity_type"))
-    used = relations.select("chunk_id", F.explode(F.array("subject_ref", "object_ref")).alias("ref")).distinct()
+    used = relations.select("chunk_id", F.explode(F.array("subject_ref", "object_ref")).alias("ref"))
     key = F.col("l_orderkey").cast("string")
     chunks = rows.select("l_orderkey").distinct().select(F.concat(F.lit("c"), key).alias("chunk_id"), F.lit(0).alias("chunk_number"), F.lit("t").alias("tenant"), F.concat(F.lit("drive:"), key).alias("document_id"), F.lit("r1").alias("document_version"), F.concat(F.lit("text "), key).alias("content"), F.lit("perm:x").alias("access_scope_ref"))
     built = snapshot.build_assertions(relations, used.join(named, "ref"), chunks)

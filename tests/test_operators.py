@@ -396,6 +396,14 @@ def test_validation_shuffles_no_evidence(spark, sf):
     assert len(exchanges) > 4 and not any("evidence" in names for names in exchanges)
 
 
+def test_assertions_meet_their_decisions_by_the_chunk(spark, sf):
+    from quillspark.plans import graphs, queries
+
+    assert graphs  # registers its queries
+    exchanges = shuffled(queries.QUERIES["g13_assertion_build"](spark, sf))
+    assert sum("subject_ref" in names for names in exchanges) == 1, exchanges
+
+
 def test_the_first_row_in_the_files_counts(spark, tmp_path):
     from quillspark.plans import tables
 
