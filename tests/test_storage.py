@@ -5,6 +5,7 @@ import json
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,3 +368,19 @@ def test_trigrams_search_what_the_plain_search_finds(spark, tmp_path):
         assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()], pattern
         if "need" in pattern.lower():
             assert searched.count() <= 4
+
+
+def test_trigrams_are_gathered_in_bounded_lots(spark, tmp_path, monkeypatch):
+    from quillspark.storage import trigrams
+
+    monkeypatch.setattr(trigrams, "LOT", 500)
+    rng = np.random.default_rng(6)
+    docs = [(i, "\n".join("".join(rng.choice(list("abCé\u0130𝄞 "), int(rng.integers(0, 60)))) for _ in range(i % 9))) for i in range(90)]
+    lots = list(trigrams._lots(iter([pa.RecordBatch.from_pylist([{"file": f, "text": t} for f, t in docs[i : i + 40]]) for i in range(0, 90, 40)])))
+    assert len(lots) > 9 and all(len(x) == 1 or sum(map(len, x["text"].to_pylist())) <= 500 for x in lots)
+    assert [f for x in lots for f in x["file"].to_pylist()] == list(range(90))
+    index = trigrams.TrigramIndex(spark, str(tmp_path / "t"), buckets=4, text_buckets=2)
+    index.build(spark.createDataFrame(docs, "file long, text string"))
+    want = {(t.lower()[i : i + 3], f) for f, t in docs for i in range(len(t.lower()) - 2) if "\n" not in t.lower()[i : i + 3]}
+    got = [tuple(r) for r in index.postings.read().select("gram", F.explode("files")).collect()]
+    assert set(got) == want and len(got) == len(want)
