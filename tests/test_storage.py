@@ -203,6 +203,23 @@ def test_vector_lists(spark, tmp_path):
     assert index.table.state().version == version
 
 
+def test_searches_of_many_take_parts_and_keep_ties_in_order(spark, tmp_path, monkeypatch):
+    from quillspark.storage import vectors
+
+    monkeypatch.setattr(vectors, "PART", 30)
+    monkeypatch.setattr(vectors, "SCORES", 500)
+    data = clustered(120) + [(1000 - i, clustered(1)[0][1]) for i in range(60)]  # one vector many times over
+    df = spark.createDataFrame(data, "id long, v array<double>")
+    index = VectorIndex.build(df, str(tmp_path / "v"), "id", "v")
+    asked = df.filter("id in (0, 7, 119, 950)").selectExpr("id as query", "v as q")
+    whole = len(index.centroids())
+    for found in (index.exact_many(asked, 5), index.search_many(asked, "query", "q", 5, probes=whole)):
+        found = found.collect()
+        for q in (0, 7, 119, 950):
+            want = [tuple(r) for r in retrieval.vector_search(df, dict(data)[q], "id", "v", 5).collect()]
+            assert [(r.key, r.score) for r in sorted((r for r in found if r.query == q), key=lambda r: r["rank"])] == want
+
+
 def test_vector_lists_of_few_and_of_none(spark, tmp_path):
     one = VectorIndex.build(spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>"), str(tmp_path / "a"), "id", "v")
     assert [r.id for r in one.search([1.0, 1.0], 3, exact=True).collect()] == [1]
