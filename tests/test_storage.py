@@ -401,3 +401,18 @@ def test_trigrams_are_gathered_in_bounded_lots(spark, tmp_path, monkeypatch):
     want = {(t.lower()[i : i + 3], f) for f, t in docs for i in range(len(t.lower()) - 2) if "\n" not in t.lower()[i : i + 3]}
     got = [tuple(r) for r in index.postings.read().select("gram", F.explode("files")).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_a_cleaned_publication_keeps_what_is_served(spark, tmp_path):
+    from quillspark.storage.publication import Publication
+
+    p = Publication(spark, str(tmp_path / "p"), 2)
+    e = spark.createDataFrame([(f"a{i}", f"d{i % 3}", "r1", "s", "DEPENDS_ON", "o", "Asserted") for i in range(9)], "assertion_id string, document_id string, document_version string, subject_id string, predicate string, object_id string, status string")
+    p.publish(e, "first")
+    p.publish(e.filter("document_id = 'd1'").withColumns({"document_version": F.lit("r2"), "assertion_id": F.concat(F.lit("b"), "assertion_id")}), "second", until="edges")
+    assert p.clean(1, 0) > 0
+    for t in (p.states, p.edges):
+        assert {f for f, _, _ in files.data_files(spark, f"{t.folder}/data")} == set(t.state().files)
+    p.repair("repair")
+    p.clean(1, 0)
+    assert sorted(r.assertion_id for r in p.served().collect()) == sorted([f"a{i}" for i in range(9) if i % 3 != 1] + [f"ba{i}" for i in (1, 4, 7)])
